@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, token_store
+from . import byte_bpe, media, packing, secrets, token_store
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op5_token_store": token_store.op5,
+    "op6_media_columns": media.op6,
+    "op7_secret_scan": secrets.op7,
+    "op9_byte_bpe": byte_bpe.op9,
 }
 ORACLES: dict[str, str] = {}
