@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, media, packing, secrets, token_store
+from . import byte_bpe, media, packing, secrets, token_store, vectors
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
+    "op4_embedding_near_dedup": vectors.op4,
     "op5_token_store": token_store.op5,
     "op6_media_columns": media.op6,
     "op7_secret_scan": secrets.op7,
