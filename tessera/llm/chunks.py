@@ -1,10 +1,11 @@
-"""Exact tokenizer encoding through a cache of space-delimited chunks.
-
-Every pre-tokenizer used here starts a new pre-token at a space that stands before a character
-that isn't white space. So the ids of a text are the ids of ``"w0"``, ``" w1"``, ``" w2"``, …
-one after another, as long as no two white-space characters meet; texts where they do are
-encoded whole. Chunks repeat far more than texts, so each worker encodes each frequent chunk
-about once. The cache holds two bounded generations; what it drops changes no result.
+"""Exact tokenizer encoding through a cache of chunks that white space delimits.
+
+Every pre-tokenizer used here starts a new pre-token at a space or a line feed that stands
+between characters that aren't white space. So the ids of a text are the ids of its chunks
+(``"w0"``, ``" w1"``, ``"\\nw2"``, …) one after another, as long as no two white-space characters meet and
+none is first or last; other texts are encoded whole. Arrow splits a group of texts and finds
+its distinct chunks; only these are looked up, and only unknown ones are encoded. The cache
+holds two bounded generations; what it drops changes no result.
 """
 
 from __future__ import annotations
@@ -15,16 +16,20 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MEETING = re.compile(r"\s\s")
+UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
+#: A run of letters that Unicode tables of any version agree on, and what follows it, of ASCII.
+WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x21-\x7E]*)")
 
 
 class ChunkCache:
     """``encode(texts)`` yields the little-endian uint32 ids of each text as bytes.
 
-    ``whole(strings)`` encodes complete strings. ``glued(chunks)`` encodes chunks as they stand
-    inside a text, each after a space. ``blank_free``: the tokenizer drops white space, so a
-    first chunk is like any other and meeting white space needs no care.
+    ``whole(strings)`` encodes complete strings. ``glued(chunks)`` encodes chunks as they stand inside a
+    text: one that begins with a line feed as it is, any other after a space. ``blank_free``: the
+    tokenizer drops white space, so a first chunk is like any other and nothing else matters.
     """
 
     def __init__(self, whole: Callable[[Sequence[str]], list[bytes]], glued: Callable[[Sequence[str]], list[bytes]], blank_free: bool = False, limit: int = 400_000):
@@ -32,45 +37,73 @@ class ChunkCache:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: Sequence[str], group_chars: int = 150_000) -> Iterator[bytes]:
+    def encode(self, texts: Sequence[str], group_chars: int = 2_000_000) -> Iterator[bytes]:
         group: list[str] = []
         size = 0
         for text in texts:
             group.append(text)
-            size += len(text) + 50
+            size += len(text)
             if size > group_chars:
                 yield from self._group(group)
                 group, size = [], 0
-        yield from self._group(group)
+        if group:
+            yield from self._group(group)
 
     def _group(self, texts: list[str]) -> list[bytes]:
         if self.blank_free:
-            return self._joined([t.split(" ") for t in texts])
-        plain = [not MEETING.search(t) for t in texts]
-        parts = [t.split(" ") if ok else [""] for t, ok in zip(texts, plain, strict=True)]
-        heads = self.whole([p[0] if ok else t for t, p, ok in zip(texts, parts, plain, strict=True)])
-        return [a + b for a, b in zip(heads, self._joined([p[1:] for p in parts]), strict=True)]
-
-    def _joined(self, parts: list[list[str]]) -> list[bytes]:
+            return self._joined(texts)
+        even = [not UNEVEN.search(t) for t in texts]
+        cuts = [m.start() if ok and (m := re.search("[ \n]", t)) else len(t) for t, ok in zip(texts, even, strict=True)]
+        heads = self.whole([t[:k] for t, k in zip(texts, cuts, strict=True)])
+        # without its head a text begins with a space or a line feed; the space is no part of a chunk
+        tails = [t[k + (t[k] == " ") :] if k < len(t) else "" for t, k in zip(texts, cuts, strict=True)]
+        return [h + r if t else h for h, r, t in zip(heads, self._joined(tails), tails, strict=True)]
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts whose every chunk follows a space or begins with a line feed."""
+        rows = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        ends = rows.offsets.to_numpy()
+        # a line feed that is first leaves an empty chunk before it
+        found = rows.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
+        table = self._looked_up(found.dictionary.to_pylist())
+        size = np.fromiter((len(x) // 4 for x in table), dtype="i8", count=len(table))
+        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(table), dtype="<u4")
+        at = found.indices.to_numpy()
+        each = size[at]
+        after = np.cumsum(each)
+        ids = flat[np.repeat(first[at] - (after - each), each) + np.arange(after[-1] if len(after) else 0)]
+        bounds = np.append(0, after)[ends - ends[0]].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _looked_up(self, chunks: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:  # what is used again comes back from the older generation
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        found = [list(map(known.get, p)) for p in parts]
-        if short := [i for i, f in enumerate(found) if None in f]:
-            lacking = {x for i in short for x, f in zip(parts[i], found[i], strict=True) if f is None}
-            if new := list(lacking.difference(older)):
-                known.update(zip(new, self.glued(new), strict=True))
-                lacking.difference_update(new)
-            known.update((x, older[x]) for x in lacking)
-            for i in short:
-                found[i] = [known[x] if f is None else f for x, f in zip(parts[i], found[i], strict=True)]
-        return [b"".join(f) for f in found]
+        known.setdefault("", b"")
+        out = list(map(known.get, chunks))
+        lacking = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in lacking:
+            if (x := older.get(chunks[i])) is None:
+                new.append(i)
+            else:
+                known[chunks[i]] = out[i] = x
+        for i, x in zip(new, self.glued([chunks[i] for i in new]), strict=True):
+            known[chunks[i]] = out[i] = x
+        return out
 
 
 def packed(ids: Sequence[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
+def byte_characters() -> dict[int, int]:
+    """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(other)}
+
+
 @functools.lru_cache(maxsize=4)
 def library_cache(path: str, blank_free: bool) -> ChunkCache:
     """A cache over a ``tokenizers`` file; one a worker process."""
@@ -79,22 +112,31 @@ def library_cache(path: str, blank_free: bool) -> ChunkCache:
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
+    merge, letters = t.model.tokenize, byte_characters()
+    space = "" if blank_free else chr(letters[0x20])
+    ends: dict[tuple[str, str], tuple[bytes, bytes]] = {}
 
     def whole(texts: Sequence[str]) -> list[bytes]:
         return [packed(x.ids) for x in t.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def glued(chunks: Sequence[str], at_once: int = 250) -> list[bytes]:
-        """Some chunks a call, in one string; what comes back is cut where the chunks begin."""
+    def glued(chunks: Sequence[str]) -> list[bytes]:
+        """A run of letters is one pre-token, so it goes straight to the library's merges."""
         out = []
-        for i in range(0, len(chunks), at_once):
-            some = chunks[i : i + at_once]
-            found = t.encode(" " + " ".join(some), add_special_tokens=False)
-            at = np.fromiter((a for a, _ in found.offsets), dtype="i8", count=len(found))
-            starts = np.cumsum([len(x) + 1 for x in some])
-            ids, last = packed(found.ids), 0
-            for cut in np.searchsorted(at, starts, side="left").tolist():
-                out.append(ids[4 * last : 4 * cut])
-                last = cut
+        for chunk in chunks:
+            if not (m := WORD.fullmatch(chunk)):
+                out.append(whole([chunk if blank_free or chunk[0] == "\n" else " " + chunk])[0])
+                continue
+            before, word, after = m.groups()
+            if (rest := ends.get((before, after))) is None:
+                if len(ends) > 100_000:
+                    ends.clear()
+                rest = ends[before, after] = tuple(whole([before, after]))
+            if blank_free:
+                word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(letters)
+            ids = packed([x.id for x in merge(word if before else space + word)])
+            out.append(rest[0] + ids + rest[1])
         return out
 
     return ChunkCache(whole, glued, blank_free)
