@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, media, packing, secrets, token_store, vectors
+from . import byte_bpe, media, packing, pii, quality, secrets, shingles, token_store, urls, vectors
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
+    "op2_pii": pii.op2,
+    "op3_ngram_jaccard_join": shingles.op3,
     "op4_embedding_near_dedup": vectors.op4,
     "op5_token_store": token_store.op5,
     "op6_media_columns": media.op6,
     "op7_secret_scan": secrets.op7,
+    "op8_quality_classifier": quality.op8,
     "op9_byte_bpe": byte_bpe.op9,
+    "op10_url_filter": urls.op10,
 }
 ORACLES: dict[str, str] = {}
