@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..registry import Registry
-from . import corpus
+from . import corpus, tokens
 
 REGISTRY = Registry()
-for _family in (corpus,):
+for _family in (corpus, tokens):
     _family.register(REGISTRY)
