@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..registry import Registry
-from . import corpus, tokens
+from . import chat, corpus, tokens
 
 REGISTRY = Registry()
-for _family in (corpus, tokens):
+for _family in (corpus, tokens, chat):
     _family.register(REGISTRY)
