@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..registry import Registry
-from . import chat, corpus, tokens
+from . import chat, corpus, evaluation, tokens
 
 REGISTRY = Registry()
-for _family in (corpus, tokens, chat):
+for _family in (corpus, tokens, chat, evaluation):
     _family.register(REGISTRY)
