@@ -15,7 +15,7 @@ import base64
 import functools
 import hashlib
 import struct
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -126,17 +126,26 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return arrow_map(encoded, run, "doc_id long, ids binary, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, raw = b["ids"].to_pylist(), b["decoded"].to_pylist()
-        sha = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
-        return record(doc_id=b["doc_id"], n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()), ids_sha256=sha(ids), decoded_sha256=sha(raw))
+def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoded and decoded again in one pass, a few rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(ranks, pattern)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                b = batch.slice(i, 500)
+                n, sha, back = [], [], []
+                for ids in own.encode(b["text"].to_pylist(), 500_000):
+                    n.append(len(ids) // 4)
+                    sha.append(hashlib.sha256(ids).hexdigest())
+                    back.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                yield record(doc_id=b["id"], n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(sha, pa.string()), decoded_sha256=pa.array(back, pa.string()))
 
-    return arrow_map(decoded, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return text_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     ranks, pattern = public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN
-    return digests(decode(encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+    return round_trip(table(spark, sf_dir, "documents"), ranks, pattern)
