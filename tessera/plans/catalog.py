@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..registry import Registry
-from . import chat, corpus, evaluation, tokens
+from . import chat, corpus, evaluation, packing, tokens
 
 REGISTRY = Registry()
-for _family in (corpus, tokens, chat, evaluation):
+for _family in (corpus, tokens, chat, evaluation, packing):
     _family.register(REGISTRY)
