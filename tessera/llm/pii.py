@@ -100,8 +100,8 @@ CANDIDATES = {
     "name": re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.?\x20)?{_CAP}\x20{_CAP}(?!\w)"),
     "national_id": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)"),
-    "postal": re.compile(r"(?<![\w.-])[0-9]{5}(?:-[0-9]{4})?(?![\w.-])"),
-    "birth": re.compile(r"(?<![\w./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![\w./-])"),
+    "postal": re.compile(r"(?<![\w.-])[0-9]{5}(?:-[0-9]{4})?(?![\w-]|\.\w)"),
+    "birth": re.compile(r"(?<![\w./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![\w/-]|\.\w)"),
 }
 _SENTENCE_END = ".!?\n:;|"
 NEAR, BUCKETS = 40, 1 << 12
@@ -189,6 +189,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, FOUND)
 
 
+#: Where EM starts: how often a labeler abstains, votes against and votes for, without and with personal data.
+START = ([0.4, 0.48, 0.12], [0.4, 0.12, 0.48])
+
+
 def em(counts: dict[tuple[int, ...], float], rounds: int = 50) -> dict[tuple[int, ...], float]:
     """The probability of being personal data behind each combination of votes, all of one kind.
 
@@ -201,7 +205,7 @@ def em(counts: dict[tuple[int, ...], float], rounds: int = 50) -> dict[tuple[int
     n = np.array([counts[k] for k in counts], dtype=float)
     m = rows.shape[1]
     rate = np.empty((2, m, 3))
-    rate[1], rate[0] = [0.1, 0.3, 0.6], [0.6, 0.3, 0.1]
+    rate[1], rate[0] = START[1], START[0]
     prior = 0.3
     post = np.zeros(len(rows))
     for _ in range(rounds):
@@ -211,7 +215,7 @@ def em(counts: dict[tuple[int, ...], float], rounds: int = 50) -> dict[tuple[int
         prior = float(np.clip((weight[1].sum() + 1) / (n.sum() + 2), 0.01, 0.99))
         for y, j in itertools.product(range(2), range(m)):
             got = np.array([weight[y][rows[:, j] == a].sum() for a in range(3)])
-            start = np.array([0.1, 0.3, 0.6] if y else [0.6, 0.3, 0.1]) * 10  # a prior of ten votes keeps the meaning of the classes
+            start = np.array(START[y]) * 10  # a prior of ten votes keeps the meaning of the classes
             rate[y, j] = (got + start) / (got.sum() + start.sum())
     return {k: float(p) for k, p in zip(counts, post, strict=True)}
 
