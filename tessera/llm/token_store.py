@@ -171,8 +171,8 @@ def write_images(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     return written(ordered.mapInArrow(run, IMAGES), "token_images", "zstd")
 
 
-def read_images(images: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` from written images; ``start`` counts over all of them."""
+def read_images(images: DataFrame, with_ids: bool = True) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` and ``ids`` (little-endian uint32) from written images; ``start`` counts over all of them."""
     totals = images.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row a write task
     base, at = {}, 0
     for r in totals:
@@ -185,10 +185,12 @@ def read_images(images: DataFrame) -> DataFrame:
                 one = Image.read(raw)
                 ends = one.ends.all()
                 starts = np.concatenate([[0], ends[:-1]])
-                ids = [one.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)]
-                yield record(doc_id=pa.array(one.doc_ids, pa.int64()), start=pa.array(starts + before + base[part]), n_tokens=pa.array(ends - starts), ids=pa.array(ids, pa.binary()), ids_crc32=pa.array([zlib.crc32(x) for x in ids], pa.int64()))
+                wide = memoryview(one.ids.astype("<u4")).cast("B")
+                own = [wide[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                columns = {"doc_id": pa.array(one.doc_ids, pa.int64()), "start": pa.array(starts + before + base[part]), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64())}
+                yield record(**columns, **({"ids": pa.array([bytes(x) for x in own], pa.binary())} if with_ids else {}))
 
-    return images.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return images.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def export(images: DataFrame, directory: str) -> list[str]:
@@ -207,4 +209,4 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     images = write_images(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
-    return read_images(images).drop("ids")
+    return read_images(images, with_ids=False)
