@@ -65,8 +65,8 @@ def register(r: Registry) -> None:
         SELECT source FROM ({PSEUDO}) WHERE split = 'train' INTERSECT SELECT source FROM ({PSEUDO}) WHERE split = 'val'""")
     r.add("source_reuse", lambda s, d: manifests.reused(docs(s, d).select("split", "source")), f"""
         SELECT source, count(DISTINCT split) AS splits, count(*) AS uses FROM ({PSEUDO}) GROUP BY source HAVING count(*) > 1""")
-    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name")
-    r.add("unreferenced_payloads", lambda s, d: manifests.unreferenced(docs(s, d).select(name), shards.table(s, d, "labels").select(name)), """
+    name = lambda: F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name")
+    r.add("unreferenced_payloads", lambda s, d: manifests.unreferenced(docs(s, d).select(name()), shards.table(s, d, "labels").select(name())), """
         SELECT 'doc-' || doc_id AS name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 
     def reconcile(s: SparkSession, d: str) -> DataFrame:

@@ -65,9 +65,9 @@ def register(r: Registry) -> None:
         SELECT event_type AS outcome, count(*) AS n FROM events WHERE value > 20 GROUP BY 1""")
     r.add("response_diagnostics", lambda s, d: nine(scoring.response_diagnostics(table(s, d, "documents").select("lang", F.col("n_chars").alias("generated_tokens"), F.when(F.col("doc_id") % 9 == 0, "  ").otherwise(F.col("text")).alias("text")), ["lang"]), "mean_length", "blank_rate"), """
         SELECT lang, min(n_chars) AS shortest, round(avg(n_chars), 9) AS mean_length, max(n_chars) AS longest, count(*) FILTER (doc_id % 9 = 0) AS blank, count(*) AS samples, round(count(*) FILTER (doc_id % 9 = 0) / count(*), 9) AS blank_rate FROM documents GROUP BY lang""")
-    letters = F.array(*[F.lit(x) for x in "ABCD"])
-    logits = F.array(*[(F.col("event_id") * k % 7).cast("double") for k in (3, 5, 2, 6)])
-    r.add("argmax_label", lambda s, d: table(s, d, "events").select("event_id", scoring.argmax_label(logits, letters).alias("label")), """
+    letters = lambda: F.array(*[F.lit(x) for x in "ABCD"])
+    logits = lambda: F.array(*[(F.col("event_id") * k % 7).cast("double") for k in (3, 5, 2, 6)])
+    r.add("argmax_label", lambda s, d: table(s, d, "events").select("event_id", scoring.argmax_label(logits(), letters()).alias("label")), """
         SELECT event_id, ['A','B','C','D'][list_position(l, list_max(l))] AS label FROM (SELECT event_id, [event_id*3%7, event_id*5%7, event_id*2%7, event_id*6%7] AS l FROM events)""")
     r.add("overlength_prefix", lambda s, d: scoring.fitting_prefix(table(s, d, "documents"), "doc_id", F.col("n_chars") <= 2000, 50, ["lang"]).select("lang", "doc_id", "fits"), """
         SELECT lang, doc_id, fits FROM (SELECT *, n_chars <= 2000 AS fits, coalesce(sum((n_chars <= 2000)::INT) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM documents) WHERE k < 50""")
@@ -127,9 +127,9 @@ def register(r: Registry) -> None:
     r.add("numeric_delta", lambda s, d: nine(runs.deltas(last(s, d), "1"), "delta"), f"SELECT l.run, l.name, l.value, b.value AS base_value, round(l.value - b.value, 9) AS delta FROM ({LAST}) l LEFT JOIN ({LAST}) b ON b.run = 1 AND l.name = b.name")
     r.add("relative_delta", lambda s, d: nine(benchmarks.against_baseline(coarse(s, d).where("run != 1"), coarse(s, d).where("run = 1"), "value"), "delta", "relative"), f"""
         WITH c AS (SELECT run, round(value, 1) AS value FROM ({BEST})) SELECT c.run, c.value, b.value AS base_value, round(c.value - b.value, 9) AS delta, round((c.value - b.value) / nullif(b.value, 0), 9) AS relative FROM c, (SELECT value FROM c WHERE run = 1) b WHERE run != 1""")
-    at = F.col("c_custkey")
-    reasons = runs.blockers(F.when(at % 2 == 0, "completed").otherwise("failed"), F.when(at % 3 != 0, at % 7), F.lit(3), at % 5 != 0, at % 4 != 0)
-    r.add("ranking_blockers", lambda s, d: table(s, d, "customer").select("c_custkey", F.array_join(reasons, "; ").alias("blockers")), """
+    at = lambda: F.col("c_custkey")
+    reasons = lambda: runs.blockers(F.when(at() % 2 == 0, "completed").otherwise("failed"), F.when(at() % 3 != 0, at() % 7), F.lit(3), at() % 5 != 0, at() % 4 != 0)
+    r.add("ranking_blockers", lambda s, d: table(s, d, "customer").select("c_custkey", F.array_join(reasons(), "; ").alias("blockers")), """
         SELECT c_custkey, concat_ws('; ', CASE WHEN c_custkey % 2 = 1 THEN 'run status is failed' END, CASE WHEN c_custkey % 3 = 0 THEN 'training metrics are missing' END,
             CASE WHEN c_custkey % 3 != 0 AND c_custkey % 7 < 3 THEN 'training stopped at step ' || (c_custkey % 7) || ' of 3' END, CASE WHEN c_custkey % 3 != 0 AND c_custkey % 7 > 3 THEN 'training latest step ' || (c_custkey % 7) || ' exceeds configured max_steps 3' END,
             CASE WHEN c_custkey % 5 = 0 THEN 'base evaluation is missing' END, CASE WHEN c_custkey % 5 != 0 AND c_custkey % 4 = 0 THEN 'base evaluation is incomplete' END) AS blockers FROM customer""")
@@ -150,8 +150,8 @@ def register(r: Registry) -> None:
     r.add("latency_summary", lambda s, d: nine(benchmarks.summary(benchmarks.after_warmup(table(s, d, "lineitem"), "l_linenumber", 2), "l_extendedprice", ["l_returnflag"]), "mean", "p50", "p90", "p95").withColumn("mean", F.round("mean", 6)), """
         SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS least, round(avg(l_extendedprice), 6) AS mean, max(l_extendedprice) AS largest, round(quantile_cont(l_extendedprice, 0.5), 9) AS p50, round(quantile_cont(l_extendedprice, 0.9), 9) AS p90, round(quantile_cont(l_extendedprice, 0.95), 9) AS p95
         FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1""")
-    peak = F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("peak")
-    r.add("memory_summary", lambda s, d: benchmarks.memory(table(s, d, "events").select("event_type", peak, F.concat(F.lit("no gpu on "), F.col("user_id") % 2).alias("reason")), ["event_type"]), """
+    peak = lambda: F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("peak")
+    r.add("memory_summary", lambda s, d: benchmarks.memory(table(s, d, "events").select("event_type", peak(), F.concat(F.lit("no gpu on "), F.col("user_id") % 2).alias("reason")), ["event_type"]), """
         SELECT event_type, max(value) FILTER (event_id % 3 != 0) AS peak, array_to_string(list_sort(list_distinct(list('no gpu on ' || (user_id % 2)) FILTER (event_id % 3 = 0))), '; ') AS reasons, count(*) FILTER (event_id % 3 != 0) BETWEEN 1 AND count(*) - 1 AS mixed FROM events GROUP BY 1""")
     turns = lambda s, d: table(s, d, "events").select("user_id", (F.col("event_id") % 9).alias("tokens"), (F.col("value") + 1).alias("seconds"), (F.col("value") / 2).alias("decode_seconds"))
     r.add("session_aggregate", lambda s, d: nine(benchmarks.sessions(turns(s, d), "user_id"), "tokens_per_second", "decode_ms").withColumn("decode_ms", F.round("decode_ms", 6)), """
@@ -160,27 +160,30 @@ def register(r: Registry) -> None:
     r.add("mode_pairs", lambda s, d: nine(benchmarks.paired(*[table(s, d, "lineitem").where(f"l_linenumber = {k}").select(F.col("l_orderkey").alias("iteration"), F.col("l_quantity").alias("seconds")) for k in (1, 2)]), "speedup"), """
         SELECT a.l_orderkey AS iteration, a.l_quantity AS naive_seconds, b.l_quantity AS cached_seconds, round(a.l_quantity / b.l_quantity, 9) AS speedup FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber = 1 AND b.l_linenumber = 2""")
 
-    step = F.col("event_id") % 1200
-    r.add("lr_schedule", lambda s, d: table(s, d, "events").select(step.alias("step")).distinct().select("step", F.round(formulas.lr_multiplier(F.col("step"), 1000, 100, 0.3, 0.1), 9).alias("multiplier")), """
+    step = lambda: F.col("event_id") % 1200
+    r.add("lr_schedule", lambda s, d: table(s, d, "events").select(step().alias("step")).distinct().select("step", F.round(formulas.lr_multiplier(F.col("step"), 1000, 100, 0.3, 0.1), 9).alias("multiplier")), """
         SELECT step, round(CASE WHEN least(step, 1000) < 100 THEN (least(step, 1000) + 1) / 100 WHEN least(step, 1000) <= 700 THEN 1.0 ELSE (1000 - least(step, 1000)) / 300 + (1 - (1000 - least(step, 1000)) / 300) * 0.1 END, 9) AS multiplier FROM (SELECT DISTINCT event_id % 1200 AS step FROM events)""")
-    one, size = F.lit(1).cast("long"), F.col("p_size").cast("long")
-    r.add("grad_accum", lambda s, d: table(s, d, "part").select("p_partkey", formulas.grad_accum_steps(one * 524_288, size, one * 1024, one * 2).alias("steps")), """
+    one = lambda: F.lit(1).cast("long")
+    size = lambda: F.col("p_size").cast("long")
+    r.add("grad_accum", lambda s, d: table(s, d, "part").select("p_partkey", formulas.grad_accum_steps(one() * 524_288, size(), one() * 1024, one() * 2).alias("steps")), """
         SELECT p_partkey, CASE WHEN 524288 % (p_size * 2048) = 0 THEN CAST(524288 // (p_size * 2048) AS BIGINT) END AS steps FROM part""")
-    shape = (size, size * 16, one * 4, one * 32_768, one * 1024)
-    r.add("flops_mfu", lambda s, d: table(s, d, "part").select("p_partkey", formulas.training_flops(*shape).cast("long").alias("flops"), F.round(formulas.utilisation(formulas.training_flops(*shape) * 16_384, F.lit(2.0), F.when(F.col("p_partkey") % 2 == 0, 3.558e13)), 9).alias("mfu")), """
+    shape = lambda: (size(), size() * 16, one() * 4, one() * 32_768, one() * 1024)
+    r.add("flops_mfu", lambda s, d: table(s, d, "part").select("p_partkey", formulas.training_flops(*shape()).cast("long").alias("flops"), F.round(formulas.utilisation(formulas.training_flops(*shape()) * 16_384, F.lit(2.0), F.when(F.col("p_partkey") % 2 == 0, 3.558e13)), 9).alias("mfu")), """
         SELECT p_partkey, f AS flops, CASE WHEN p_partkey % 2 = 0 THEN round(f * 16384 / (2.0 * 3.558e13), 9) END AS mfu FROM (SELECT p_partkey, CAST(6 * (l * 12 * w * w + w * 32768) + 12 * l * w * 1024 AS BIGINT) AS f FROM (SELECT p_partkey, p_size::BIGINT AS l, p_size::BIGINT * 16 AS w FROM part))""")
-    r.add("model_size", lambda s, d: table(s, d, "part").select("p_partkey", *[c.alias(k) for k, c in formulas.model_size(*shape, F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 3 == 0).items()]), """
+    r.add("model_size", lambda s, d: table(s, d, "part").select("p_partkey", *[c.alias(k) for k, c in formulas.model_size(*shape(), F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 3 == 0).items()]), """
         SELECT p_partkey, 32768 * w AS token_embedding, 1024 * w AS position_embedding, l * k AS blocks, (1 + b) * w AS final_norm, h AS output_head, 32768 * w + 1024 * w + l * k + (1 + b) * w + h AS parameters
         FROM (SELECT *, 12 * w * w + 2 * w + b * 11 * w AS k, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 32768 * w END AS h FROM (SELECT p_partkey, p_size::BIGINT AS l, p_size::BIGINT * 16 AS w, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS b FROM part))""")
-    r.add("memory_estimate", lambda s, d: table(s, d, "part").select("p_partkey", *[c.alias(k) for k, c in formulas.training_memory(size * 1_000_000, one * 8, one * 1024, size * 16, size, one * 32_768).items()]), """
+    r.add("memory_estimate", lambda s, d: table(s, d, "part").select("p_partkey", *[c.alias(k) for k, c in formulas.training_memory(size() * 1_000_000, one() * 8, one() * 1024, size() * 16, size(), one() * 32_768).items()]), """
         SELECT p_partkey, w AS weight_bytes, w AS gradient_bytes, 2 * w AS optimizer_bytes, a AS activation_bytes, h AS headroom_bytes, 4 * w + a + h AS total_bytes
         FROM (SELECT *, greatest((4 * w + a + 4) // 5, 536870912) AS h FROM (SELECT p_partkey, p_size::BIGINT * 4000000 AS w, 8192 * (p_size::BIGINT * 16 * p_size * 16 + 65536) * 4 AS a FROM part))""")
-    r.add("decode_cost", lambda s, d: table(s, d, "part").select("p_partkey", formulas.decode_flops(*shape[:4], size * 3, F.col("p_partkey") % 6, F.col("p_partkey") % 2 == 0).alias("flops")), """
+    r.add("decode_cost", lambda s, d: table(s, d, "part").select("p_partkey", formulas.decode_flops(*shape()[:4], size() * 3, F.col("p_partkey") % 6, F.col("p_partkey") % 2 == 0).alias("flops")), """
         SELECT p_partkey, CAST(coalesce((SELECT sum(2 * e * q + 4 * l * w * q * (p + i)) FROM (SELECT i, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE p + i END AS q FROM range(1, p_partkey % 6 + 1) t(i))), 0) AS BIGINT) AS flops
         FROM (SELECT p_partkey, p_size::BIGINT AS l, p_size::BIGINT * 16 AS w, p_size::BIGINT * 3 AS p, p_size::BIGINT * 12 * (p_size::BIGINT * 16) * (p_size::BIGINT * 16) + p_size::BIGINT * 16 * 32768 AS e FROM part)""")
-    sampled, seconds, first = F.col("event_id") % 4, F.col("value") + 1, F.when(F.col("event_id") % 3 == 0, F.lit(0.5))
-    r.add("generation_metrics", lambda s, d: nine(table(s, d, "events").select("event_id", *[c.alias(k) for k, c in formulas.generation_metrics(sampled, seconds, first).items()]), "decode_seconds", "tokens_per_second"), """
+    sampled = lambda: F.col("event_id") % 4
+    seconds = lambda: F.col("value") + 1
+    first = lambda: F.when(F.col("event_id") % 3 == 0, F.lit(0.5))
+    r.add("generation_metrics", lambda s, d: nine(table(s, d, "events").select("event_id", *[c.alias(k) for k, c in formulas.generation_metrics(sampled(), seconds(), first()).items()]), "decode_seconds", "tokens_per_second"), """
         SELECT event_id, f AS prefill_seconds, CASE WHEN n > 1 THEN round(greatest(t - f, 0) / (n - 1), 9) END AS decode_seconds, CASE WHEN n > 0 THEN round(n / t, 9) END AS tokens_per_second
         FROM (SELECT *, coalesce(CASE WHEN event_id % 3 = 0 THEN 0.5 END, CASE WHEN n > 0 THEN t END) AS f FROM (SELECT event_id, event_id % 4 AS n, value + 1 AS t FROM events))""")
-    r.add("eval_steps", lambda s, d: table(s, d, "part").select("p_partkey", formulas.eval_steps(one * 1_000_000, size, one * 1024, one * 2).alias("steps"), *[c.alias(k) for k, c in formulas.token_budget(size, one * 1024, one * 2, one * 3).items()]), """
+    r.add("eval_steps", lambda s, d: table(s, d, "part").select("p_partkey", formulas.eval_steps(one() * 1_000_000, size(), one() * 1024, one() * 2).alias("steps"), *[c.alias(k) for k, c in formulas.token_budget(size(), one() * 1024, one() * 2, one() * 3).items()]), """
         SELECT p_partkey, CAST(1000000 // (p_size * 2048) AS BIGINT) AS steps, CAST(p_size * 2048 AS BIGINT) AS micro_step_tokens, CAST(p_size * 6144 AS BIGINT) AS optimizer_step_tokens FROM part""")
