@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..registry import Registry
-from . import chat, corpus, evaluation, packing, tokens
+from . import chat, corpus, evaluation, packing, reports, tokens
 
 REGISTRY = Registry()
-for _family in (corpus, tokens, chat, evaluation, packing):
+for _family in (corpus, tokens, chat, evaluation, packing, reports):
     _family.register(REGISTRY)
