@@ -2,7 +2,7 @@
 
 Intermediate tables go to ``spark.checkpoint.dir``, the folder that driver and executors
 share. It is read from the session; only where it is unset (tests, notebooks) a local
-temporary folder is chosen and set, once a session.
+temporary folder is chosen, once an application.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONF = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that every executor sees."""
     at = spark.conf.get(CONF, None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set(CONF, at)
+    if not at:  # the setting can't be changed once a session runs, so the choice is kept here
+        at = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="tessera-")
+        _own[spark.sparkContext.applicationId] = at
     return at.rstrip("/")
 
 
