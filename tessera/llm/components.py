@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .common import written
 
@@ -33,15 +34,28 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     kind = edges.schema["a"].dataType
     now = written(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     for _ in range(most_rounds):
         now = written(_small_star(_large_star(now)), "stars")
-        # the edges are done when each node hangs on one root and no root hangs on another
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if before == state:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return out.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).select(F.col("node").cast(kind), F.col("component").cast(kind))
+        # stars: each node hangs on one other, and what others hang on hangs on nothing
+        twice = now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+        if now.select(F.col("b").alias("a")).join(now.select("a"), "a", "left_semi").union(twice).isEmpty():
+            return _listed(now, kind)
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def roots(parents: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """``node, component`` of a forest in which each node of column b hangs on one lesser node in column a: pointers jump to pointers' pointers."""
+    kind = parents.schema["a"].dataType
+    now = written(parents.select(F.col("b").alias("a"), F.col("a").alias("b")), "stars")
+    for _ in range(most_rounds):
+        above = now.select(F.col("a").alias("b"), F.col("b").alias("up"))
+        if above.join(now.select("b"), "b", "left_semi").isEmpty():
+            return _listed(now, kind)
+        now = written(now.join(above, "b", "left").select("a", F.coalesce("up", "b").alias("b")), "stars")
+    raise RuntimeError(f"roots were not reached in {most_rounds} rounds")
+
+
+def _listed(stars: DataFrame, kind: DataType) -> DataFrame:
+    """All nodes of stars with their centres."""
+    centres = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(centres).select(F.col("node").cast(kind), F.col("component").cast(kind))

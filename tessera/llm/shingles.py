@@ -14,7 +14,7 @@ below 1e-12 a set. The order puts frequent segments last, so passages that many
 are rarely in a prefix; it changes the cost only, never the result.
 
 Runs of equal segments come from one sort, read as a stream. A short run gives all its pairs, a long
-one its members paired with the first. After the links of these are verified, members
+one its members paired with the first and the few just before. After the links of these are verified, members
 of a long run that are still in different components meet in bounded blocks. So a group of
 copies costs a pair a member, and no link between components is lost.
 
@@ -40,13 +40,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_map, record, table, text_of, written
-from .components import components
+from .components import components, roots
 
 WORDS, FINE = 5, 7
 #: Runs of up to so many sets give all pairs; in blocks of so many others meet.
 SHORT, BLOCK = 8, 2048
-#: Segments that so many sets of a batch share may be frequent; so many are told to all tasks.
-LOCAL, FREQUENT = 8, 100_000
+#: In longer ones each set is paired with the first and with so many before it.
+CHAIN = 3
+#: Segments that so many sets of a batch share may be frequent; so many of these are told to all tasks.
+LOCAL, FREQUENT = 2, 200_000
+#: Bits of the filter that keeps texts of unpaired documents from shuffles.
+FILTER_BITS = 1 << 25
 #: The similarity as a fraction.
 NUM, DEN = 75, 100
 
@@ -149,8 +153,8 @@ def signatures(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.n
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """The parity sketch: about as many bits as shingles, at least 64."""
-    bits = max(64, 1 << band(max(1, len(own))))
+    """The parity sketch: four to eight bits a shingle, at least 1024, so that the distance hardly falls short of the difference of sets that nearly link."""
+    bits = max(1024, 8 << band(max(1, len(own))))
     on = np.bincount((own & np.uint64(bits - 1)).astype("i8"), minlength=bits) & 1
     return np.packbits(on.astype("u1"), bitorder="little").tobytes()
 
@@ -221,18 +225,15 @@ class Runs:
             if self.keys and k == self.keys[-1]:
                 continue
             self.keys.append(k)
-            if not self.long and len(self.keys) > SHORT:
+            if self.long or len(self.keys) > SHORT:
+                for i in range(1 if not self.long else len(self.keys) - 1, len(self.keys)):
+                    # the first, marked with the run, and those just before
+                    for a, sig in ((self.keys[0], self.sig), *((x, None) for x in self.keys[max(1, i - CHAIN) : i])):
+                        out[0].append(a)
+                        out[1].append(self.keys[i])
+                        out[2].append(sig)
                 self.long = True
-                new = self.keys[1:]
-            elif self.long:
-                new = self.keys[-1:]
-            else:
-                continue
-            for b in new:
-                out[0].append(self.keys[0])
-                out[1].append(b)
-                out[2].append(self.sig)
-            self.keys = [self.keys[0], self.keys[-1]]
+                self.keys = [self.keys[0], *self.keys[-CHAIN:]]
 
     def take(self, sig: np.ndarray, key: np.ndarray) -> tuple[list, list, list]:
         out: tuple[list, list, list] = ([], [], [])
@@ -301,10 +302,29 @@ def near_enough(pairs: DataFrame) -> DataFrame:
     return arrow_map(fits.select(*rest, "na", "nb", "sa", "sb"), run, ", ".join(f"{c} {types[c]}" for c in rest))
 
 
+def of_interest(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be among ``ids``: by a bitmap of hashed ids of a fixed size, so others may pass, but none is lost."""
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.groupBy(F.floor(at / 32_768).cast("int").alias("k")).agg(F.bitmap_construct_agg(at % 32_768).alias("bits")).collect()  # at most FILTER_BITS / 8 bytes
+    bitmap = np.zeros(FILTER_BITS // 8, dtype="u1")
+    for r in words:
+        bitmap[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(bytes(r["bits"]), dtype="u1")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        at = b["at"].to_numpy()
+        return b.select(["id", "text"]).filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+
+    return arrow_map(docs.where("id is not null").select("id", "text", at.alias("at")), run, "id long, text string")
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of ids whose texts link; only the texts of paired documents are shuffled."""
-    left = pairs.select("a", "b").join(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(docs.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    """The pairs ``a, b`` of ids whose texts link; hardly any but the texts of paired documents are shuffled."""
+    both_ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    texts = of_interest(docs, both_ids)
+    # the same joins at every size: pairs grow with the corpus, so they are never broadcast
+    left = pairs.select("a", "b").hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,7 +333,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok = [links(x, y) for x, y in zip(sets(b["ta"]), sets(b["tb"]), strict=True)]
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct(), "shingle_links")
 
 
 def with_component(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -322,6 +342,13 @@ def with_component(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs
 
 
+def joined_by(found: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Components after the links among written ``pairs``."""
+    if pairs.isEmpty() or (links_ := verified(pairs, docs)).isEmpty():
+        return found
+    return written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links_)), "shingle_components")
+
+
 def blocks(members: DataFrame) -> DataFrame:
     """Pairs of members of a run, ``sig, id, n, sketch, comp``, that are in different components and near enough; in blocks."""
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.countDistinct("comp").alias("c")).where("c > 1").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
@@ -371,20 +398,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = written(near_enough(ids), "shingle_near")
 
     best = near.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("shared"), "a"))).where("r = 1")
-    linked = written(verified(best, base), "shingle_links")
-    comps = components(linked)
-    open_ = with_component(near.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), comps).where("ca != cb")
-    more = written(verified(open_, base), "shingle_links")
-    linked = linked.union(more)
-    comps = written(components(linked), "shingle_components")
+    comps = written(roots(verified(best, base)), "shingle_components")  # each b hangs on one lesser a
 
+    # further partners, then members of long runs among each other, each time only across components
+    further = with_component(near.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), comps).where("ca != cb").select("a", "b")
+    comps = joined_by(comps, written(further, "shingle_rest"), base)
     ends = found.where("sig is not null")
     keyed = ends.select("sig", F.col("a").alias("k1")).union(ends.select("sig", F.col("b").alias("k1"))).distinct()
-    members = keyed.join(classes, "k1").select("sig", F.col("rep").alias("a"), F.col("rep").alias("b"), "n", "sketch")
-    members = with_component(members, comps).select("sig", F.col("a").alias("id"), "n", "sketch", F.col("ca").alias("comp"))
-    late = written(verified(written(blocks(members), "shingle_blocks"), base), "shingle_links")
-    if not late.isEmpty():
-        comps = components(linked.union(late))
+    members = keyed.join(classes, "k1").select("sig", F.col("rep").alias("id"), "n", "sketch")
+    members = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    comps = joined_by(comps, written(blocks(members), "shingle_rest"), base)
 
     nodes = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = known.select("doc_id", "k1", "k2", "n").join(nodes, ["k1", "k2"], "left")
