@@ -64,6 +64,7 @@ def test_runs_do_not_depend_on_batches():
         own = key[sig == s].tolist()
         if len(own) > shingles.SHORT:
             want += [(own[0], b, int(s)) for b in own[1:]]
+            want += [(own[j], b, None) for i, b in enumerate(own) for j in range(max(1, i - shingles.CHAIN), i)]
         else:
             want += [(a, b, None) for i, a in enumerate(own) for b in own[i + 1 :]]
     for cuts in ([], [1, 2, 3], list(range(len(sig))), [100, 200, 400]):
