@@ -11,6 +11,7 @@ holds two bounded generations; what it drops changes no result.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -140,3 +141,11 @@ def library_cache(path: str, blank_free: bool) -> ChunkCache:
         return out
 
     return ChunkCache(whole, glued, blank_free)
+
+
+def released() -> None:
+    """Gives back what this worker keeps for tokenizers; for tasks that need the memory and no tokenizer."""
+    if library_cache.cache_info().currsize:
+        library_cache.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .chunks import released
 from .common import arrow_map, record, table, text_of, written
 from .components import components, roots
 
@@ -185,6 +186,7 @@ def facts(docs: DataFrame) -> DataFrame:
     batch, with its first row, the segments that many of its sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()  # workers are used again, also after packing
         for b in batches:
             k1, k2, n, raw, seen = [], [], [], [], {}
             for own in sets(b["text"]):
@@ -272,6 +274,7 @@ def candidate_pairs(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) ->
         return record(sig=pa.array(np.concatenate(sig).astype("i8")), key=pa.array(np.concatenate(key)))
 
     def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 yield emit(b.slice(i, 1000))
