@@ -8,9 +8,10 @@ Whoever wants one plan over a whole corpus makes it one group and pays for a sin
 from __future__ import annotations
 
 import heapq
+import itertools
 import random
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -118,28 +119,34 @@ def epoch_order(docs: DataFrame, seed: int, epoch: int, key: str = "doc_id") ->
     return docs.withColumn("epoch_rank", F.sha2(F.concat_ws(":", F.lit(f"{seed}:{epoch}"), F.col(key).cast("string")), 256))
 
 
-def buffered(batches: Iterable[list[tuple[int, list[int]]]], rows: int, length: int, bos: int, least: int) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
+def buffered(batches: Iterable[list[tuple[int, Sequence[int]]]], rows: int | None, length: int, bos: int, least: int) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
     """Destructive packing: rows of ``length`` + 1 ids and, of each, the (document, prefix) it kept.
 
-    A buffer of at least ``least`` documents is refilled in batches from a source that cycles. A row takes the
+    A buffer of at least ``least`` documents is refilled in batches from the source. A row takes the
     first largest document that fits with its BOS; if none does, the first shortest one, whose tail is lost.
+    Where the source ends, the buffer runs empty and the last row is filled up with BOS; ``rows`` None
+    goes on until then.
     """
-    buffer: list[tuple[int, list[int]]] = []
+    buffer: list[tuple[int, Sequence[int]]] = []
     source = iter(batches)
-    for _ in range(rows):
+    for _ in itertools.count() if rows is None else range(rows):
         row: list[int] = []
         kept: list[tuple[int, int]] = []
         while len(row) < length + 1:
-            while len(buffer) < least:
-                buffer += next(source)
+            while len(buffer) < least and (more := next(source, None)) is not None:
+                buffer += more
+            if not buffer:
+                break
             room = length + 1 - len(row)
             sizes = [len(ids) + 1 for _, ids in buffer]
             fitting = [n for n in sizes if n <= room]
             doc, ids = buffer.pop(sizes.index(max(fitting) if fitting else min(sizes)))
-            taken = ([bos] + ids)[:room]
+            taken = [bos, *ids[: room - 1]]
             row += taken
             kept.append((doc, len(taken) - 1))
-        yield row, kept
+        if not kept:
+            return
+        yield row + [bos] * (length + 1 - len(row)), kept
 
 
 def mixture_order(sizes: list[tuple[str, int, int]], seed: int, epoch: int) -> list[str]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bpe, budget, conversations, row_packing
-from ..operators.byte_pairs import byte_encode
 from ..registry import Registry
 from ..sources.shards import table
 from .corpus import counted, pseudo_shards
@@ -14,14 +17,29 @@ from .corpus import counted, pseudo_shards
 LENGTH, BOS = 256, 256
 
 
+def sizes(s: SparkSession, d: str) -> DataFrame:
+    """Whole documents by their UTF-8 bytes; a null text is empty."""
+    docs = pseudo_shards(s, d).select("shard_index", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.withColumn("n_tokens", F.octet_length("text"))
+
+
 def tokens(s: SparkSession, d: str) -> DataFrame:
-    docs = pseudo_shards(s, d)
-    return docs.select("shard_index", "doc_id", byte_encode(F.substring("text", 1, 600)).alias("ids")).withColumn("n_tokens", F.size("ids"))
+    """The bytes of whole texts as ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):  # an id takes four times its byte
+                part = b.slice(i, 500)
+                offsets = np.concatenate([[0], np.cumsum(part["n_tokens"].to_numpy())]).astype("i4")
+                ids = np.frombuffer("".join(part["text"].to_pylist()).encode(), dtype="u1").astype("i4")
+                yield pa.RecordBatch.from_arrays([part["shard_index"], part["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["shard_index", "doc_id", "ids"])
+
+    return sizes(s, d).mapInArrow(run, "shard_index int, doc_id long, ids array<int>")
 
 
 def rows(s: SparkSession, d: str) -> DataFrame:
-    own = tokens(s, d)
-    return row_packing.materialised(row_packing.best_fit_rows(own, LENGTH, "shard_index"), own.select("shard_index", "doc_id", "ids"), LENGTH, BOS, "shard_index")
+    plan = row_packing.best_fit_rows(sizes(s, d).drop("text"), LENGTH, "shard_index")
+    return row_packing.materialised(plan, tokens(s, d), LENGTH, BOS, "shard_index")
 
 
 def conversation_sizes(s: SparkSession, d: str) -> DataFrame:
@@ -54,21 +72,21 @@ def register(r: Registry) -> None:
     r.add("random_offsets", random_offsets)
 
     def buffered(s: SparkSession, d: str) -> DataFrame:
-        """Eight rows a shard; memory holds the buffer and a batch."""
+        """As many rows as one pass over a shard fills: each of its documents is taken once, and the last row is filled up with BOS."""
         import pandas as pd
 
-        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            own = [(a, list(b)) for a, b in zip(pdf.sort_values("doc_id")["doc_id"], pdf.sort_values("doc_id")["ids"], strict=True)]
-
-            def cycle():
-                while True:
-                    for i in range(0, len(own), 128):
-                        yield own[i : i + 128]
+        # sizes are whole; of its bytes, a row has no room for more than LENGTH of one document
+        own = sizes(s, d).select("shard_index", "doc_id", "n_tokens", F.substring(F.encode("text", "utf-8"), 1, LENGTH).alias("head"))
 
-            packed = list(row_packing.buffered(cycle(), 8, LENGTH, BOS, min(1000, len(own))))
-            return pd.DataFrame({"shard_index": key[0], "row": range(8), "n_documents": [len(k) for _, k in packed], "ids": [",".join(map(str, x)) for x, _ in packed]})
-
-        return tokens(s, d).groupBy("shard_index").applyInPandas(run, "shard_index int, row int, n_documents int, ids string")
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("doc_id")
+            docs, heads = [(i, range(n)) for i, n in enumerate(pdf["n_tokens"].tolist())], pdf["head"].tolist()
+            source = (docs[i : i + 128] for i in range(0, len(docs), 128))
+            packed = [kept for _, kept in row_packing.buffered(source, None, LENGTH, BOS, 1000)]
+            ids = [[x for i, n in kept for x in (BOS, *heads[i][:n])] for kept in packed]
+            return pd.DataFrame({"shard_index": key[0], "row": range(len(packed)), "n_documents": [len(k) for k in packed], "ids": [",".join(map(str, x + [BOS] * (LENGTH + 1 - len(x)))) for x in ids]})
+
+        return own.groupBy("shard_index").applyInPandas(run, "shard_index int, row int, n_documents int, ids string")
 
     r.add("buffered_pack", buffered)
 
