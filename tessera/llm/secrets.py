@@ -37,7 +37,8 @@ class CharClass:
     entropy: float
 
 
-CLASSES = (CharClass("entropy_hex", r"(?<![A-Za-z0-9+/_=-])[0-9a-fA-F]{20,}(?![A-Za-z0-9+/_=-])", 20, 2.9), CharClass("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.9))
+#: Next to a hex run, "=", "/", "-", "_" and "+" end a name, as in HMAC_KEY=9F86...
+CLASSES = (CharClass("entropy_hex", r"(?<![A-Za-z0-9])[0-9a-fA-F]{20,}(?![A-Za-z0-9])", 20, 2.9), CharClass("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.9))
 #: Never secrets: words without digits, numbers, UUIDs, runs of one character, and marked examples. Hex runs are left to their own class.
 ALLOWED = {
     "entropy_hex": (r"^[0-9]+$", r"^[A-Fa-f]+$", r"^(.)\1+$"),

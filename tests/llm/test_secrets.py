@@ -50,3 +50,17 @@ def test_entropy_spans_and_allow_list(spark):
     assert not any(got[i].entropy_base64 or got[i].entropy_hex for i in (2, 3, 4, 5))
     assert len(got[6].entropy_hex) == 1 and not got[6].entropy_base64
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_hex_next_to_names(spark):
+    r = random.Random(6)
+    marks = ["HMAC=", "HMAC_KEY=", "key/", "hmac-", "k_", "a+", " "]
+    rows = []
+    for i in range(84):
+        word = "".join(r.choice("0123456789ABCDEF") for _ in range((20, 23, 32, 64)[i % 4]))
+        rows.append((i, f"see {marks[i % 7]}{word}{('', ' ', '/x', '=', '-z', '_')[i % 6]}", word))
+    want = {i: (t.index(w, 4 + len(marks[i % 7])), len(w)) for i, t, w in rows if entropy(w, 20) >= 2.9 and not w.isdigit() and not w.isalpha()}
+    got = {x.doc_id: [(s.start, s.end - s.start) for s in x.entropy_hex] for x in secrets.scan(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).select("doc_id", "entropy_hex").collect()}
+    assert len(want) > 60 and {i: v for i, v in got.items() if v} == {i: [v] for i, v in want.items()}
+    glued = spark.createDataFrame([(1, "x9F86D081884C7D659A2FEAA0z"), (2, "G9F86D081884C7D659A2FEAA0")], "doc_id long, text string")
+    assert not any(x.entropy_hex for x in secrets.scan(glued).select("entropy_hex").collect())
