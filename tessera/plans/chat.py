@@ -54,8 +54,7 @@ def register(r: Registry) -> None:
         SELECT item_id, CASE WHEN len(w) = 4 THEN 'Multiple Choice question: ' || text || chr(10) || array_to_string(list_transform(w, lambda c, i: '- ' || c || '=' || ['A','B','C','D'][i] || chr(10)), '')
                || chr(10) || 'Respond only with the letter of the correct answer.' END AS prompt FROM (SELECT *, string_split(text, ' ')[1:4] AS w FROM benchmark)""")
     k = lambda: F.col("doc_id") % 5
-    start = lambda: F.substring("text", 1, 40)
-    fence = lambda: F.when(k() == 0, start()).when(k() == 1, F.concat(F.lit("```python\n"), start(), F.lit("\n```"))).when(k() == 2, F.concat(F.lit("```\n"), start(), F.lit("\n```"))).when(k() == 3, F.concat(F.lit("```\n"), start())).otherwise(F.concat(F.lit("```js\n"), start(), F.lit("\n```")))
+    fence = lambda: F.when(k() == 0, F.col("text")).when(k() == 1, F.concat(F.lit("```python\n"), F.col("text"), F.lit("\n```"))).when(k() == 2, F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```"))).when(k() == 3, F.concat(F.lit("```\n"), F.col("text"))).otherwise(F.concat(F.lit("```js\n"), F.col("text"), F.lit("\n```")))
     r.add("code_fence_class", lambda s, d: table(s, d, "documents").select("doc_id", T.fence_class(fence()).alias("fence")), """
         SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'plain_code' WHEN 1 THEN 'balanced_python_fence' WHEN 2 THEN 'balanced_untyped_fence' ELSE 'malformed_fence' END AS fence FROM documents""")
     answer = lambda c: F.concat(F.lit("so "), F.when(k() == 4, "####  ").otherwise("#### "), F.format_string("%s", c))

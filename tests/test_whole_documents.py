@@ -1,4 +1,4 @@
-"""Packing queries over documents longer than any prefix, and shards longer than any number of rows."""
+"""Queries over documents longer than any prefix, and packing of shards longer than any number of rows."""
 
 import random
 from collections import Counter
@@ -51,3 +51,10 @@ def test_buffered_runs_empty_where_its_source_ends():
     rows = list(P.buffered(iter([[(0, [1, 2]), (1, [3])], [(2, [4, 5, 6, 7, 8])]]), None, 4, 99, 2))
     assert rows == [([99, 1, 2, 99, 3], [(0, 2), (1, 1)]), ([99, 4, 5, 6, 7], [(2, 4)])]
     assert list(P.buffered(iter([[(0, [1])]]), None, 4, 99, 2)) == [([99, 1, 99, 99, 99], [(0, 1)])]
+
+
+def test_fence_class_sees_the_whole_text(spark, tmp_path):
+    late = {1: "x" * 3000, 5: "x" * 3000 + "```", 6: "x" * 50 + "\n```\ny", 7: "x" * 45 + "\ny"}
+    spark.createDataFrame(list(late.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.fence for x in catalog.REGISTRY.queries["code_fence_class"](spark, str(tmp_path)).collect()}
+    assert got == {1: "balanced_python_fence", 5: "malformed_fence", 6: "malformed_fence", 7: "balanced_untyped_fence"}
