@@ -6,12 +6,16 @@ between characters that aren't white space. So the ids of a text are the ids of
 none is first or last; other texts are encoded whole. Arrow splits a group of texts and finds
 its distinct chunks; only these are looked up, and only unknown ones are encoded. The cache
 holds two bounded generations; what it drops changes no result.
+
+This holds for two kinds of tokenizer files, which ``kind_of`` tells by their settings. Texts of
+any other file, and texts in which an added token is spelled, are given to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
 import gc
+import json
 import os
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -23,25 +27,34 @@ import pyarrow.compute as pc
 UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
 #: A run of letters that Unicode tables of any version agree on, and what follows it, of ASCII.
 WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x21-\x7E]*)")
+#: Chunks in a generation of the cache, some 250 bytes each.
+LIMIT = 100_000
 
 
 class ChunkCache:
     """``encode(texts)`` yields the little-endian uint32 ids of each text as bytes.
 
     ``whole(strings)`` encodes complete strings. ``glued(chunks)`` encodes chunks as they stand inside a
-    text: one that begins with a line feed as it is, any other after a space. ``blank_free``: the
-    tokenizer drops white space, so a first chunk is like any other and nothing else matters.
+    text: one that begins with a line feed as it is, any other after a space; without it, all texts
+    are encoded whole. ``blank_free``: the tokenizer drops white space, so a first chunk is like any
+    other and nothing else matters. ``apart``: texts in which this is found are encoded whole.
     """
 
-    def __init__(self, whole: Callable[[Sequence[str]], list[bytes]], glued: Callable[[Sequence[str]], list[bytes]], blank_free: bool = False, limit: int = 400_000):
-        self.whole, self.glued, self.blank_free, self.limit = whole, glued, blank_free, limit
+    def __init__(self, whole: Callable[[Sequence[str]], list[bytes]], glued: Callable[[Sequence[str]], list[bytes]] | None, blank_free: bool = False, apart: re.Pattern | None = None, limit: int = LIMIT):
+        self.whole, self.glued, self.blank_free, self.apart, self.limit = whole, glued, blank_free, apart, limit
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: Sequence[str], group_chars: int = 2_000_000) -> Iterator[bytes]:
+    def encode(self, texts: Sequence[str], group_chars: int = 1_000_000) -> Iterator[bytes]:
         group: list[str] = []
         size = 0
         for text in texts:
+            if self.apart and self.apart.search(text):
+                if group:
+                    yield from self._group(group)
+                    group, size = [], 0
+                yield from self.whole([text])
+                continue
             group.append(text)
             size += len(text)
             if size > group_chars:
@@ -51,6 +64,8 @@ class ChunkCache:
             yield from self._group(group)
 
     def _group(self, texts: list[str]) -> list[bytes]:
+        if self.glued is None:
+            return self.whole(texts)
         if self.blank_free:
             return self._joined(texts)
         even = [not UNEVEN.search(t) for t in texts]
@@ -105,14 +120,51 @@ def byte_characters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(other)}
 
 
+def kind_of(spec: dict) -> str | None:
+    """"bytes" for byte-level BPE with its own pattern, "words" for BPE of lower-case words without white space; None for all else."""
+    model, normal, pre = spec["model"], spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if not plain or any(t["normalized"] for t in spec.get("added_tokens") or ()):
+        return None
+    if not normal and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True) and not model.get("end_of_word_suffix"):
+        return "bytes"
+    steps = [n.get("type") for n in (normal or {}).get("normalizers", ())]
+    split, *rest = pre.get("pretokenizers") or [{}]
+    dropped = split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and split["pattern"].get("Regex") == WORDS
+    after = [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest]
+    if steps == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and normal["normalizers"][1]["content"] == " " and dropped and after == [("ByteLevel", False, False)]:
+        return "words"
+    return None
+
+
+#: The pattern of word tokenizers whose chunks stand alone (a fixed value).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def spec_of(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def width_of(path: str) -> int:
+    """Bytes that each id of a tokenizer file takes: 2 or 4."""
+    spec = spec_of(path)
+    top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens") or ())], default=0) if isinstance(spec["model"]["vocab"], dict) else 1 << 16
+    return 2 if top < 1 << 16 else 4
+
+
 @functools.lru_cache(maxsize=4)
-def library_cache(path: str, blank_free: bool) -> ChunkCache:
-    """A cache over a ``tokenizers`` file; one a worker process."""
+def library_cache(path: str, special_as_text: bool = False) -> ChunkCache:
+    """A cache over a ``tokenizers`` file; one a worker process. ``special_as_text``: added tokens that a text spells are ordinary text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t, spec = Tokenizer.from_file(path), spec_of(path)
+    t.encode_special_tokens = special_as_text
+    kind = kind_of(spec)
+    names = [re.escape(x["content"]) for x in spec.get("added_tokens") or () if not (special_as_text and x["special"])]
+    apart = re.compile("|".join(names)) if names else None
+    blank_free = kind == "words"
     merge, letters = t.model.tokenize, byte_characters()
     space = "" if blank_free else chr(letters[0x20])
     ends: dict[tuple[str, str], tuple[bytes, bytes]] = {}
@@ -140,7 +192,7 @@ def library_cache(path: str, blank_free: bool) -> ChunkCache:
             out.append(rest[0] + ids + rest[1])
         return out
 
-    return ChunkCache(whole, glued, blank_free)
+    return ChunkCache(whole, glued if kind else None, blank_free, apart)
 
 
 def released() -> None:

@@ -7,7 +7,10 @@ lengths left finds the fullest feasible combination, which is taken as often as
 allow. Pieces then get their place by their rank among the pieces of their length; ranks are
 windows over (length, salt), so a length that a third of all pieces share is dealt out.
 
-Defined results: null text is empty and still one piece (the end id); a null id, equal ids and
+Ids are those that the tokenizers library gives with its defaults, so a text that spells an added token
+gets that token's id.
+
+Defined results: a text of any length is encoded a group at a time; null text is empty and still one piece (the end id); a null id, equal ids and
 repeated rows are packed like any other row; an empty table gives an empty result; other
 columns are ignored, whatever their names.
 """
@@ -24,12 +27,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import library_cache
-from .common import record, table, text_of, written
+from .common import record, sliced, table, text_of, written
 
 CAPACITY, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that a rank window holds, about.
 GROUP = 100_000
+#: Documents that a worker holds at a time.
+ROWS = 1000
 
 
 def fullest(counts: dict[int, int], space: int) -> list[tuple[int, int]]:
@@ -117,8 +122,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = library_cache(tokenizer, False)
-        for batch in batches:
+        cache = library_cache(tokenizer)
+        for batch in sliced(batches, ROWS):
             doc, piece, start, length, crc, raw = [], [], [], [], [], []
             for key, ids in zip(batch["id"].to_pylist(), cache.encode(batch["text"].to_pylist()), strict=True):
                 ids += end
@@ -129,7 +134,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
                     start.append(at)
                     length.append(n)
                     crc.append(zlib.crc32(own))
-                    raw.append(own)
+                    if keep_ids:
+                        raw.append(own)
             out = {"doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
             yield record(**out, **({"ids": pa.array(raw, pa.binary())} if keep_ids else {}))
 

@@ -20,7 +20,8 @@ Image, little-endian::
 
 Defined results: null text is empty (the end id alone); null ids come first; equal ids and
 repeated rows are ordered by text; an empty table gives an empty result; other columns are
-ignored, whatever their names.
+ignored, whatever their names. Ids are those that the tokenizers library gives with its defaults; an
+id that doesn't fit the image's width is an error.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import library_cache
+from .chunks import library_cache, width_of
 from .common import record, table, text_of, written
 
 MAGIC, SAMPLE = b"TESSERA1", 256
@@ -89,7 +90,11 @@ class EliasFano:
         for _ in range(need):
             bits &= bits - 1
         at = (word << 6) + (bits & -bits).bit_length() - 1
-        return (at - i << self.low_bits) | int(self._low(np.array([i]))[0])
+        word, shift = divmod(i * self.low_bits, 64)
+        low = int(self.low[word]) >> shift if self.low_bits else 0
+        if shift + self.low_bits > 64:
+            low |= int(self.low[word + 1]) << 64 - shift
+        return (at - i << self.low_bits) | low & (1 << self.low_bits) - 1
 
     def all(self) -> np.ndarray:
         at = np.flatnonzero(np.unpackbits(self.high.view("u1"), bitorder="little"))
@@ -101,6 +106,8 @@ def image(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
     """An image of documents whose ids come as little-endian uint32 bytes."""
     ef = EliasFano.build(np.cumsum([len(x) // 4 for x in ids]))
     flat = np.frombuffer(b"".join(ids), dtype="<u4")
+    if len(flat) and int(flat.max()) >> 8 * width:
+        raise ValueError(f"id {flat.max()} doesn't fit {width} bytes")
     valid = np.array([x is not None for x in doc_ids], dtype=bool)
     names = np.array([x or 0 for x in doc_ids], dtype="<i8")
     head = HEAD.pack(MAGIC, width, ef.low_bits, ef.n, len(flat), len(ef.high))
@@ -137,21 +144,22 @@ class Image:
 IMAGES = "part int, before long, n_docs long, n_ids long, image binary"
 
 
-def write_images(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2, image_ids: int = 2_000_000) -> DataFrame:
+def write_images(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, image_ids: int = 2_000_000) -> DataFrame:
     """The written table of images in ascending order of document ids: ``part``, then ``before``.
 
-    Documents are dealt out by ranges of their ids; each task encodes its range in order and closes
+    ``width`` is what the tokenizer's ids and the end id need, unless it is given. Documents are dealt out by ranges of their ids; each task encodes its range in order and closes
     an image after ``image_ids`` ids, so memory is bounded by an image and a document.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = width or (4 if end_id >> 16 else width_of(tokenizer))
     end = np.array([end_id], dtype="<u4").tobytes()
     ordered = text_of(docs, id_col, text_col).repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, cache = TaskContext.get().partitionId(), library_cache(tokenizer, True)
+        part, cache = TaskContext.get().partitionId(), library_cache(tokenizer)
         names, own, size, before = [], [], 0, 0
 
         def closed() -> pa.RecordBatch:
@@ -172,7 +180,10 @@ def write_images(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
 
 
 def read_images(images: DataFrame, with_ids: bool = True) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` and ``ids`` (little-endian uint32) from written images; ``start`` counts over all of them."""
+    """``doc_id, start, n_tokens, ids_crc32`` and ``ids`` (little-endian uint32) from written images; ``start`` counts over all of them.
+
+    A document's place in its image comes from the select structure.
+    """
     totals = images.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row a write task
     base, at = {}, 0
     for r in totals:
@@ -183,7 +194,7 @@ def read_images(images: DataFrame, with_ids: bool = True) -> DataFrame:
         for batch in batches:
             for part, before, raw in zip(*(batch[c].to_pylist() for c in ("part", "before", "image")), strict=True):
                 one = Image.read(raw)
-                ends = one.ends.all()
+                ends = np.fromiter(map(one.ends.select, range(one.ends.n)), dtype="i8", count=one.ends.n)
                 starts = np.concatenate([[0], ends[:-1]])
                 wide = memoryview(one.ids.astype("<u4")).cast("B")
                 own = [wide[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

@@ -79,13 +79,15 @@ def test_empty_table(spark):
     assert packing.best_fit_packing(spark.createDataFrame([], "doc_id long, text string"), BPE).collect() == []
 
 
-@pytest.mark.parametrize("file, blank_free", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_chunk_cache_is_exact(file, blank_free):
+@pytest.mark.parametrize("as_text", [False, True])
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunk_cache_is_exact(file, as_text):
     r = random.Random(7)
-    parts = [" ", " ", "\n", "\t", "a", "Bc", "É", "'s", "1", "!", "%%", "　", "ß", "İ", "\x1f", "語", "<|endoftext|>"]
+    parts = [" ", " ", "\n", "\t", "a", "Bc", "É", "'s", "1", "!", "%%", "　", "ß", "İ", "\x1f", "語", "<|endoftext|>", "<|startoftext|>", "<|"]
     texts = ["", " ", "\n", "\nfoo", "a\nb", "a ", "don't  stop", "\x85 a\x85\x85b"] + ["".join(r.choice(parts) for _ in range(r.randint(1, 16))) for _ in range(3000)]
     t = Tokenizer.from_file(public_tokenizers.path(file))
-    t.encode_special_tokens = True
-    cache = chunks.library_cache(public_tokenizers.path(file), blank_free)
+    t.encode_special_tokens = as_text
+    cache = chunks.library_cache(public_tokenizers.path(file), as_text)
+    assert cache.glued is not None
     for text, ids in zip(texts, cache.encode(texts, 500), strict=True):
         assert chunks.packed(t.encode(text, add_special_tokens=False).ids) == ids, text

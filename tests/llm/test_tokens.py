@@ -1,6 +1,7 @@
 """Token images and byte-level BPE: round trips and other libraries."""
 
 import base64
+import hashlib
 import random
 import zlib
 
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from tessera.llm import byte_bpe, chunks, token_store  # noqa: E402
 
 WORDS, RANKS = public.path("word_bpe_49k.json"), public.path("byte_bpe_multi_50k.tiktoken")
-TEXTS = ["", None, "Hello World", "hello  world\n", "É é 🚀 <|endoftext|>", "x" * 3000, "don't 1234", "hello  world\n"]
+TEXTS = ["", None, "Hello World", "hello  world\n", "É é 🚀 <|endoftext|>", "x" * 3000, "don't 1234", "hello  world\n", "one <|endoftext|> two<|startoftext|>", "<|ENDOFTEXT|> <|endoftext"]
 
 
 @pytest.mark.parametrize("seed", range(8))
@@ -45,7 +46,6 @@ def test_store(spark, tmp_path):
     rows = sorted(token_store.read_images(images).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == sorted(100 - i for i in range(len(TEXTS)))
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     at = 0
     for r in rows:
         want = np.array(t.encode(TEXTS[100 - r.doc_id] or "", add_special_tokens=False).ids + [1], dtype="<u4").tobytes()
@@ -56,6 +56,31 @@ def test_store(spark, tmp_path):
     assert token_store.read_images(token_store.write_images(docs.limit(0), WORDS, 1)).collect() == []
 
 
+def test_widths():
+    assert token_store.width_of(WORDS) == 2
+    with pytest.raises(ValueError):
+        token_store.image([1], [np.array([70_000], dtype="<u4").tobytes()], 2)
+    assert token_store.Image.read(token_store.image([1], [np.array([70_000], dtype="<u4").tobytes()], 4)).ids.tolist() == [70_000]
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "b c"), (3, "a"), (None, None), (3, "a"), (3, "x y")], "doc_id long, text string")
+    rows = sorted(token_store.read_images(token_store.write_images(docs, WORDS, 1)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, 3, 3, 3] and [r.n_tokens for r in rows] == [1, 3, 2, 2, 3]
+
+
+def test_other_files_are_encoded_whole(tmp_path):
+    from tokenizers import normalizers, pre_tokenizers
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    t.normalizer, t.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.ByteLevel(add_prefix_space=True)
+    t.save(str(tmp_path / "other.json"))
+    cache = chunks.library_cache(str(tmp_path / "other.json"))
+    assert cache.glued is None
+    texts = ["Some Text here", "", "A b"]
+    assert list(cache.encode(texts)) == [chunks.packed(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 @pytest.fixture(scope="module")
 def peer():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
@@ -76,5 +101,7 @@ def test_byte_bpe_operator(spark, peer):
     encoded = byte_bpe.decode(byte_bpe.encode(docs, RANKS, public.PATTERN), RANKS, public.PATTERN)
     for r in encoded.collect():
         assert bytes(r.decoded) == (TEXTS[r.doc_id] or "").encode() and bytes(r.ids) == chunks.packed(peer.encode_ordinary(TEXTS[r.doc_id] or ""))
-    assert byte_bpe.round_trip(docs, RANKS, public.PATTERN).count() == len(TEXTS)
+    for r in byte_bpe.round_trip(docs, RANKS, public.PATTERN).collect():
+        ids = chunks.packed(peer.encode_ordinary(TEXTS[r.doc_id] or ""))
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest())
     assert byte_bpe.round_trip(docs.limit(0), RANKS, public.PATTERN).collect() == []
