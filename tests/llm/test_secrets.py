@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 from tessera.llm import secrets
@@ -64,3 +65,21 @@ def test_hex_next_to_names(spark):
     assert len(want) > 60 and {i: v for i, v in got.items() if v} == {i: [v] for i, v in want.items()}
     glued = spark.createDataFrame([(1, "x9F86D081884C7D659A2FEAA0z"), (2, "G9F86D081884C7D659A2FEAA0")], "doc_id long, text string")
     assert not any(x.entropy_hex for x in secrets.scan(glued).select("entropy_hex").collect())
+
+
+def test_long_runs_and_many_matches(spark):
+    """The work is linear in the length of a run and, but for blocks, in the number of matches."""
+    r = random.Random(9)
+    run = "".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(100_000))
+    flat = "ab12" * 25_000
+    many = " ".join(f"token={i:06d}x AKIA{'Z' * 14}{i % 90 + 10}" for i in range(10_000))
+    rows = [(1, f"data:{run} end"), (2, many), (3, f"x {flat} y"), (4, None), (4, ""), (None, "a " * 50_000)]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, runs int")
+    began = time.monotonic()
+    got = {(x.doc_id, i): x for i, x in enumerate(secrets.scan(df).collect())}
+    assert time.monotonic() - began < 60
+    by = {k[0]: x for k, x in got.items() if k[0] in (1, 2, 3)}
+    assert [(s.start, s.end) for s in by[1].entropy_base64] == [(5, 5 + len(run))]
+    assert [(s.start, s.end) for s in by[2].assign] == [m.span() for m in ASSIGN.finditer(many)] and len(by[2].assign) == 10_000
+    assert [(s.start, s.end) for s in by[2].access] == [m.span() for m in re.finditer("AKIA[A-Z0-9]{16,}", many)]
+    assert not by[3].entropy_base64 and len(got) == 6
