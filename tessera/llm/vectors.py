@@ -1,37 +1,45 @@
 """Near-duplicates among embeddings: int8 tile products with rigorous error bounds.
 
-Each unit vector u is stored as s*q with int8 codes q. Two such products differ from the true
+Each unit vector u is stored once as s*q with int8 codes q. Two such products differ from the true
 cosine by at most ``e_a + e_b + e_a*e_b`` plus rounding, where ``e`` is the length of u - s*q, measured for
 each vector in double precision and rounded up. So a pair whose quantised product falls short of
-the threshold by more than that can't link; only the others are computed again in double
-precision. Codes are multiplied as float32 matrices, in which sums of int8 products are exact.
+the threshold by more than that can't link, and one that exceeds it by as much surely does; only the
+others are computed again in double precision. Codes are multiplied as float32 matrices, in which
+sums of int8 products are exact.
 
-Vectors are dealt into tiles by a hash of their id; each task multiplies one pair of tiles, so
-memory is bounded by two tiles. What a tile pair gives back is linear in its vectors: the number of
-links of each vector and a spanning forest of the links, never the links themselves. Vectors
-with equal components are one class, computed once and counted as often as they occur, so a
-group of copies of any size costs nothing.
+Vectors are dealt into tiles by a hash; each task multiplies the codes of one pair of tiles, a
+strip at a time, and keeps of a strip the number of links of each vector and a spanning forest
+of the links, never the links themselves. So memory is bounded by the codes of two tiles and a
+strip, whatever the vectors. Vectors that have a pair in doubt are sent to a second pass over the same tile
+pair in full precision, and only these. Vectors with equal components are one class, computed
+once and counted as often as they occur, so a group of copies of any size costs nothing.
 
 Defined results: a null vector, a zero vector, or one with null or non-finite components links with
 nothing (0 links, its own component); vectors of other lengths link only within their length;
-repeated ids are a vector each; rows with a null id link like others but name no component, so
-one that meets no other id has a null component and a null ``kept``; an empty table gives an empty result; other columns are ignored.
+repeated ids are a vector each; rows with a null id link like others, also between others, but name no
+component, so one that meets no other id has a null component and a null ``kept``; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record, table, written
+from .common import record, sliced, table, written
 from .components import components
 
-THRESHOLD, TILE = 0.9, 8192
+THRESHOLD = 0.9
+#: Vectors of a tile, at most about; and tiles, at least, so that small tables give many tasks, too.
+TILE, TILES = 8192, 16
+#: Rows of a tile that are multiplied at a time.
+STRIP = 128
 #: Room for the rounding of double sums and square roots, far above what they can lose.
 ROUNDING = 1e-9
 
@@ -50,45 +58,79 @@ def unit_rows(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
 
 
-def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of two arrays of unit vectors with cosine of at least ``threshold``."""
-    (qa, sa, ea), (qb, sb, eb) = quantised(a), quantised(b)
-    exact = np.float32 if a.shape[1] <= (1 << 24) // (127 * 127) else np.float64  # sums stay below 2**24
-    fb = qb.astype(exact)
-    found_a, found_b = [], []
-    for at in range(0, len(a), 512):
-        part = slice(at, at + 512)
-        rough = qa[part].astype(exact) @ fb.T
-        # the least code product that could be above the threshold, at the worst scale and error of b
-        least = (threshold - ea[part] - eb.max() - ea[part] * eb.max() - ROUNDING) / (sa[part] * (sb.max() if threshold > 0 else sb.min()))
-        i, j = np.nonzero(rough >= np.where(least > 0, least * (1 - 1e-6), -np.inf)[:, None])
-        i += at
-        close = rough[i - at, j] * sa[i] * sb[j] + ea[i] + eb[j] + ea[i] * eb[j] + ROUNDING >= threshold
-        i, j = i[close], j[close]
-        for k in range(0, len(i), 100_000):
-            x, y = i[k : k + 100_000], j[k : k + 100_000]
-            true = (a[x] * b[y]).sum(axis=1) >= threshold
-            found_a.append(x[true])
-            found_b.append(y[true])
-    return np.concatenate(found_a or [np.empty(0, "i8")]), np.concatenate(found_b or [np.empty(0, "i8")])
-
-
-def forest(x: np.ndarray, y: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of edges among ``n`` nodes."""
-    root = list(range(n))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    kept = []
-    for a, b in zip(x.tolist(), y.tolist(), strict=True):
-        if (ra := find(a)) != (rb := find(b)):
-            root[rb] = ra
-            kept.append((a, b))
-    return kept
+class Codes(NamedTuple):
+    """Quantised unit vectors: int8 codes, scales, error lengths."""
+
+    q: np.ndarray
+    scale: np.ndarray
+    error: np.ndarray
+
+
+def strips(a: Codes, b: Codes, threshold: float) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """For strips of ``a``: the slice, and masks over ``b`` of the pairs that surely link and of those in doubt."""
+    exact = np.float32 if a.q.shape[1] <= (1 << 24) // (127 * 127) else np.float64  # sums stay below 2**24
+    far = np.ascontiguousarray(b.q.T.astype(exact))
+    for at in range(0, len(a.q), STRIP):
+        part = slice(at, at + STRIP)
+        rough = (a.q[part].astype(exact) @ far).astype("f8")
+        rough *= a.scale[part, None]
+        rough *= b.scale
+        off = a.error[part, None] * (1 + b.error) + (b.error + ROUNDING)
+        sure = rough - off >= threshold
+        yield part, sure, (rough + off >= threshold) & ~sure
+
+
+class Groups:
+    """Groups of linked vectors by label, and the forest that links them."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, x: int, found: np.ndarray) -> None:
+        """Links vector ``x`` with all of ``found``."""
+        others = self.label[found]
+        own = int(self.label[x])
+        if (others == own).all():
+            return
+        new, first = np.unique(others, return_index=True)
+        for g, i in zip(new.tolist(), first.tolist(), strict=True):
+            if g != own:
+                self.edges.append((x, int(found[i])))
+        self.label[np.isin(self.label, new)] = own
+
+
+class Met:
+    """What the links between two tiles add up to; ``weight``: how many vectors each class stands for."""
+
+    def __init__(self, weight: np.ndarray) -> None:
+        self.weight = weight.astype("f8")
+        self.links = np.zeros(len(weight))
+        self.groups = Groups(len(weight))
+
+    def add(self, own: np.ndarray, far: np.ndarray, mask: np.ndarray, both: bool) -> None:
+        """Links of vectors ``own`` (rows) and ``far`` (columns); ``both``: also count them for the columns."""
+        self.links[own] += mask @ self.weight[far]
+        if both:
+            self.links[far] += self.weight[own] @ mask
+        for r in np.flatnonzero(mask.any(axis=1)).tolist():
+            self.groups.join(int(own[r]), far[mask[r]])
+
+
+def true_pairs(a: np.ndarray, b: np.ndarray, doubt: np.ndarray, threshold: float) -> np.ndarray:
+    """Those pairs in doubt of rows of two arrays of unit vectors that reach the threshold in double precision."""
+    i, j = np.nonzero(doubt)
+    out = np.zeros(doubt.shape, dtype=bool)
+    step = max(1, 4_000_000 // a.shape[1])
+    for k in range(0, len(i), step):
+        x, y = i[k : k + step], j[k : k + step]
+        true = (a[x] * b[y]).sum(axis=1) >= threshold
+        out[x[true], y[true]] = True
+    return out
+
+
+CODED = "tile int, key binary, n long, dim int, scale double, error double, q binary"
+OUT = "key binary, links long, a binary, b binary, low int, high int"
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -98,54 +140,84 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     vector = F.col(f"`{vector_col}`").cast("array<double>")
     stored = "<f4" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     sound = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != math.inf)) & F.exists(vector, lambda x: x != 0)
-    rows = written(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(sound, F.transform(vector, lambda x: x + F.lit(0.0))).alias("v")).withColumn("key", F.unhex(F.sha2(F.to_json(F.struct("v")).cast("binary"), 256))), "vectors")
+    key = F.unhex(F.substring(F.sha2(F.to_json(F.struct("v")).cast("binary"), 256), 1, 32))
+    rows = written(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(sound, F.transform(vector, lambda x: x + F.lit(0.0))).alias("v")).withColumn("key", key), "vectors")
     classes = rows.where("v is not null").groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
     n_classes = rows.where("v is not null").select("key").distinct().count()
-    tiles = max(1, math.ceil(n_classes / tile))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Compact rows: vectors as bytes."""
-        for b in batches:
-            raw = [np.asarray(v, dtype=stored).tobytes() for v in b["v"].to_pylist()]
-            yield record(tile=b["tile"], key=b["key"], node=b["node"], n=b["n"], dim=pa.array([len(v) // int(stored[2]) for v in raw], pa.int32()), v=pa.array(raw, pa.binary()))
-
-    dealt = classes.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int")).select("tile", "key", "node", "n", "v")
-    packed = dealt.mapInArrow(pack, "tile int, key binary, node long, n long, dim int, v binary")
+    tiles = max(1, math.ceil(n_classes / tile), min(TILES, math.ceil(n_classes / 512)))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The codes of vectors; they and the vectors as bytes."""
+        for b in sliced(batches, 2000):
+            raw = [np.asarray(v, dtype=stored) for v in b["v"].to_pylist()]
+            q, scale, error = [b""] * len(raw), np.empty(len(raw)), np.empty(len(raw))
+            dims = np.array([len(v) for v in raw])
+            for dim in np.unique(dims):
+                of = np.flatnonzero(dims == dim)
+                codes, scale[of], error[of] = quantised(unit_rows(np.stack([raw[i] for i in of]).astype("f8")))
+                for i, c in zip(of.tolist(), codes, strict=True):
+                    q[i] = c.tobytes()
+            yield record(tile=b["tile"], key=b["key"], n=b["n"], dim=pa.array(dims, pa.int32()), scale=pa.array(scale), error=pa.array(error), q=pa.array(q, pa.binary()), v=pa.array([v.tobytes() for v in raw], pa.binary()))
+
+    dealt = classes.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int")).select("tile", "key", "n", "v")
+    coded = written(dealt.mapInArrow(code, CODED + ", v binary"), "vector_codes")
     # each tile meets every tile once, itself included: the pair (low, high) is the group
-    pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+    met_at = coded.drop("v").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("other")
+
+    def sides(group: pa.Table, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, Codes, Codes]]:
+        """For each length of vectors: the places and codes of both tiles."""
+        side, dims, scale, error, q = (group[c].to_numpy() for c in ("tile", "dim", "scale", "error", "q"))
+        for dim in np.unique(dims):
+            places = [np.flatnonzero((side == t) & (dims == dim)) for t in (low, high)]
+            if all(map(len, places)):
+                yield *places, *(Codes(np.frombuffer(b"".join(q[p]), dtype="i1").reshape(-1, dim), scale[p], error[p]) for p in places)
+
+    def result(low: int, high: int, keys: np.ndarray, met: Met, doubted: np.ndarray) -> pa.Table:
+        at, more, edges = np.flatnonzero(met.links), np.flatnonzero(doubted), met.groups.edges
+        n, e, d = len(at), len(edges), len(more)
+        key = pa.array([*keys[at], *[None] * e, *keys[more]], pa.binary())
+        a, b = (pa.array([*[None] * n, *(keys[x[i]] for x in edges), *[None] * d], pa.binary()) for i in (0, 1))
+        links = pa.array([*met.links[at].astype("i8").tolist(), *[None] * (e + d)], pa.int64())
+        where = [pa.array([*[None] * (n + e), *[t] * d], pa.int32()) for t in (low, high)]
+        return pa.table({"key": key, "links": links, "a": a, "b": b, "low": where[0], "high": where[1]})
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
+        """By codes: sure links, and the vectors that have a pair in doubt."""
         low, high = key[0].as_py(), key[1].as_py()
-        side, dims = group["tile"].to_numpy(), group["dim"].to_numpy()
-        keys, nodes, counts, raw = group["key"].to_pylist(), group["node"].to_pylist(), group["n"].to_numpy(), group["v"].to_pylist()
-        links = np.zeros(len(side), dtype="i8")
-        edges: list[tuple[int, int]] = []
-        for dim in np.unique(dims):
-            own = np.flatnonzero((side == low) & (dims == dim))
-            far = own if low == high else np.flatnonzero((side == high) & (dims == dim))
-            if not len(own) or not len(far):
-                continue
-            read = lambda at, dim=dim: unit_rows(np.frombuffer(b"".join(raw[i] for i in at), dtype=stored).reshape(-1, dim).astype("f8"))
-            x, y = linked(read(own), read(far), threshold)
-            x, y = own[x], far[y]
-            if low == high:
-                x, y = x[x != y], y[x != y]
-            np.add.at(links, x, counts[y])
-            if low != high:
-                np.add.at(links, y, counts[x])
-            edges += forest(x, y, len(side))
-        at = np.flatnonzero(links)
-        a, b = ([nodes[e[i]] for e in edges] for i in (0, 1))
-        none = [None] * len(edges)
-        return pa.table({
-            "key": pa.array([keys[i] for i in at] + none, pa.binary()), "links": pa.array([*links[at].tolist(), *none], pa.int64()),
-            "a": pa.array([None] * len(at) + a, pa.int64()), "b": pa.array([None] * len(at) + b, pa.int64()),
-        })
-
-    met = written(pairs.groupBy("low", "high").applyInArrow(meet, "key binary, links long, a long, b long"), "met")
-    found = components(met.where("key is null").select("a", "b"))
-    totals = met.where("key is not null").groupBy("key").agg(F.sum("links").alias("links"))
-    groups = classes.select("key", "node", "n").join(totals, "key", "left").join(found, "node", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+        met, doubted = Met(group["n"].to_numpy()), np.zeros(group.num_rows, dtype=bool)
+        for own, far, qa, qb in sides(group, low, high):
+            for part, sure, doubt in strips(qa, qb, threshold):
+                if low == high:  # a vector isn't its own partner
+                    own_at = np.arange(part.start, part.start + len(sure))
+                    sure[np.arange(len(sure)), own_at] = doubt[np.arange(len(sure)), own_at] = False
+                met.add(own[part], far, sure, low != high)
+                doubted[own[part]] |= doubt.any(axis=1)
+                doubted[far] |= doubt.any(axis=0)
+        return result(low, high, group["key"].to_numpy(), met, doubted)
+
+    def settle(key: tuple, group: pa.Table) -> pa.Table:
+        """In full precision: the pairs in doubt."""
+        low, high = key[0].as_py(), key[1].as_py()
+        met, raw = Met(group["n"].to_numpy()), group["v"].to_numpy()
+        for own, far, qa, qb in sides(group, low, high):
+            unit = lambda at, dim=qa.q.shape[1]: unit_rows(np.frombuffer(b"".join(raw[at]), dtype=stored).reshape(-1, dim).astype("f8"))
+            b = unit(far)
+            for part, _, doubt in strips(qa, qb, threshold):
+                if low == high:
+                    own_at = np.arange(part.start, part.start + len(doubt))
+                    doubt[np.arange(len(doubt)), own_at] = False
+                met.add(own[part], far, true_pairs(unit(own[part]), b, doubt, threshold), low != high)
+        return result(low, high, group["key"].to_numpy(), met, np.zeros(group.num_rows, dtype=bool))
+
+    first = written(met_at.groupBy("low", "high").applyInArrow(meet, OUT), "met")
+    doubted = first.where("low is not null").select("key", "low", "high").join(coded, "key")
+    second = written(doubted.groupBy("low", "high").applyInArrow(settle, OUT), "settled")
+    met = first.where("low is null").union(second)
+    found = components(met.where("a is not null").select("a", "b"))
+    totals = met.where("links is not null").groupBy("key").agg(F.sum("links").alias("links"))
+    groups = classes.select("key", "node", "n").join(totals, "key", "left").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    names = groups.groupBy("component").agg(F.min("node").alias("component_id"))  # the least id of any member
+    groups = groups.join(names, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.select("id", "key", F.col("v").isNotNull().alias("sound")).join(groups, "key", "left")
     component = F.when(F.col("sound"), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("vec_id"), F.when(F.col("sound"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), (F.col("id") == component).alias("kept"))
