@@ -11,11 +11,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONF = "spark.checkpoint.dir"
+#: Rows that a worker takes at a time.
+ROWS = 1000
+#: The size of a bitmap of keys; at most 32 MB.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _own: dict[str, str] = {}
 
 
@@ -63,12 +69,35 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     """``mapInArrow`` for a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             if (out := fn(batch)) is not None and out.num_rows:
                 yield out
 
     return df.mapInArrow(run, schema)
 
 
+def possibly(keys: DataFrame, *names: str) -> Callable[..., Column]:
+    """A column function of key columns: false only for keys that aren't among ``keys`` (columns ``names``).
+
+    Keys are hashed into a bitmap whose size follows their number up to a fixed bound, so it can be
+    broadcast. Beyond the bound more keys pass that aren't there, but none is ever lost.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * keys.count()).bit_length()))
+    place = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(bits))
+    at = place(*names)
+    words = keys.groupBy(F.floor(at / 32_768).cast("int").alias("k")).agg(F.bitmap_construct_agg(at % 32_768).alias("bits"))
+    bitmap = np.zeros(bits // 8, dtype="u1")
+    for r in words.toLocalIterator():  # at most MOST_BITS / 8 bytes
+        bitmap[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(bytes(r["bits"]), dtype="u1")
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    def known(places: pd.Series) -> pd.Series:
+        p = places.to_numpy()
+        return pd.Series((shared.value[p >> 3] >> (p & 7) & 1).astype(bool))
+
+    marked = F.pandas_udf(known, "boolean")
+    return lambda *columns: marked(place(*columns))
+
+
 def record(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
