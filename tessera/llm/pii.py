@@ -1,11 +1,11 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
 One pass over the texts finds the base spans (fixed patterns with checks) and candidate spans of
-further kinds, each with the votes of its labelers (pattern, gazetteer, context, shape) and hashed
-features. Only (kind, votes) counts go to the driver, a table that the labelers bound; expectation-
+further kinds, each with the votes of its labelers (patterns and checks, gazetteers, context, shape)
+and hashed features. Only (kind, votes) counts go to the driver, a table that the labelers bound; expectation-
 maximisation there estimates each labeler's reliabilities and the probability behind each
 combination of votes. With these as soft labels a naive Bayes span classifier is trained from
-sums per hashed feature, again a bounded table, and judges each candidate. Base spans stay
+sums per kind and hashed feature, again a bounded table, and judges each candidate. Base spans stay
 whatever the classifier says.
 
 Defined results: null text is empty and has no spans; ids, ties and repeated rows need no care, as
@@ -16,11 +16,11 @@ table gives an empty result; other columns are kept by ``redacted`` and ignored
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -85,26 +85,55 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return {"email": emails(text) if "@" in text else [], "ip": ips(text) if some else [], "card": cards(text) if some else [], "phone": phones(text) if some and "+" in text else []}
 
 
-#: Given names for the gazetteer and words that announce personal data (fixed values).
-GIVEN = frozenset("Anna Maria Peter Paul John Mary James Robert Michael William David Richard Joseph Thomas Charles Elizabeth Jennifer Linda Patricia Susan Jessica Sarah Karen Hans Klaus Ursula Sabine Petra Jürgen Wolfgang Monika Pierre Jean Marie Michel Nathalie Isabelle Sophie François José Carlos Juan Luis Carmen Javier Miguel Antonio Lucía Alice Bob Emma Oliver Sophia Lucas Laura Daniel".split())
+#: Common given names and surnames for the gazetteers, and words that announce or rule out personal data (fixed values).
+GIVEN = frozenset("""
+    Alice Alexander Amelia Andrea Andreas Andrew Angela Anna Anne Anthony Antonio Barbara Benjamin Bob Brian Camille Carlos Carmen Carol Charles Charlotte Chiara Chloe
+    Christian Christine Christopher Claire Claudia Daniel David Deborah Diego Donald Dorothy Edward Elena Elizabeth Emily Emma Eric Eva Fatima Felix Florian Francesca
+    Francesco Frank François Frederic Gabriel George Giovanni Giulia Grace Hannah Hans Heinrich Helen Helga Henri Henry Hiroshi Ibrahim Ingrid Isabella Isabelle Ivan
+    Jack Jacob James Jan Jane Janet Javier Jean Jennifer Jessica Johanna Johannes John Jonathan Jorge Joseph José Joshua Juan Julia Julie Jürgen Karen Karl Katharina
+    Kenji Kenneth Kevin Klaus Klara Laura Lena Leon Linda Lisa Louis Luca Lucas Lucía Luis Luise Lukas Manuel Marco Margaret Maria María Marie Mario Mark Marta Martin
+    Mary Matthew Max Maximilian Michael Michel Miguel Mohammed Monika Nancy Natalia Nathalie Nicholas Nicole Nina Noah Nora Olga Oliver Olivia Oscar Pablo Patricia
+    Patrick Paul Paula Pedro Peter Petra Philip Pierre Rachel Rebecca Richard Robert Rosa Ruth Sabine Samuel Sandra Sara Sarah Sebastian Simon Sofia Sophia Sophie
+    Stefan Stephen Susan Thomas Ursula Victoria William Wolfgang
+""".split())
+SURNAMES = frozenset("""
+    Anderson Bauer Becker Bernard Brown Clark Davis Diaz Dubois Durand Fernandez Ferrari Fischer García Garcia Gonzalez Green Hall Harris Hernandez Hoffmann Jackson
+    Johnson Jones Kim Klein Koch Kowalski Lee Leroy Lewis Lopez López Martin Martinez Martínez Meyer Miller Moore Moreau Müller Nguyen Novak Patel Perez Petit Ramirez
+    Richter Rivera Robinson Rodriguez Rossi Roux Ruiz Sanchez Santos Schmidt Schneider Schulz Silva Simon Singh Smith Suzuki Tanaka Taylor Thomas Thompson Torres
+    Wagner Walker Weber White Williams Wilson Wolf Wright Young Zimmermann
+""".split())
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame")
 CUES = {
-    "name": ("name is", "named", "signed", "regards", "contact", "heiße", "m'appelle", "me llamo", "name:"),
-    "national_id": ("ssn", "social security", "national id", "tax id", "steuer", "nif", "dni", "insurance number"),
-    "iban": ("iban", "account", "konto", "compte", "cuenta"),
-    "postal": ("zip", "postal", "plz", "code postal", "address", "street"),
-    "birth": ("born", "birth", "dob", "geboren", "né le", "née le", "nacido", "nacida"),
+    "name": ("name is", "named", "signed", "regards", "contact", "heiße", "heißt", "m'appelle", "me llamo", "se llama", "name:", "patient", "customer", "employee", "dear", "sincerely", "called", "by "),
+    "national_id": ("ssn", "social security", "national id", "tax id", "steuer", "nif", "dni", "insurance n", "identity n", "social sec"),
+    "iban": ("iban", "account", "konto", "compte", "cuenta", "bank", "transfer", "pay to"),
+    "postal": ("zip", "postal", "plz", "code postal", "address", "street", "postleitzahl", "avenue", "straße", "lives in", "lives at", "moved to", "mail to"),
+    "birth": ("born", "birth", "dob", "geboren", "né le", "née le", "nacido", "nacida", "geb.", "birthday", "naissance"),
 }
+#: What stands before numbers that aren't personal.
+OTHERWISE = ("order", "invoice", "part no", "item", "version", "page", "chapter", "serial", "model", "isbn", "build", "ticket", "total", "about", "released", "published", "updated", "expires")
+COUNTRIES = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SK": 24, "TR": 26}
+STATES = frozenset("AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split())
+#: Numbers that examples use, and that nobody has.
+DUMMIES = frozenset(("123-45-6789", "078-05-1120", "219-09-9999", "111-11-1111", "555-55-5555"))
 _CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,30}"
+_NAME_WORD = rf"{_CAP}(?:[-'’]{_CAP})?"
+_PARTICLES = r"(?:(?:de|del|della|da|di|van|von|der|den|la|le|bin|al)\x20){0,2}"
 CANDIDATES = {
-    "name": re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.?\x20)?{_CAP}\x20{_CAP}(?!\w)"),
+    "name": re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.?\x20)?{_NAME_WORD}\x20(?:[A-Z]\.\x20)?{_PARTICLES}{_NAME_WORD}(?!\w)"),
     "national_id": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)"),
-    "postal": re.compile(r"(?<![\w.-])[0-9]{5}(?:-[0-9]{4})?(?![\w-]|\.\w)"),
+    "postal": re.compile(r"(?<![\w.,-])[0-9]{5}(?:-[0-9]{4})?(?![\w-]|[.,]\w)"),
     "birth": re.compile(r"(?<![\w./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![\w/-]|\.\w)"),
 }
 _SENTENCE_END = ".!?\n:;|"
-NEAR, BUCKETS = 40, 1 << 12
+NEAR, CLOSE, BUCKETS = 40, 16, 1 << 12
+#: Labelers of a kind; each answers for, against, or abstains.
+LABELERS = 5
+_TOWN = re.compile(r"\x20" + _CAP)
+_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.?\x20{_CAP}")
+_COUNTED = re.compile(r"\x20(?:[a-zß-öø-ÿ]+|%|€|\$)")
+_CLOCK = re.compile(r"(?<![0-9])[0-9]{1,2}:[0-9]{2}(?![0-9])")
 
 
 def iban_ok(span: str) -> bool:
@@ -124,16 +153,29 @@ def plausible_date(span: str) -> bool:
 
 
 def votes(kind: str, text: str, a: int, b: int) -> tuple[int, ...]:
-    """Of each labeler: 1 for, 0 against, -1 abstains."""
+    """Of each labeler: 1 for, 0 against, -1 abstains. A check that nearly all spans pass votes only against."""
     span, before = text[a:b], text[max(0, a - NEAR) : a].lower()
-    context = 1 if any(c in before for c in CUES[kind]) else 0
-    alone = 1 if (a == 0 or text[a - 1] in " (\n\"'") and (b == len(text) or text[b] in " ,.;)\n\"'") else 0
+    cue = any(c in before for c in CUES[kind])
+    other = any(c in before[-CLOSE:] for c in OTHERWISE)
+    context = 1 if cue and not other else 0 if other else -1
+    alone = -1 if (a == 0 or text[a - 1] in " (\n\"':") and (b == len(text) or text[b] in " ,.;)\n\"'") else 0
     if kind == "name":
         words = span.replace(".", "").split(" ")
+        own = words[1:] if words[0] in TITLES else words
         starts = a == 0 or text[:a].rstrip(" ")[-1:] in _SENTENCE_END if a < 2 else text[a - 2 : a].strip(" ")[-1:] in (*_SENTENCE_END, "")
-        return (1 if words[0] in TITLES else -1, 1 if any(w in GIVEN for w in words) else 0, context if context else -1, 0 if starts else -1)
-    check = {"national_id": plausible_id, "iban": iban_ok, "birth": plausible_date}.get(kind)
-    return (1 if check and check(span) else 0 if check else -1, -1, context, alone)
+        return (1 if words[0] in TITLES else -1, int(own[0].split("-")[0] in GIVEN), 1 if own[-1] in SURNAMES else -1, 1 if cue else -1, 0 if starts else -1)
+    if kind == "national_id":
+        others = text[max(0, a - 4 * NEAR) : b + 4 * NEAR]
+        return (int(plausible_id(span)), context, alone, 0 if span in DUMMIES or len(set(span)) <= 2 else -1, 1 if "@" in others or _TITLED.search(others) else -1)
+    if kind == "iban":
+        size = COUNTRIES.get(span[:2])
+        return (int(iban_ok(span)), context, alone, int(size is not None), -1 if size is None else int(size == len(span.replace(" ", ""))))
+    said = int(cue and not other)  # bare numbers and dates are common, so a missing cue speaks against them
+    if kind == "postal":
+        state = text[max(0, a - 3) : a - 1] in STATES and text[a - 1 : a] == " "
+        return (said, int(state or _TOWN.match(text, b) is not None), alone, 0 if span[2:5] == "000" or span[:3] == "000" else -1, 0 if _COUNTED.match(text, b) else -1)
+    year = int(re.search("(?:19|20)[0-9]{2}", span)[0])
+    return (-1 if plausible_date(span) else 0, said, alone, int(1900 <= year <= 2008), 0 if _CLOCK.search(text[max(0, a - 12) : b + 12]) else -1)
 
 
 def features(kind: str, text: str, a: int, b: int) -> list[int]:
@@ -160,10 +202,7 @@ def candidates(text: str, base: dict[str, list[Span]]) -> list[tuple[int, int, i
                 at += 1
             if at < len(taken) and taken[at][0] < b:
                 continue
-            v = votes(kind, text, a, b)
-            if kind == "name" and 1 not in v:  # two capitals alone say nothing: no labeler votes for it
-                continue
-            out.append((k, a, b, sum((x + 1) * 3**i for i, x in enumerate(v)), features(kind, text, a, b)))
+            out.append((k, a, b, packed(votes(kind, text, a, b)), features(kind, text, a, b)))
     return out
 
 
@@ -189,45 +228,62 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, FOUND)
 
 
-#: Where EM starts: how often a labeler abstains, votes against and votes for, without and with personal data.
-START = ([0.4, 0.48, 0.12], [0.4, 0.12, 0.48])
+#: Where EM starts: how often a labeler that votes is right, and the share of personal data among candidates.
+RIGHT, SHARE = 0.8, 0.3
+#: What the start weighs in each step, in votes; it keeps the classes' meaning where few labelers vote.
+STRENGTH = 10
 
 
 def em(counts: dict[tuple[int, ...], float], rounds: int = 50) -> dict[tuple[int, ...], float]:
     """The probability of being personal data behind each combination of votes, all of one kind.
 
-    Labelers are independent given the truth; abstentions count as a third answer. The start
-    trusts each labeler at 0.8, so the larger class of agreeing votes is the one they vote for.
+    Labelers are independent given the truth; an abstention says nothing. The start trusts each
+    labeler alike, so the larger class of agreeing votes is the one they vote for.
     """
     if not counts:
         return {}
-    rows = np.array(list(counts), dtype=int) + 1
+    votes_ = np.array(list(counts), dtype=int)
     n = np.array([counts[k] for k in counts], dtype=float)
-    m = rows.shape[1]
-    rate = np.empty((2, m, 3))
-    rate[1], rate[0] = START[1], START[0]
-    prior = 0.3
-    post = np.zeros(len(rows))
+    said = [votes_ == 0, votes_ == 1]
+    start = np.array([[RIGHT, 1 - RIGHT], [1 - RIGHT, RIGHT]])  # by truth: votes against, votes for
+    rate = np.repeat(start[:, :, None], votes_.shape[1], axis=2)
+    prior, post = SHARE, np.zeros(len(n))
     for _ in range(rounds):
-        log = [np.log(p) + sum(np.log(rate[y, j, rows[:, j]]) for j in range(m)) for y, p in ((0, 1 - prior), (1, prior))]
+        log = [np.log(p) + sum((said[a] * np.log(rate[y, a])).sum(axis=1) for a in (0, 1)) for y, p in ((0, 1 - prior), (1, prior))]
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
-        weight = np.stack([n * (1 - post), n * post])
-        prior = float(np.clip((weight[1].sum() + 1) / (n.sum() + 2), 0.01, 0.99))
-        for y, j in itertools.product(range(2), range(m)):
-            got = np.array([weight[y][rows[:, j] == a].sum() for a in range(3)])
-            start = np.array(START[y]) * 10  # a prior of ten votes keeps the meaning of the classes
-            rate[y, j] = (got + start) / (got.sum() + start.sum())
+        prior = float(np.clip((n @ post + SHARE * STRENGTH) / (n.sum() + STRENGTH), 0.01, 0.99))
+        for y, weight in ((0, n * (1 - post)), (1, n * post)):
+            got = np.stack([weight @ said[a] for a in (0, 1)]) + STRENGTH * start[y][:, None]
+            rate[y] = got / got.sum(axis=0)
     return {k: float(p) for k, p in zip(counts, post, strict=True)}
 
 
+def packed(v: tuple[int, ...]) -> int:
+    return sum((x + 1) * 3**i for i, x in enumerate(v))
+
+
 def unpacked(v: int) -> tuple[int, ...]:
-    return tuple(v // 3**i % 3 - 1 for i in range(4))
+    return tuple(v // 3**i % 3 - 1 for i in range(LABELERS))
+
+
+class Classifier(NamedTuple):
+    """Naive Bayes by kind: the prior log odds, and the weight of each feature, from counts of its own kind."""
+
+    prior: dict[int, float]
+    weight: np.ndarray
 
+    def takes(self, c: dict) -> bool:
+        return self.prior[c["k"]] + float(self.weight[c["k"], c["f"]].sum()) > 0
 
-def classifier(found: DataFrame) -> tuple[dict[int, float], np.ndarray]:
-    """(prior log odds by kind, feature weights) from a table of ``scanned``; all that is collected is bounded."""
+
+#: Added to each count of a feature.
+SMOOTHING = 0.1
+
+
+def classifier(found: DataFrame) -> Classifier:
+    """From a table of ``scanned``; all that is collected is bounded by kinds, votes and buckets."""
     cand = found.select(F.explode("cand").alias("c"))
-    votes_ = cand.groupBy("c.k", "c.v").agg(F.count(F.lit(1)).alias("n")).collect()  # at most kinds * 81 rows
+    votes_ = cand.groupBy("c.k", "c.v").agg(F.count(F.lit(1)).alias("n")).collect()  # at most kinds * 3**LABELERS rows
     posterior, prior = {}, {}
     for k in range(len(ADDED)):
         counts = {unpacked(r["v"]): float(r["n"]) for r in votes_ if r["k"] == k}
@@ -235,24 +291,22 @@ def classifier(found: DataFrame) -> tuple[dict[int, float], np.ndarray]:
         posterior |= {(k, v): p for v, p in found_.items()}
         yes = sum(counts[v] * p for v, p in found_.items())
         prior[k] = math.log((yes + 0.5) / (sum(counts.values()) - yes + 0.5))
-    spark = found.sparkSession
-    code = lambda v: sum((x + 1) * 3**i for i, x in enumerate(v))
-    soft = spark.createDataFrame([(k, code(v), p) for (k, v), p in posterior.items()], "k int, v int, p double")
+    soft = found.sparkSession.createDataFrame([(k, packed(v), p) for (k, v), p in posterior.items()], "k int, v int, p double")
     per = cand.select("c.k", "c.v", F.explode("c.f").alias("f")).join(F.broadcast(soft), ["k", "v"])
-    sums = per.groupBy("f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()  # at most BUCKETS rows
-    table_ = np.full((2, BUCKETS), 0.1)
+    sums = per.groupBy("k", "f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()  # at most kinds * BUCKETS rows
+    table_ = np.zeros((2, len(ADDED), BUCKETS))
     for r in sums:
-        table_[:, r["f"]] += (r["no"], r["yes"])
-    return prior, np.log(table_[1] / table_[1].sum()) - np.log(table_[0] / table_[0].sum())
+        table_[:, r["k"], r["f"]] = r["no"], r["yes"]
+    seen = np.maximum((table_.sum(axis=0) > 0).sum(axis=1), 1)  # features of a kind
+    table_ += SMOOTHING
+    total = table_.sum(axis=2, keepdims=True) - SMOOTHING * (BUCKETS - seen)[None, :, None]
+    share = np.log(table_ / total)
+    return Classifier(prior, share[1] - share[0])
 
 
-def accepted(cand: list[dict], prior: dict[int, float], weights: np.ndarray) -> list[tuple[int, int, int]]:
+def accepted(cand: list[dict], model: Classifier) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the candidates that the classifier takes, as indices into ``KINDS``."""
-    out = []
-    for c in cand:
-        if prior[c["k"]] + float(weights[c["f"]].sum()) > 0:
-            out.append((len(BASE) + c["k"], c["s"], c["e"]))
-    return out
+    return [(len(BASE) + c["k"], c["s"], c["e"]) for c in cand if model.takes(c)]
 
 
 def written_as(spans: list[tuple[int, int, int]]) -> str:
@@ -260,7 +314,7 @@ def written_as(spans: list[tuple[int, int, int]]) -> str:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    prior, weights = classifier(found)
+    model = classifier(found)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, sha, spans = [[], [], [], []], [], []
@@ -269,7 +323,7 @@ def digests(found: DataFrame) -> DataFrame:
             for k in range(4):
                 n[k].append(sum(x[0] == k for x in own))
             sha.append(hashlib.sha256(written_as(own).encode()).hexdigest())
-            spans.append(written_as(own + accepted(cand, prior, weights)))
+            spans.append(written_as(own + accepted(cand, model)))
         counts = {f"n_{kind}": pa.array(n[k], pa.int64()) for k, kind in enumerate(BASE)}
         return record(doc_id=b["row_id"], **counts, base_sha256=pa.array(sha, pa.string()), spans=pa.array(spans, pa.string()))
 
@@ -294,7 +348,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data masked in ``text_col``; null texts stay null and all columns stay."""
     plain = docs.select(F.lit(0).cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    prior, weights = classifier(written(scanned(plain).where(F.size("cand") > 0), "pii"))
+    model = classifier(written(scanned(plain).where(F.size("cand") > 0).select("cand"), "pii"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
@@ -302,7 +356,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             if text is not None:
                 own = base_spans(text)
                 spans = [(BASE.index(k), s, e) for k, found in own.items() for s, e in found]
-                text = redact(text, spans + accepted([dict(zip("ksevf", c, strict=True)) for c in candidates(text, own)], prior, weights))
+                text = redact(text, spans + accepted([dict(zip("ksevf", c, strict=True)) for c in candidates(text, own)], model))
             texts.append(text)
         at = b.schema.get_field_index(text_col)
         return b.set_column(at, text_col, pa.array(texts, b.schema.field(at).type))

@@ -78,3 +78,47 @@ def test_edges_and_redaction(spark):
     assert masked.columns == docs.columns and sorted((x.text or "", x.spans or "") for x in masked.collect())[2:] == [("<EMAIL> and <EMAIL>", "x"), ("<EMAIL> and <EMAIL>", "y")]
     assert pii.find(docs.limit(0)).collect() == [] and pii.redacted(docs.limit(0)).collect() == []
     assert pii.redact("0123456789", [(0, 2, 5), (1, 3, 8), (2, 9, 10)]) == "01<EMAIL>8<CARD>"
+
+
+def test_each_kind_has_three_labelers_that_vote():
+    texts = {
+        "name": ["we met Anna Miller there", "Dr. Xe Ya said", "Ab Cd. My name is Paul Ray"], "national_id": ["ssn 212-45-1234.", "x:212-45-1234-", "a@b.cd 123-45-6789"], "iban": ["IBAN DE89 3704 0044 0532 0130 00", "order XX89 3704 0044 0532 0130 00x"],
+        "postal": ["zip 90210 Ulm", "all 20000 men", "(12345)/"], "birth": ["born 1.2.1980 in", "at 10:30, 31.31.2024!"],
+    }
+    for kind, own in texts.items():
+        v = [pii.votes(kind, t, *m.span()) for t in own if (m := pii.CANDIDATES[kind].search(t))]
+        assert all(len(x) == pii.LABELERS and pii.unpacked(pii.packed(x)) == x for x in v)
+        assert sum(any(x[i] >= 0 for x in v) for i in range(pii.LABELERS)) >= 3, (kind, v)
+
+
+def test_recall_on_held_out_templates(spark):
+    """Phrases of the second list never occur in the first, nor do most of the names."""
+    r = random.Random(11)
+    ssn = lambda: f"{r.randint(100, 600)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"
+    date = lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.19{r.randint(40, 99)}"
+    zip_ = lambda: f"{r.randint(10, 98)}{r.randint(101, 998)}"
+
+    def iban():
+        body = "".join(str(r.randint(0, 9)) for _ in range(18))
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    given, sur = sorted(pii.GIVEN), sorted(pii.SURNAMES)
+    new = ["Ashworth", "Lindqvist", "Okafor", "Petrov", "Varga", "Castellan", "Ibsen", "Marlowe"]
+    seen = {"name": [lambda: f"my name is {r.choice(given[::2])} {r.choice(sur)}", lambda: f"signed by {r.choice(given[::2])} {r.choice(new[:4])}"], "national_id": [lambda: f"ssn {ssn()}"], "iban": [lambda: f"IBAN {iban()}"], "postal": [lambda: f"zip {zip_()} Berlin", lambda: f"address CA {zip_()}"], "birth": [lambda: f"born {date()}"]}
+    held = {"name": [lambda: f"we spoke with {r.choice(given[1::2])} {r.choice(new)} yesterday", lambda: f"says {r.choice(given[1::2])} {r.choice(sur)} of"], "national_id": [lambda: f"his tax id is {ssn()} now", lambda: f"social security number: {ssn()}"], "iban": [lambda: f"send it to {iban()} soon"], "postal": [lambda: f"lives in {zip_()} Hamburg", lambda: f"mail to NY {zip_()}"], "birth": [lambda: f"date of birth: {date()}", lambda: f"geb. {date()}"]}
+    plain = ["the lane was quiet", "in all 12345 lines of it", "order 555-12-9000 was late", "released 3.4.2019", "Second Part of the Long Road", "about 20000 people", "Er Er Er", "Green Hill"]
+    rows, want = [], {}
+    for i in range(1500):
+        t = " ".join(r.choice(plain) for _ in range(3))
+        if i % 3:
+            kind = pii.ADDED[i % 5]
+            one = r.choice((seen if i % 3 == 1 else held)[kind])()
+            want[i] = (kind, i % 3 == 2)
+            t = f"{t} {one}. {r.choice(plain)}"
+        rows.append((i, t))
+    found = {x.doc_id: {s.split(":")[0] for s in x.spans.split(",")} - {""} for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in pii.ADDED:
+        own = [i for i, (k, new_) in want.items() if k == kind and new_]
+        assert sum(kind in found[i] for i in own) / len(own) >= 0.9, (kind, sum(kind in found[i] for i in own) / len(own))
+    clean = [i for i in found if i not in want]
+    assert sum(not found[i] for i in clean) / len(clean) >= 0.97, [(rows[i], found[i]) for i in clean if found[i]][:5]
