@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import ChunkCache, packed
-from .common import arrow_map, record, table, text_of
+from .common import arrow_map, record, sliced, table, text_of, tidy
 
 #: Where the characters that stand for bytes begin.
 BASE = 0x100
@@ -131,9 +131,8 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                b = batch.slice(i, 500)
+        with own.cache:
+            for b in sliced(batches, 500):
                 n, sha, back = [], [], []
                 for ids in own.encode(b["text"].to_pylist(), 500_000):
                     n.append(len(ids) // 4)
@@ -141,7 +140,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
                     back.append(hashlib.sha256(own.decode(ids)).hexdigest())
                 yield record(doc_id=b["id"], n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(sha, pa.string()), decoded_sha256=pa.array(back, pa.string()))
 
-    return text_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return text_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

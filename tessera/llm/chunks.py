@@ -18,17 +18,24 @@ import gc
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
 #: A run of letters that Unicode tables of any version agree on, and what follows it, of ASCII.
 WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x21-\x7E]*)")
-#: Chunks in a generation of the cache, some 250 bytes each.
-LIMIT = 100_000
+#: Chunks in a generation of the cache, some 200 bytes each.
+LIMIT = 250_000
+
+
+def even(text: str) -> bool:
+    """Whether white space stands alone and neither first nor last."""
+    words = text.split()
+    return sum(map(len, words)) + len(words) - 1 == len(text) if words else not text
 
 
 class ChunkCache:
@@ -45,7 +52,14 @@ class ChunkCache:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: Sequence[str], group_chars: int = 1_000_000) -> Iterator[bytes]:
+    def __enter__(self) -> ChunkCache:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        """A task has ended: its worker keeps the tokenizer, but no chunks."""
+        self.known, self.older = {}, {}
+
+    def encode(self, texts: Sequence[str], group_chars: int = 2_000_000) -> Iterator[bytes]:
         group: list[str] = []
         size = 0
         for text in texts:
@@ -68,8 +82,7 @@ class ChunkCache:
             return self.whole(texts)
         if self.blank_free:
             return self._joined(texts)
-        even = [not UNEVEN.search(t) for t in texts]
-        cuts = [m.start() if ok and (m := re.search("[ \n]", t)) else len(t) for t, ok in zip(texts, even, strict=True)]
+        cuts = [m.start() if even(t) and (m := re.search("[ \n]", t)) else len(t) for t in texts]
         heads = self.whole([t[:k] for t, k in zip(texts, cuts, strict=True)])
         # without its head a text begins with a space or a line feed; the space is no part of a chunk
         tails = [t[k + (t[k] == " ") :] if k < len(t) else "" for t, k in zip(texts, cuts, strict=True)]
@@ -110,7 +123,10 @@ class ChunkCache:
 
 
 def packed(ids: Sequence[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
 
 
 def byte_characters() -> dict[int, int]:
@@ -172,27 +188,32 @@ def library_cache(path: str, special_as_text: bool = False) -> ChunkCache:
     def whole(texts: Sequence[str]) -> list[bytes]:
         return [packed(x.ids) for x in t.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def run_of_letters(word: str, first: str) -> bytes:
+        if blank_free:
+            word = word.lower()
+        return packed([x.id for x in merge(first + (word if word.isascii() else word.encode().decode("latin-1").translate(letters)))])
+
     def glued(chunks: Sequence[str]) -> list[bytes]:
         """A run of letters is one pre-token, so it goes straight to the library's merges."""
         out = []
         for chunk in chunks:
+            if chunk.isascii() and chunk.isalpha():
+                out.append(run_of_letters(chunk, space))
+                continue
             if not (m := WORD.fullmatch(chunk)):
                 out.append(whole([chunk if blank_free or chunk[0] == "\n" else " " + chunk])[0])
                 continue
             before, word, after = m.groups()
             if (rest := ends.get((before, after))) is None:
-                if len(ends) > 100_000:
+                if len(ends) > 10_000:
                     ends.clear()
                 rest = ends[before, after] = tuple(whole([before, after]))
-            if blank_free:
-                word = word.lower()
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(letters)
-            ids = packed([x.id for x in merge(word if before else space + word)])
-            out.append(rest[0] + ids + rest[1])
+            ids = None if before else cache.known.get(word) or cache.older.get(word)
+            out.append(rest[0] + (ids or run_of_letters(word, "" if before else space)) + rest[1])
         return out
 
-    return ChunkCache(whole, glued if kind else None, blank_free, apart)
+    cache = ChunkCache(whole, glued if kind else None, blank_free, apart)
+    return cache
 
 
 def released() -> None:

@@ -7,12 +7,12 @@ temporary folder is chosen, once an application.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 CONF = "spark.checkpoint.dir"
 #: Rows that a worker takes at a time.
 ROWS = 1000
-#: The size of a bitmap of keys; at most 32 MB.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: The size of a bitmap of keys; at most 16 MB, twice that as words.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 _own: dict[str, str] = {}
 
 
@@ -58,6 +58,11 @@ def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """Each row as a struct ``row``, so that columns added beside it clash with none of its own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows``; none for an empty batch."""
     for batch in batches:
@@ -65,6 +70,26 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(i, rows)
 
 
+def given_back() -> None:
+    """Gives memory that is free in this worker back to the machine: workers are kept and used again by other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with memory given back at the end of each task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            given_back()
+
+    return tidied
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch."""
 
@@ -73,30 +98,27 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if (out := fn(batch)) is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
-def possibly(keys: DataFrame, *names: str) -> Callable[..., Column]:
-    """A column function of key columns: false only for keys that aren't among ``keys`` (columns ``names``).
+def possibly(df: DataFrame, keys: DataFrame, columns: dict[str, Column], mark: str) -> DataFrame:
+    """``df`` with a boolean column ``mark``: false only for rows whose key isn't among ``keys``. ``columns``: the key's columns in ``keys``, each with what it is in ``df``.
 
     Keys are hashed into a bitmap whose size follows their number up to a fixed bound, so it can be
-    broadcast. Beyond the bound more keys pass that aren't there, but none is ever lost.
+    broadcast. Beyond the bound more rows are marked that aren't there, but none is ever lost.
     """
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * keys.count()).bit_length()))
-    place = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(bits))
-    at = place(*names)
-    words = keys.groupBy(F.floor(at / 32_768).cast("int").alias("k")).agg(F.bitmap_construct_agg(at % 32_768).alias("bits"))
-    bitmap = np.zeros(bits // 8, dtype="u1")
-    for r in words.toLocalIterator():  # at most MOST_BITS / 8 bytes
-        bitmap[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(bytes(r["bits"]), dtype="u1")
-    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
-
-    def known(places: pd.Series) -> pd.Series:
-        p = places.to_numpy()
-        return pd.Series((shared.value[p >> 3] >> (p & 7) & 1).astype(bool))
-
-    marked = F.pandas_udf(known, "boolean")
-    return lambda *columns: marked(place(*columns))
+    place = lambda *own: F.pmod(F.xxhash64(*own), F.lit(bits))
+    at = place(*columns)
+    rows = keys.groupBy(F.floor(at / 32_768).cast("long").alias("_row")).agg(F.bitmap_construct_agg(at % 32_768).alias("_bits"))
+    word = lambda i: F.conv(F.hex(F.substring("_bits", 4 * i + 1, 4)), 16, 10).cast("long")
+    rows = rows.select("_row", F.transform(F.sequence(F.lit(0), F.lit(1023)), word).alias("_words"))
+    out = df.withColumn("_at", place(*columns.values()))
+    out = out.withColumn("_row", F.floor(F.col("_at") / 32_768).cast("long")).join(F.broadcast(rows), "_row", "left")  # at most MOST_BITS / 32768 rows
+    # words of four bytes, the first byte highest, in each the first bit lowest
+    within = F.col("_at") % 32
+    bit = F.getbit(F.get("_words", (F.col("_at") % 32_768 / 32).cast("int")), (F.lit(24) - within + 2 * (within % 8)).cast("int"))
+    return out.withColumn(mark, F.coalesce(bit == 1, F.lit(False))).drop("_at", "_row", "_words")
 
 
 def record(**columns: pa.Array) -> pa.RecordBatch:

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import library_cache
-from .common import record, sliced, table, text_of, written
+from .common import record, sliced, table, text_of, tidy, written
 
 CAPACITY, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -122,24 +122,24 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = library_cache(tokenizer)
-        for batch in sliced(batches, ROWS):
-            doc, piece, start, length, crc, raw = [], [], [], [], [], []
-            for key, ids in zip(batch["id"].to_pylist(), cache.encode(batch["text"].to_pylist()), strict=True):
-                ids += end
-                for i, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    own = ids[4 * at : 4 * (at + n)]
-                    doc.append(key)
-                    piece.append(i)
-                    start.append(at)
-                    length.append(n)
-                    crc.append(zlib.crc32(own))
-                    if keep_ids:
-                        raw.append(own)
-            out = {"doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
-            yield record(**out, **({"ids": pa.array(raw, pa.binary())} if keep_ids else {}))
-
-    return text_of(docs, id_col, text_col).mapInArrow(run, PIECES + ", ids binary" * keep_ids)
+        with library_cache(tokenizer) as cache:
+            for batch in sliced(batches, ROWS):
+                doc, piece, start, length, crc, raw = [], [], [], [], [], []
+                for key, ids in zip(batch["id"].to_pylist(), cache.encode(batch["text"].to_pylist()), strict=True):
+                    ids += end
+                    for i, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
+                        own = ids[4 * at : 4 * (at + n)]
+                        doc.append(key)
+                        piece.append(i)
+                        start.append(at)
+                        length.append(n)
+                        crc.append(zlib.crc32(own))
+                        if keep_ids:
+                            raw.append(own)
+                out = {"doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+                yield record(**out, **({"ids": pa.array(raw, pa.binary())} if keep_ids else {}))
+
+    return text_of(docs, id_col, text_col).mapInArrow(tidy(run), PIECES + ", ids binary" * keep_ids)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, record, table, text_of, written
+from .common import arrow_map, record, table, text_of, tidy, written
 
 Span = tuple[int, int]
 BASE = ("email", "ip", "card", "phone")
@@ -225,7 +225,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                     cand.append([dict(zip("ksevf", c, strict=True)) for c in candidates(text, own)])
                 yield record(row_id=b["id"], base=pa.array(base, base_type), cand=pa.array(cand, cand_type))
 
-    return docs.mapInArrow(run, FOUND)
+    return docs.mapInArrow(tidy(run), FOUND)
 
 
 #: Where EM starts: how often a labeler that votes is right, and the share of personal data among candidates.

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import possibly, record, sliced, table, written
+from .common import possibly, record, sliced, table, tidy, whole_rows, written
 
 ORDER = 5
 #: What stands before a text, and between a word and its repetition.
@@ -46,7 +46,7 @@ FOLDS, QUANTILE, LEAST_HELD = 5, 0.99, 30
 #: Characters at the trusted mean that are added to each document, so that a few words decide nothing.
 SHRINK = 60
 #: Entries of a shard, 12 bytes each; characters that a worker takes at a time.
-SHARD, CHARS = 4_000_000, 1_000_000
+SHARD, CHARS = 4_000_000, 300_000
 
 #: Odd multipliers of characters by their distance from the last one, and of n-grams by their length.
 _BY_PLACE = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(ORDER)], dtype="u8")
@@ -135,7 +135,7 @@ def top_counts(docs: DataFrame) -> DataFrame:
                 at, of = w.distinct()
                 yield record(gram=pa.array([w.text[i - ORDER + 1 : i + 1] for i in at.tolist()], pa.string()), n=pa.array(np.bincount(of), pa.int64()))
 
-    return docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("c"))
+    return docs.select("text").mapInArrow(tidy(run), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("c"))
 
 
 def discounts(n: Sequence[int]) -> list[float]:
@@ -242,7 +242,7 @@ def sharded(model: Model, shards: int) -> DataFrame:
                 own = np.flatnonzero(~np.isnan(value))
                 yield record(role=pa.array(np.full(len(own), role), pa.int32()), shard=pa.array(shard[own]), hash=pa.array(hash_[own].astype("i8")), value=pa.array(np.log(value[own]).astype("f4")))
 
-    return written(model.entries.mapInArrow(run, SHARDED), "kn_shards")
+    return written(model.entries.mapInArrow(tidy(run), SHARDED), "kn_shards")
 
 
 PARTS = "id long, lang string, k1 long, k2 long, n long, nll double"
@@ -278,7 +278,7 @@ def likelihoods(base: DataFrame, model: Model, shard_rows: int = SHARD) -> DataF
                         out += np.diff(sums).tolist()
                 yield record(id=b["id"], lang=b["lang"], k1=b["k1"], k2=b["k2"], n=pa.array(n, pa.int64()), nll=pa.array(nll, pa.float64()))
 
-        parts.append(written(base.select("id", "lang", "k1", "k2", "text").mapInArrow(run, PARTS), "kn_scores"))
+        parts.append(written(base.select("id", "lang", "k1", "k2", "text").mapInArrow(tidy(run), PARTS), "kn_scores"))
         shared.destroy()
     times = F.count(F.lit(1)) / F.lit(float(shards))  # equal rows have equal parts
     every = reduce(DataFrame.union, parts).groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("lang").alias("lang"), times.cast("long").alias("times"), F.sum("n").alias("n"), F.sum("nll").alias("nll"))
@@ -315,8 +315,8 @@ def keys(id_: Column | str, lang: Column | str, text: Column | str) -> tuple[Col
 def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, shard_rows: int) -> DataFrame:
     """``id, lang, k1, k2, times, n, perplexity, threshold, keep`` of each distinct row."""
     base, trusted = keyed(docs, id_col, text_col, lang_col), trusted_ids(labels)
-    named = possibly(trusted, "id")  # only texts that may be trusted are sent to the join
-    own = base.where(F.col("id").isNotNull() & ~held_out("id")).where(named("id")).select("id", "text").hint("shuffle_hash").join(trusted, "id", "left_semi")
+    # only texts that may be trusted are sent to the join
+    own = possibly(base.where(F.col("id").isNotNull() & ~held_out("id")), trusted, {"id": F.col("id")}, "named").where("named").select("id", "text").hint("shuffle_hash").join(trusted, "id", "left_semi")
     model = estimated(written(top_counts(own), "kn_counts"))
     if model is None:
         none = F.lit(None).cast("double")
@@ -341,13 +341,12 @@ def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Rows whose key can't be among the rejected pass without a shuffle.
     """
-    out = written(judged(docs, labels, id_col, text_col, lang_col, quantile, shard_rows).where("not keep").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "rejected")
-    doubtful = possibly(out, "_k1", "_k2")
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    k1, k2 = keys(F.col(f"`{id_col}`").cast("long"), F.col(f"`{lang_col}`").cast("string"), text)
-    marked = docs.withColumns({"_k1": k1, "_k2": k2}).withColumn("_hit", doubtful("_k1", "_k2"))
-    stay = marked.where("_hit").join(out.hint("shuffle_hash"), ["_k1", "_k2"], "left_anti")
-    return marked.where("not _hit").select(*docs.columns).union(stay.select(*docs.columns))
+    out = written(judged(docs, labels, id_col, text_col, lang_col, quantile, shard_rows).where("not keep").select("k1", "k2"), "rejected")
+    own = lambda name: F.col("row").getField(name)
+    k1, k2 = keys(own(id_col).cast("long"), own(lang_col).cast("string"), F.coalesce(own(text_col).cast("string"), F.lit("")))
+    marked = possibly(whole_rows(docs).withColumns({"k1": k1, "k2": k2}), out, {"k1": F.col("k1"), "k2": F.col("k2")}, "hit")
+    stay = marked.where("hit").join(out.hint("shuffle_hash"), ["k1", "k2"], "left_anti")
+    return marked.where("not hit").select("row.*").union(stay.select("row.*"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ partners only while they are in other components.
 
 Defined results: documents without words have an empty set, link with nothing and are their own
 component; documents of fewer words than a shingle have the whole sequence as one; rows with equal
-sets are one class whatever their ids; a null id keeps its row, and its component is the least id of
-its component, null if there is none; rows that share an id are one node; an empty table gives an
+sets are one class whatever their ids; a row with a null id goes by a hash of its text, links others like any row, and its
+component is the least id in it, null if there is none; rows that share an id are one node; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import released
-from .common import arrow_map, record, table, text_of, written
+from .common import arrow_map, possibly, record, table, text_of, tidy, whole_rows, written
 from .components import components, roots
 
 WORDS, FINE = 5, 7
@@ -50,8 +50,6 @@ SHORT, BLOCK = 8, 2048
 CHAIN = 3
 #: Segments that so many sets of a batch share may be frequent; so many of these are told to all tasks.
 LOCAL, FREQUENT = 2, 200_000
-#: Bits of the filter that keeps texts of unpaired documents from shuffles.
-FILTER_BITS = 1 << 25
 #: The similarity as a fraction.
 NUM, DEN = 75, 100
 
@@ -178,7 +176,7 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 NONE = (np.empty(0, "u8"), np.empty(0, "i8"))
-FACTS = "doc_id long, k1 long, k2 long, n long, sketch binary, hot array<long>"
+FACTS = "doc_id long, text_key long, k1 long, k2 long, n long, sketch binary, hot array<long>"
 
 
 def facts(docs: DataFrame) -> DataFrame:
@@ -200,9 +198,9 @@ def facts(docs: DataFrame) -> DataFrame:
             if seen:
                 values, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
                 hot = values[counts >= LOCAL].astype("i8").tolist()
-            yield record(doc_id=b["id"], k1=pa.array(k1, pa.int64()), k2=pa.array(k2, pa.int64()), n=pa.array(n, pa.int64()), sketch=pa.array(raw, pa.binary()), hot=pa.array(([hot] + [None] * len(n))[: len(n)], pa.list_(pa.int64())))
+            yield record(doc_id=b["doc_id"], text_key=b["text_key"], k1=pa.array(k1, pa.int64()), k2=pa.array(k2, pa.int64()), n=pa.array(n, pa.int64()), sketch=pa.array(raw, pa.binary()), hot=pa.array(([hot] + [None] * len(n))[: len(n)], pa.list_(pa.int64())))
 
-    return docs.mapInArrow(run, FACTS)
+    return docs.select("doc_id", "text_key", "text").mapInArrow(tidy(run), FACTS)
 
 
 class Runs:
@@ -288,8 +286,8 @@ def candidate_pairs(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) ->
         yield as_rows(runs.rest())
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(batched, "sig long, key long").repartition(n, "sig").sortWithinPartitions("sig", "key")
-    return rows.mapInArrow(pair, PAIRS)
+    rows = docs.select("text").mapInArrow(tidy(batched), "sig long, key long").repartition(n, "sig").sortWithinPartitions("sig", "key")
+    return rows.mapInArrow(tidy(pair), PAIRS)
 
 
 def near_enough(pairs: DataFrame) -> DataFrame:
@@ -305,26 +303,10 @@ def near_enough(pairs: DataFrame) -> DataFrame:
     return arrow_map(fits.select(*rest, "na", "nb", "sa", "sb"), run, ", ".join(f"{c} {types[c]}" for c in rest))
 
 
-def of_interest(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id may be among ``ids``: by a bitmap of hashed ids of a fixed size, so others may pass, but none is lost."""
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.groupBy(F.floor(at / 32_768).cast("int").alias("k")).agg(F.bitmap_construct_agg(at % 32_768).alias("bits")).collect()  # at most FILTER_BITS / 8 bytes
-    bitmap = np.zeros(FILTER_BITS // 8, dtype="u1")
-    for r in words:
-        bitmap[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(bytes(r["bits"]), dtype="u1")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        at = b["at"].to_numpy()
-        return b.select(["id", "text"]).filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
-
-    return arrow_map(docs.where("id is not null").select("id", "text", at.alias("at")), run, "id long, text string")
-
-
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of ids whose texts link; hardly any but the texts of paired documents are shuffled."""
     both_ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    texts = of_interest(docs, both_ids)
+    texts = possibly(docs, both_ids, {"id": F.col("id")}, "met").where("met")
     # the same joins at every size: pairs grow with the corpus, so they are never broadcast
     left = pairs.select("a", "b").hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
@@ -336,7 +318,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok = [links(x, y) for x, y in zip(sets(b["ta"]), sets(b["tb"]), strict=True)]
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct(), "shingle_links")
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long").distinct(), "shingle_links")
 
 
 def with_component(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -381,17 +363,21 @@ def blocks(members: DataFrame) -> DataFrame:
     return met.groupBy("sig", "low", "high").applyInArrow(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row."""
-    base = text_of(docs, id_col, text_col)
+def related(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id, node`` for each row.
+
+    ``text_key`` is a hash of the text. ``node`` names the component whatever the ids are; null for an empty set.
+    """
+    base = text_of(docs, id_col, text_col).select(F.col("id").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    base = base.select("*", F.coalesce("doc_id", "text_key").alias("id"))  # a row without an id goes by its text
     known = written(facts(base), "shingle_facts")
     top = known.select(F.explode("hot").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "sig").limit(FREQUENT).collect()  # at most FREQUENT rows
     hot = np.array([r["sig"] for r in top], dtype="i8").view("u8")
     order = np.argsort(hot)
     frequent = (hot[order], np.array([r["c"] for r in top], dtype="i8")[order])
 
-    sized = known.where("n > 0")
-    classes = written(sized.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).where("rep is not null"), "shingle_classes")
+    own = known.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.coalesce(F.min("doc_id"), F.min("text_key")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(own, "shingle_classes")
     found = written(candidate_pairs(base, frequent), "shingle_pairs")
     pairs = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     for side in ("a", "b"):
@@ -412,9 +398,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     comps = joined_by(comps, written(blocks(members), "shingle_rest"), base)
 
-    nodes = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = known.select("doc_id", "k1", "k2", "n").join(nodes, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    nameless = classes.where("least is null").select(F.col("rep").alias("node"))
+    least = comps.join(nameless, "node", "left_anti").groupBy("component").agg(F.min("node").alias("name"))
+    named = comps.join(least, "component", "left").select(F.col("node").alias("rep"), "component", "name")
+    nodes = classes.join(named, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("node"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("name")).alias("component"))
+    out = known.select("doc_id", "text_key", "k1", "k2", "n").join(nodes, ["k1", "k2"], "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), "node")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row."""
+    return related(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: the one with the least id (rows without an id last).
+
+    Rows are told apart by id and text together, so a clean text stays though another text of its id goes. Documents without words all stay.
+    Only rows that may go are shuffled.
+    """
+    key = ["id", "nameless", "text_key"]
+    found = related(docs, id_col, text_col).where("node is not null")
+    found = written(found.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("nameless"), "text_key", "node").groupBy(*key).agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")), "shingle_nodes")
+    first = found.groupBy("node").agg(F.min(F.struct("nameless", "id", "text_key")).alias("first")).select("first.*")
+    doubtful = written(found.join(first.withColumn("stays", F.lit(True)), key, "left").where("stays is null or n > 1").select(*key, F.coalesce("stays", F.lit(False)).alias("stays")), "shingle_doubtful")
+    own = lambda name: F.col("row").getField(name)
+    id_, text = own(id_col).cast("long"), F.coalesce(own(text_col).cast("string"), F.lit(""))
+    rows = whole_rows(docs).withColumns({"id": F.coalesce(id_, F.lit(0)), "nameless": id_.isNull(), "text_key": F.xxhash64(text)})
+    marked = possibly(rows, doubtful, {k: F.col(k) for k in key}, "hit")
+    judged = marked.where("hit").join(doubtful.hint("shuffle_hash"), key, "left")
+    once = judged.where("stays").dropDuplicates(key)  # repeated rows of a document that stays
+    return marked.where("not hit").select("row.*").union(judged.where("stays is null").select("row.*")).union(once.select("row.*"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import library_cache, width_of
-from .common import record, table, text_of, written
+from .common import record, sliced, table, text_of, tidy, written
 
 MAGIC, SAMPLE = b"TESSERA1", 256
 HEAD = struct.Struct("<8sBB6xQQQ")
@@ -165,18 +165,19 @@ def write_images(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         def closed() -> pa.RecordBatch:
             return record(part=pa.array([part], pa.int32()), before=pa.array([before], pa.int64()), n_docs=pa.array([len(names)], pa.int64()), n_ids=pa.array([size], pa.int64()), image=pa.array([image(names, own, width)], pa.binary()))
 
-        for batch in batches:
-            for key, ids in zip(batch["id"].to_pylist(), cache.encode(batch["text"].to_pylist()), strict=True):
-                names.append(key)
-                own.append(ids + end)
-                size += len(ids) // 4 + 1
-                if size >= image_ids:
-                    yield closed()
-                    names, own, size, before = [], [], 0, before + size
+        with cache:
+            for batch in sliced(batches, 1000):
+                for key, ids in zip(batch["id"].to_pylist(), cache.encode(batch["text"].to_pylist()), strict=True):
+                    names.append(key)
+                    own.append(ids + end)
+                    size += len(ids) // 4 + 1
+                    if size >= image_ids:
+                        yield closed()
+                        names, own, size, before = [], [], 0, before + size
         if names:
             yield closed()
 
-    return written(ordered.mapInArrow(run, IMAGES), "token_images", "zstd")
+    return written(ordered.mapInArrow(tidy(run), IMAGES), "token_images", "zstd")
 
 
 def read_images(images: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -201,7 +202,7 @@ def read_images(images: DataFrame, with_ids: bool = True) -> DataFrame:
                 columns = {"doc_id": pa.array(one.doc_ids, pa.int64()), "start": pa.array(starts + before + base[part]), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64())}
                 yield record(**columns, **({"ids": pa.array([bytes(x) for x in own], pa.binary())} if with_ids else {}))
 
-    return images.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return images.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def export(images: DataFrame, directory: str) -> list[str]:
