@@ -4,8 +4,8 @@ Every pre-tokenizer used here starts a new pre-token at a space or a line feed t
 between characters that aren't white space. So the ids of a text are the ids of its chunks
 (``"w0"``, ``" w1"``, ``"\\nw2"``, …) one after another, as long as no two white-space characters meet and
 none is first or last; other texts are encoded whole. Arrow splits a group of texts and finds
-its distinct chunks; only these are looked up, and only unknown ones are encoded. The cache
-holds two bounded generations; what it drops changes no result.
+its distinct chunks; only these are looked up, and only unknown ones are encoded. The cache holds
+arrays: hashes of 128 bits, and the ids. It starts anew when it is full and with each task; what it drops changes no result.
 
 This holds for two kinds of tokenizer files, which ``kind_of`` tells by their settings. Texts of
 any other file, and texts in which an added token is spelled, are given to the library whole.
@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 
 #: A run of letters that Unicode tables of any version agree on, and what follows it, of ASCII.
 WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x21-\x7E]*)")
-#: Chunks in a generation of the cache, some 200 bytes each.
-LIMIT = 250_000
+#: Chunks that the cache holds, some 40 bytes each.
+LIMIT = 500_000
 
 
 def even(text: str) -> bool:
@@ -49,17 +49,20 @@ class ChunkCache:
 
     def __init__(self, whole: Callable[[Sequence[str]], list[bytes]], glued: Callable[[Sequence[str]], list[bytes]] | None, blank_free: bool = False, apart: re.Pattern | None = None, limit: int = LIMIT):
         self.whole, self.glued, self.blank_free, self.apart, self.limit = whole, glued, blank_free, apart, limit
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.checks = np.empty(0, "u8"), np.empty(0, "u8")  # sorted by key
+        self.first, self.size, self.ids = np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "<u4")
 
     def __enter__(self) -> ChunkCache:
         return self
 
     def __exit__(self, *_: object) -> None:
         """A task has ended: its worker keeps the tokenizer, but no chunks."""
-        self.known, self.older = {}, {}
+        self.forget()
 
-    def encode(self, texts: Sequence[str], group_chars: int = 2_000_000) -> Iterator[bytes]:
+    def encode(self, texts: Sequence[str], group_chars: int = 1_000_000) -> Iterator[bytes]:
         group: list[str] = []
         size = 0
         for text in texts:
@@ -94,9 +97,7 @@ class ChunkCache:
         ends = rows.offsets.to_numpy()
         # a line feed that is first leaves an empty chunk before it
         found = rows.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
-        table = self._looked_up(found.dictionary.to_pylist())
-        size = np.fromiter((len(x) // 4 for x in table), dtype="i8", count=len(table))
-        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(table), dtype="<u4")
+        first, size, flat = self._looked_up(found.dictionary)
         at = found.indices.to_numpy()
         each = size[at]
         after = np.cumsum(each)
@@ -104,22 +105,59 @@ class ChunkCache:
         bounds = np.append(0, after)[ends - ends[0]].tolist()
         return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
-    def _looked_up(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:  # what is used again comes back from the older generation
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        known.setdefault("", b"")
-        out = list(map(known.get, chunks))
-        lacking = [i for i, x in enumerate(out) if x is None]
-        new = []
-        for i in lacking:
-            if (x := older.get(chunks[i])) is None:
-                new.append(i)
-            else:
-                known[chunks[i]] = out[i] = x
-        for i, x in zip(new, self.glued([chunks[i] for i in new]), strict=True):
-            known[chunks[i]] = out[i] = x
-        return out
+    def _looked_up(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The place and number of each distinct chunk's ids, and the ids."""
+        keys, checks = hashes(chunks)
+        at = np.searchsorted(self.keys, keys)
+        there = np.zeros(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        there[inside] = (self.keys[at[inside]] == keys[inside]) & (self.checks[at[inside]] == checks[inside])
+        first, size = np.zeros(len(keys), "i8"), np.zeros(len(keys), "i8")
+        first[there], size[there] = self.first[at[there]], self.size[at[there]]
+        lacking = np.flatnonzero(~there & (pc.binary_length(chunks).to_numpy() > 0))
+        new = self.glued(chunks.take(pa.array(lacking)).to_pylist())
+        size[lacking] = np.fromiter((len(x) // 4 for x in new), dtype="i8", count=len(new))
+        first[lacking] = len(self.ids) + np.cumsum(size[lacking]) - size[lacking]
+        flat = np.concatenate([self.ids, np.frombuffer(b"".join(new), dtype="<u4")])
+        if len(self.keys) + len(lacking) > self.limit:
+            self.forget()
+        else:
+            of = np.append(self.keys, keys[lacking])
+            order = np.argsort(of, kind="stable")
+            self.keys, self.checks, self.ids = of[order], np.append(self.checks, checks[lacking])[order], flat
+            self.first, self.size = np.append(self.first, first[lacking])[order], np.append(self.size, size[lacking])[order]
+        return first, size, flat
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D) ^ (x >> np.uint64(33))
+
+
+@functools.lru_cache(maxsize=2)
+def _factors(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two odd random factors for each place in a chunk of up to ``most`` bytes."""
+    place = np.arange(1, 2 * most + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+    both = _mixed(place) | np.uint64(1)
+    return both[:most], both[most:]
+
+
+def hashes(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each string: sums of bytes times factors of their places."""
+    ends = pc.binary_length(chunks).to_numpy().astype("i8").cumsum()
+    begins = np.append(0, ends[:-1]) if len(ends) else ends
+    size = ends - begins
+    raw = chunks.buffers()[2]
+    if raw is None or not len(ends) or not ends[-1]:
+        return np.zeros(len(ends), "u8"), np.zeros(len(ends), "u8")
+    offsets = np.frombuffer(chunks.buffers()[1], dtype="i8" if pa.types.is_large_string(chunks.type) else "i4", count=1, offset=(8 if pa.types.is_large_string(chunks.type) else 4) * chunks.offset)
+    data = np.frombuffer(raw, dtype="u1", count=int(ends[-1]), offset=int(offsets[0])).astype("u8") + np.uint64(1)
+    place = np.arange(len(data)) - np.repeat(begins, size)
+    out = []
+    for factors in _factors(1 << int(size.max()).bit_length()):
+        sums = np.append(np.zeros(1, "u8"), np.cumsum(data * factors[place]))
+        out.append(_mixed(sums[ends] - sums[begins] + size.astype("u8") * factors[0]))
+    return out[0], out[1]
 
 
 def packed(ids: Sequence[int]) -> bytes:
@@ -208,12 +246,10 @@ def library_cache(path: str, special_as_text: bool = False) -> ChunkCache:
                 if len(ends) > 10_000:
                     ends.clear()
                 rest = ends[before, after] = tuple(whole([before, after]))
-            ids = None if before else cache.known.get(word) or cache.older.get(word)
-            out.append(rest[0] + (ids or run_of_letters(word, "" if before else space)) + rest[1])
+            out.append(rest[0] + run_of_letters(word, "" if before else space) + rest[1])
         return out
 
-    cache = ChunkCache(whole, glued if kind else None, blank_free, apart)
-    return cache
+    return ChunkCache(whole, glued if kind else None, blank_free, apart)
 
 
 def released() -> None:
