@@ -11,7 +11,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,26 +131,32 @@ def train_on(docs: DataFrame, vocab_size: int, text: str = "text") -> list[Merge
 
 
 def encoded(docs: DataFrame, merges: list[Merge], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, ids`` of each text. Each task keeps what it knows of chunks, so each is encoded about once a task."""
+    """``key, ids`` of each text. A task looks up the distinct chunks of a few texts at a time and encodes only those it doesn't know yet."""
     ranks = {(m.left, m.right): (m.rank, m.token) for m in merges}
     chunks = docs.select(key, regex_chunks(F.col(text)).alias("chunks"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
-        for b in batches:
-            out = []
-            for own in b["chunks"]:
-                ids: list[int] = []
-                for c in own:
-                    if c not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[c] = encode(c.encode(), ranks)
-                    ids += known[c]
-                out.append(ids)
-            yield pd.DataFrame({key: b[key], "ids": out})
-
-    return chunks.mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, ids array<int>")
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                b = batch.slice(i, 500)
+                if len(known) > 200_000:
+                    known.clear()
+                found = b["chunks"].flatten().dictionary_encode()
+                own = []
+                for c in found.dictionary.to_pylist():
+                    if (ids := known.get(c)) is None:
+                        ids = known[c] = encode(c.encode(), ranks)
+                    own.append(ids)
+                size = np.fromiter(map(len, own), dtype="i8", count=len(own))
+                first, flat = np.cumsum(size) - size, np.fromiter((x for ids in own for x in ids), dtype="i4", count=int(size.sum()))
+                at = found.indices.to_numpy()
+                after = np.cumsum(size[at])
+                ids = flat[np.repeat(first[at] - (after - size[at]), size[at]) + np.arange(after[-1] if len(after) else 0)]
+                rows = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(b["chunks"]), 0).to_numpy()))
+                yield pa.RecordBatch.from_arrays([b[key], pa.ListArray.from_arrays(pa.array(np.append(0, after)[rows].astype("i4")), pa.array(ids))], [key, "ids"])
+
+    return chunks.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, ids array<int>")
 
 
 def compression(docs: DataFrame, ids: DataFrame, group: str, key: str = "doc_id", text: str = "text") -> DataFrame:

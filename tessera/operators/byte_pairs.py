@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def byte_ids(text: Column) -> Column:
     """UTF-8 bytes as an array of ids 0 to 255."""
-    digits = F.hex(F.encode(text, "utf-8"))
-    return F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    digits = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit(".."), F.lit(0))
+    return F.transform(digits, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def byte_encode(text: Column) -> Column:

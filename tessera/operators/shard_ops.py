@@ -60,6 +60,14 @@ def valid_starts(counts: DataFrame, length: int) -> DataFrame:
 
 
 def offset_to_shard(offsets: DataFrame, starts: DataFrame) -> DataFrame:
-    """The shard and local start of global offsets: a range lookup in the small table of shards."""
+    """The shard and local start of global offsets; offsets beyond the last start are left out.
+
+    Offsets and shards meet in bins as wide as a mean shard, so the join is on a key: shards fill at most twice as many bins as there are shards.
+    """
+    width = starts.agg(F.greatest(F.ceil(F.max("end_offset") / F.count(F.lit(1))), F.lit(1)).cast("long").alias("width"))  # one row
+    bin_of = lambda c: F.floor(c / F.col("width"))
+    own = starts.where("first_offset < end_offset").crossJoin(F.broadcast(width))
+    own = own.withColumn("bin", F.explode(F.sequence(bin_of(F.col("first_offset")), bin_of(F.col("end_offset") - 1)))).drop("width")
+    met = offsets.crossJoin(F.broadcast(width)).withColumn("bin", bin_of(F.col("global_offset"))).join(own, "bin")
     hit = (F.col("global_offset") >= F.col("first_offset")) & (F.col("global_offset") < F.col("end_offset"))
-    return offsets.join(F.broadcast(starts), hit).select("global_offset", "shard_index", (F.col("global_offset") - F.col("first_offset")).alias("local_offset"))
+    return met.where(hit).select("global_offset", "shard_index", (F.col("global_offset") - F.col("first_offset")).alias("local_offset"))

@@ -69,8 +69,8 @@ def register(r: Registry) -> None:
         SELECT p_partkey, regexp_replace(regexp_replace(lower(' ' || p_name || '--' || p_type || '!'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part""")
     r.add("markdown_escape", lambda s, d: table(s, d, "documents").select("doc_id", T.markdown_cell(F.nullif(F.col("text"), F.lit(""))).alias("cell")), r"""
         SELECT doc_id, coalesce(replace(replace(nullif(text, ''), '|', '\|'), chr(10), ' '), '—') AS cell FROM documents""")
-    r.add("assemble_program", lambda s, d: table(s, d, "documents").select("doc_id", T.assembled(F.when(k() != 0, "import os").otherwise(""), F.substring("text", 1, 20), F.when(k() == 2, "").otherwise("check()")).alias("program")), """
-        SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 5 != 0 THEN 'import os' END, nullif(text[1:20], ''), CASE WHEN doc_id % 5 != 2 THEN 'check()' END) AS program FROM documents""")
+    r.add("assemble_program", lambda s, d: table(s, d, "documents").select("doc_id", T.assembled(F.when(k() != 0, "import os").otherwise(""), F.col("text"), F.when(k() == 2, "").otherwise("check()")).alias("program")), """
+        SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 5 != 0 THEN 'import os' END, nullif(text, ''), CASE WHEN doc_id % 5 != 2 THEN 'check()' END) AS program FROM documents""")
     r.add("few_shot_prompt", lambda s, d: bench(s, d).select("item_id", T.few_shot_prompt(F.array(F.lit("Q=A"), F.lit("R=B")), F.col("text")).alias("prompt")), """
         SELECT item_id, 'Q=A' || chr(10) || chr(10) || 'R=B' || chr(10) || chr(10) || text AS prompt FROM benchmark""")
     r.add("fenced_text", lambda s, d: bench(s, d).select("item_id", T.longest_run(F.col("text"), "e").cast("int").alias("run"), T.fenced(F.col("text")).alias("fenced")), """

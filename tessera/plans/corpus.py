@@ -79,11 +79,14 @@ def register(r: Registry) -> None:
         SELECT split, shard_index, manifest_documents, statistics_documents, manifest_documents IS NOT DISTINCT FROM statistics_documents AS agrees FROM m FULL JOIN s USING (split, shard_index)""")
 
     def lookup(s: SparkSession, d: str) -> DataFrame:
-        offsets = docs(s, d).select((F.col("doc_id") * 997 % 50_000).alias("global_offset")).distinct()
-        return shard_ops.offset_to_shard(offsets, shard_ops.valid_starts(tokens(s, d), 128))
+        """Offsets all over the range of starts."""
+        starts = shard_ops.valid_starts(tokens(s, d), 128)
+        most = starts.agg(F.max("end_offset").alias("most"))  # one row
+        offsets = docs(s, d).crossJoin(F.broadcast(most)).select((F.col("doc_id") * 2_654_435_761 % F.col("most")).alias("global_offset")).distinct()
+        return shard_ops.offset_to_shard(offsets, starts)
 
     r.add("offset_to_shard", lookup, f"""
         WITH p AS (SELECT shard_index, greatest(sum(n_tokens) - 128, 0) AS n FROM ({COUNTED}) GROUP BY shard_index),
         q AS (SELECT shard_index, sum(n) OVER (ORDER BY shard_index) - n AS a, sum(n) OVER (ORDER BY shard_index) AS b FROM p),
-        o AS (SELECT DISTINCT doc_id * 997 % 50000 AS g FROM documents)
+        o AS (SELECT DISTINCT CAST(doc_id * 2654435761 % (SELECT sum(n) FROM p) AS BIGINT) AS g FROM documents)
         SELECT g AS global_offset, shard_index, CAST(g - a AS BIGINT) AS local_offset FROM o JOIN q ON g >= a AND g < b""")

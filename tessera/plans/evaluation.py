@@ -73,11 +73,11 @@ def register(r: Registry) -> None:
         SELECT lang, doc_id, fits FROM (SELECT *, n_chars <= 2000 AS fits, coalesce(sum((n_chars <= 2000)::INT) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM documents) WHERE k < 50""")
 
     def options(s: SparkSession, d: str) -> DataFrame:
-        rows = table(s, d, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("example"), F.col("l_linenumber").alias("option"), F.col("l_quantity").alias("q"))
+        rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("example"), F.col("l_linenumber").alias("option"), F.col("l_quantity").alias("q"))
         return rows.withColumn("losses", F.when((F.col("example") % 5 == 0) & (F.col("option") % 2 == 1), F.array().cast("array<double>")).otherwise(F.array("q", F.col("q") + 1)))
 
     r.add("continuation_argmin", lambda s, d: scoring.predicted_option(scoring.mean_losses(options(s, d)), ["example"]), """
-        WITH o AS (SELECT l_orderkey AS example, l_linenumber AS option, CASE WHEN NOT (l_orderkey % 5 = 0 AND l_linenumber % 2 = 1) THEN l_quantity + 0.5 END AS m FROM lineitem WHERE l_linenumber <= 4),
+        WITH o AS (SELECT l_orderkey AS example, l_linenumber AS option, CASE WHEN NOT (l_orderkey % 5 = 0 AND l_linenumber % 2 = 1) THEN l_quantity + 0.5 END AS m FROM lineitem),
         f AS (SELECT example, min(option) AS o1, arg_min(m IS NULL, option) AS empty_first, arg_min(option, (m, option)) FILTER (m IS NOT NULL) AS best FROM o GROUP BY example)
         SELECT example, CASE WHEN empty_first THEN o1 ELSE best END AS predicted FROM f""")
     chars = lambda c: F.split(c, "")

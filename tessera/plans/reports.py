@@ -75,10 +75,10 @@ def register(r: Registry) -> None:
 
     def arc(s: SparkSession, d: str) -> DataFrame:
         w = F.slice(F.split("text", " ", -1), 1, 3)
-        rows = table(s, d, "documents").select(F.substring("text", 1, 30).alias("question"), F.struct(F.array(F.lit("A"), F.lit("B"), F.when(F.col("doc_id") % 3 == 0, "A").otherwise("C")).alias("label"), w.alias("text")).alias("choices"), F.when(F.col("doc_id") % 2 == 0, "B").otherwise("D").alias("answerKey"))
+        rows = table(s, d, "documents").select(F.col("text").alias("question"), F.struct(F.array(F.lit("A"), F.lit("B"), F.when(F.col("doc_id") % 3 == 0, "A").otherwise("C")).alias("label"), w.alias("text")).alias("choices"), F.when(F.col("doc_id") % 2 == 0, "B").otherwise("D").alias("answerKey"))
         return adapters.arc(rows).select("prompt", "answer", "error")
 
     r.add("arc_rows", arc, """
-        SELECT CASE WHEN ok THEN 'Multiple Choice question: ' || text[1:30] || chr(10) || array_to_string(list_transform(w, lambda c, i: '- ' || c || '=' || ['A','B','C'][i] || chr(10)), '') || chr(10) || 'Respond only with the letter of the correct answer.' END AS prompt,
+        SELECT CASE WHEN ok THEN 'Multiple Choice question: ' || text || chr(10) || array_to_string(list_transform(w, lambda c, i: '- ' || c || '=' || ['A','B','C'][i] || chr(10)), '') || chr(10) || 'Respond only with the letter of the correct answer.' END AS prompt,
                CASE WHEN ok THEN 'B' END AS answer, CASE WHEN NOT ok THEN 'malformed row' END AS error FROM (SELECT text, w, len(w) = 3 AND doc_id % 3 != 0 AND doc_id % 2 = 0 AS ok FROM (SELECT *, string_split(text, ' ')[1:3] AS w FROM documents))""")
     r.add("centered_formula", lambda s, d: table(s, d, "events").select("event_id", F.round(formulas.centered(F.col("value"), F.lit(0.25)), 9).alias("centered")), "SELECT event_id, round((value - 0.25) / 0.75, 9) AS centered FROM events")

@@ -9,8 +9,7 @@ from ..operators import bpb, byte_pairs
 from ..registry import Registry
 from ..sources.shards import table
 
-PREFIX = "SELECT doc_id, text[1:60] AS t FROM documents"
-BYTES = f"""SELECT doc_id, list_transform(range(0, strlen(t)), lambda i: CAST(('0x' || hex(encode(t))[2*i+1:2*i+2]) AS INT)) AS ids FROM ({PREFIX})"""
+BYTES = """SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS INT)) AS ids FROM documents"""
 WORDS = """SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w != '' GROUP BY w"""
 PAIRS = f"""
     SELECT CAST('0x' || h[2*i+1:2*i+2] AS INT) AS left_id, CAST('0x' || h[2*i+3:2*i+4] AS INT) AS right_id, CAST(sum(n) AS BIGINT) AS pair_count
@@ -19,12 +18,15 @@ PAIRS = f"""
 LOSSES = """SELECT l_orderkey AS row_id, l_linenumber AS pos, l_orderkey * 31 % 270 - 5 AS target, l_quantity / 10 AS loss_nats, l_linenumber % 3 != 0 AS mask FROM lineitem"""
 
 
-def texts(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"))
+def ids(s: SparkSession, d: str) -> DataFrame:
+    """The bytes of whole texts."""
+    return table(s, d, "documents").select("doc_id", byte_pairs.byte_encode(F.col("text")).alias("ids"))
 
 
-def ids(s: SparkSession, d: str) -> DataFrame:
-    return texts(s, d).select("doc_id", byte_pairs.byte_encode(F.col("t")).alias("ids"))
+def window_sums(s: SparkSession, d: str) -> DataFrame:
+    """All windows of each document, told by their number and sums over their first inputs and last targets."""
+    each = byte_pairs.sliding_windows(ids(s, d), 16).select("doc_id", F.col("inputs")[0].alias("first"), F.col("targets")[15].alias("last"))
+    return each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("first").alias("first_inputs"), F.sum("last").alias("last_targets"))
 
 
 def losses(s: SparkSession, d: str) -> DataFrame:
@@ -38,9 +40,8 @@ def register(r: Registry) -> None:
     r.add("best_pair", lambda s, d: byte_pairs.best_pair(byte_pairs.pair_counts(byte_pairs.word_chunks(table(s, d, "documents")))), f"{PAIRS} ORDER BY pair_count DESC, left_id, right_id LIMIT 1")
     r.add("next_token_shift", lambda s, d: byte_pairs.next_token_shift(ids(s, d)).select("doc_id", joined("inputs").alias("inputs"), joined("targets").alias("targets")), f"""
         SELECT doc_id, array_to_string(ids[1:len(ids)-1], ',') AS inputs, array_to_string(ids[2:], ',') AS targets FROM ({BYTES})""")
-    r.add("sliding_windows", lambda s, d: byte_pairs.sliding_windows(ids(s, d), 16).select("doc_id", F.col("start").cast("long").alias("start"), joined("inputs").alias("inputs"), joined("targets").alias("targets")), f"""
-        SELECT doc_id, i AS start, array_to_string(ids[i+1:i+16], ',') AS inputs, array_to_string(ids[i+2:i+17], ',') AS targets
-        FROM (SELECT *, unnest(range(0, greatest(len(ids) - 16, 0))) AS i FROM ({BYTES}))""")
+    r.add("sliding_windows", window_sums, f"""
+        SELECT doc_id, len(ids) - 16 AS windows, CAST(list_sum(ids[1:len(ids) - 16]) AS BIGINT) AS first_inputs, CAST(list_sum(ids[17:]) AS BIGINT) AS last_targets FROM ({BYTES}) WHERE len(ids) > 16""")
     r.add("token_byte_lookup", lambda s, d: bpb.with_bytes(losses(s, d), bpb.byte_lengths(s)).groupBy("n_bytes").agg(F.count(F.lit(1)).alias("targets")), f"""
         SELECT CAST(CASE WHEN target BETWEEN 0 AND 255 THEN 1 ELSE 0 END AS INT) AS n_bytes, count(*) AS targets FROM ({LOSSES}) GROUP BY 1""")
     r.add("source_coverage", lambda s, d: bpb.source_coverage(ids(s, d), bpb.byte_lengths(s)), f"SELECT count(DISTINCT doc_id) AS documents, CAST(sum(len(ids)) AS BIGINT) AS tokens, CAST(sum(len(ids)) AS BIGINT) AS bytes FROM ({BYTES})")
