@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def byte_ids(text: Column) -> Column:
     """UTF-8 bytes as an array of ids 0 to 255."""
-    digits = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit(".."), F.lit(0))
-    return F.transform(digits, lambda x: F.conv(x, 16, 10).cast("int"))
+    # in Latin-1 each byte is a character
+    return F.transform(F.split(F.decode(F.encode(text, "utf-8"), "ISO-8859-1"), "", -1), F.ascii)
 
 
 def byte_encode(text: Column) -> Column:
