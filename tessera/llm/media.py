@@ -5,8 +5,11 @@ rules; ADPCM blocks are decoded together, sample by sample across all blocks. Th
 resampled by a rational factor with linear interpolation in whole numbers, so results are the
 same everywhere.
 
+Texts are stored in all three formats: the payload's CRC-32 chooses one, so equal texts are stored alike. In
+ADPCM each block holds 64 bytes of the payload as its codes.
+
 Defined results: null media gives null PCM; bytes that aren't a supported WAV give null, not an
-error; null text is an empty payload, padded to 64 bytes; rows are independent, so ids, ties
+error; null text is an empty payload, padded to 64 bytes; a text of any length is one payload, decoded some thousand blocks at a time; rows are independent, so ids, ties
 and repeated rows need no care; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -15,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +29,10 @@ from .common import arrow_map, record, table, text_of, written
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 RATE, OUT_RATE, PAD = 8000, 16000, 64
+#: Formats that texts are stored in, and the size of an ADPCM block: its header and ``PAD`` bytes of codes.
+STORED, BLOCK = (MULAW, ALAW, ADPCM), 4 + PAD
+#: Blocks that are decoded together.
+TOGETHER = 1 << 15
 
 #: IMA ADPCM's fixed step sizes and index steps.
 STEPS = np.array([
@@ -112,17 +120,33 @@ def read_wav(raw: bytes) -> Audio | None:
     return None
 
 
+def adpcm_samples(audios: Sequence[Audio]) -> list[np.ndarray]:
+    """The samples of ADPCM audios of one block size; their blocks are decoded together."""
+    block = audios[0].block
+    rows = [len(a.data) // block for a in audios]
+    blocks = np.frombuffer(b"".join([a.data[: n * block] for a, n in zip(audios, rows, strict=True)]), dtype="u1").reshape(-1, block)
+    out = [decode_adpcm(blocks[i : i + TOGETHER]) for i in range(0, len(blocks), TOGETHER)]
+    every = np.concatenate(out) if out else np.empty((0, 2 * (block - 4) + 1), dtype="<i2")
+    return [every[end - n : end].ravel()[: a.samples] for a, n, end in zip(audios, rows, np.cumsum(rows).tolist(), strict=True)]
+
+
+def expanded(audios: Sequence[Audio | None]) -> list[np.ndarray | None]:
+    """The int16 samples of each; null for an unsupported format."""
+    out = [None if a is None or a.kind == ADPCM else expand(a) for a in audios]
+    for block in {a.block for a in audios if a and a.kind == ADPCM and a.block > 4}:
+        of = [i for i, a in enumerate(audios) if a and a.kind == ADPCM and a.block == block]
+        for i, samples in zip(of, adpcm_samples([audios[i] for i in of]), strict=True):
+            out[i] = samples
+    return out
+
+
 def expand(audio: Audio) -> np.ndarray | None:
     """The int16 samples; null for an unsupported format."""
     if audio.kind in (MULAW, ALAW):
         return (MULAW_TABLE if audio.kind == MULAW else ALAW_TABLE)[np.frombuffer(audio.data, dtype="u1")]
     if audio.kind == PCM:
         return np.frombuffer(audio.data[: len(audio.data) // 2 * 2], dtype="<i2")
-    if audio.kind == ADPCM and audio.block > 4:
-        whole = len(audio.data) // audio.block * audio.block
-        out = decode_adpcm(np.frombuffer(audio.data[:whole], dtype="u1").reshape(-1, audio.block)).ravel()
-        return out if audio.samples is None else out[: audio.samples]
-    return None
+    return adpcm_samples([audio])[0] if audio.kind == ADPCM and audio.block > 4 else None
 
 
 def resample(samples: np.ndarray, rate: int, out_rate: int) -> np.ndarray:
@@ -146,13 +170,10 @@ def feature(pcm: np.ndarray) -> str:
 def to_pcm(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", out_rate: int = OUT_RATE) -> DataFrame:
     """``id, pcm``: a PCM WAV at ``out_rate`` for each WAV in ``media_col``."""
 
-    def one(raw: bytes | None) -> bytes | None:
-        audio = read_wav(raw) if raw is not None else None
-        samples = expand(audio) if audio else None
-        return None if samples is None else wav(PCM, resample(samples, audio.rate, out_rate).tobytes(), out_rate)
-
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return record(id=b["id"], pcm=pa.array([one(x) for x in b["media"].to_pylist()], pa.binary()))
+        audios = [None if x is None else read_wav(x) for x in b["media"].to_pylist()]
+        pcm = [None if s is None else wav(PCM, resample(s, a.rate, out_rate).tobytes(), out_rate) for a, s in zip(audios, expanded(audios), strict=True)]
+        return record(id=b["id"], pcm=pa.array(pcm, pa.binary()))
 
     return arrow_map(df.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{media_col}` as binary) media"), run, "id long, pcm binary")
 
@@ -163,12 +184,27 @@ def payload(text: str) -> tuple[bytes, int]:
     return raw + b"\0" * (-len(raw) % PAD or (0 if raw else PAD)), len(raw)
 
 
+def stored(own: bytes) -> bytes:
+    """The WAV bytes that hold a payload."""
+    kind = STORED[zlib.crc32(own) % len(STORED)]
+    if kind != ADPCM:
+        return wav(kind, own)
+    blocks = np.zeros((len(own) // PAD, BLOCK), dtype="u1")
+    blocks[:, 4:] = np.frombuffer(own, dtype="u1").reshape(-1, PAD)
+    return wav(ADPCM, blocks.tobytes(), block=BLOCK, samples=len(blocks) * (2 * PAD + 1))
+
+
+def held(audio: Audio) -> bytes:
+    """The payload that stored audio holds."""
+    return audio.data if audio.kind != ADPCM else np.frombuffer(audio.data, dtype="u1").reshape(-1, BLOCK)[:, 4:].tobytes()
+
+
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written table ``id, n_bytes, media``: payloads as the samples of mu-law WAVs."""
+    """The written table ``id, n_bytes, media``: payloads as the samples of mu-law and A-law WAVs, or the codes of ADPCM."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         own = [payload(t) for t in b["text"].to_pylist()]
-        return record(id=b["id"], n_bytes=pa.array([n for _, n in own], pa.int64()), media=pa.array([wav(MULAW, p) for p, _ in own], pa.binary()))
+        return record(id=b["id"], n_bytes=pa.array([n for _, n in own], pa.int64()), media=pa.array([stored(p) for p, _ in own], pa.binary()))
 
     return written(arrow_map(text_of(docs, id_col, text_col), run, "id long, n_bytes long, media binary"), "media", "zstd")
 
@@ -177,11 +213,11 @@ def stored_digests(stored: DataFrame, out_rate: int = OUT_RATE) -> DataFrame:
     """Digests and features of stored media, all from the bytes that were read back."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for raw in b["media"].to_pylist():
-            audio = read_wav(raw)
-            pcm = resample(expand(audio), audio.rate, out_rate)
-            rows.append((len(audio.data), hashlib.sha256(audio.data).hexdigest(), zlib.crc32(audio.data[-PAD:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(pcm)))
+        rows, media = [], b["media"].to_pylist()
+        audios = [read_wav(raw) for raw in media]
+        for raw, audio, samples in zip(media, audios, expanded(audios), strict=True):
+            own = held(audio)
+            rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-PAD:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(resample(samples, audio.rate, out_rate))))
         cols = list(zip(*rows, strict=True)) or [()] * 6
         return record(
             doc_id=b["id"], n_bytes=b["n_bytes"], payload_bytes=pa.array(cols[0], pa.int64()), payload_sha256=pa.array(cols[1], pa.string()), tail_crc32=pa.array(cols[2], pa.int64()),

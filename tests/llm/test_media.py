@@ -63,3 +63,15 @@ def test_payload_round_trip(spark, text):
     assert [(r.n_bytes, r.payload_bytes, r.payload_sha256) for r in own] == [(len(raw), len(padded), hashlib.sha256(padded).hexdigest())] * 2
     assert own[0].feature == own[1].feature and own[0].media_sha256 == own[1].media_sha256 and len(rows) == 3
     assert media.stored_digests(media.store_texts(docs.limit(0))).collect() == []
+
+
+def test_all_formats_hold_payloads():
+    r = np.random.default_rng(2)
+    own = [r.integers(0, 256, 64 * int(n), dtype="u1").tobytes() for n in r.integers(1, 40, 60)]
+    audios = [media.read_wav(media.stored(p)) for p in own]
+    assert {a.kind for a in audios} == {media.MULAW, media.ALAW, media.ADPCM} and [media.held(a) for a in audios] == own
+    for a, samples in zip(audios, media.expanded(audios), strict=True):
+        if a.kind == media.ADPCM:
+            assert samples.tolist() == [x for i in range(0, len(a.data), media.BLOCK) for x in slow_adpcm(a.data[i : i + media.BLOCK])]
+        else:
+            assert samples.tolist() == media.expand(a).tolist() and len(samples) == len(a.data)

@@ -111,3 +111,26 @@ def test_edges(spark):
     got = shingles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(repr, ((x.doc_id, x.component_id) for x in got))) == sorted(map(repr, [(None, 4), (4, 4), (None, None), (9, 9), (9, 9), (9, 2), (2, 2)]))
     assert shingles.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_without_ids_link_others(spark):
+    """A row without an id bridges two documents, and groups without any id have no name."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(["x0", *words[1:]]), " ".join(["x0", *words[1:59], "y0"])
+    far = " ".join([*[f"x{i}" for i in range(6)], *words[6:55], *[f"y{i}" for i in range(5)]])
+    docs = [(7, a, 1), (None, b, 2), (3, c, 3), (None, "p q r s t u v", 4), (None, "p q r s t u v", 5), (9, "", 6), (9, "", 7), (4, far, 8)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, node int")
+    got = {(x.doc_id, x.n_shingles): x.component_id for x in shingles.near_duplicates(frame).collect()}
+    assert got[7, 56] == got[None, 56] == got[3, 56] == 3 and got[None, 3] is None and got[9, 0] == 9
+    kept = shingles.deduplicated(frame).collect()
+    assert kept[0].__fields__ == ["doc_id", "text", "node"]
+    assert sorted(x.node for x in kept if x.node not in (4, 5)) == [3, 6, 7, 8] and sum(x.node in (4, 5) for x in kept) == 1
+
+
+def test_deduplicated_tells_rows_by_text(spark):
+    """Of rows with one id only the copy goes; repeated rows stay once."""
+    long = " ".join(f"k{i}" for i in range(30))
+    docs = [(1, long, "a"), (2, long, "b"), (2, "one clean text of its own here", "c"), (5, "said twice in the very same words", "d"), (5, "said twice in the very same words", "d")]
+    kept = sorted(x.row for x in shingles.deduplicated(spark.createDataFrame(docs, "doc_id long, text string, row string")).collect())
+    assert kept == ["a", "c", "d"]
+    assert shingles.deduplicated(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -59,3 +59,20 @@ def test_unwanted_hosts(spark):
     got = urls.judged(spark.createDataFrame(list(enumerate(good + bad)), "page_id long, url string")).collect()
     assert all(x.verdict == "allow" for x in got if x.page_id < 300) and all(x.verdict == "block" for x in got if x.page_id >= 300)
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_bayes_finds_hosts_without_seeds(spark):
+    """Words that keep seeds' company condemn hosts that spell no seed; clean hosts that share one such word stay."""
+    r = random.Random(5)
+    good = [f"https://www.{r.choice(['citybooks', 'schoolnews', 'wheelrepair'])}.example.org/es/{r.choice(['repair', 'lesson', 'review'])}-{i}.html" for i in range(300)]
+    bad = [f"https://www.casino{r.choice(['luckyspin', 'goldwheel'])}.example.org/es/lucky-spin-gold-{i}" for i in range(100)]
+    hidden = [f"https://www.{h}.example.org/es/spin-{i}" for i, h in enumerate(["luckyspin", "goldspin", "luckygold"])]
+    assert not any(s in u for u in hidden for s in urls.SEEDS)
+    got = {x.page_id: x.verdict for x in urls.judged(spark.createDataFrame(list(enumerate(good + bad + hidden)), "page_id long, url string")).collect()}
+    assert all(got[i] == "allow" for i in range(300)) and all(got[i] == "block" for i in range(300, 403))
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "https://a.example.org/x", "h", "p", 3)] * 3 + [(None, "https://b.com/", None, None, None)]
+    got = urls.judged(spark.createDataFrame(rows, "page_id long, url string, host string, path string, score int")).collect()
+    assert sorted((x.page_id or 0, x.host, x.path) for x in got) == [(0, "b.com", "/"), *[(1, "a.example.org", "/x")] * 3]
