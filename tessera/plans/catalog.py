@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..registry import Registry
-from . import chat, corpus, evaluation, packing, reports, tokens
+from . import chat, corpus, evaluation, guards, packing, reports, tokens
 
 REGISTRY = Registry()
-for _family in (corpus, tokens, chat, evaluation, packing, reports):
+for _family in (corpus, tokens, chat, evaluation, packing, reports, guards):
     _family.register(REGISTRY)
