@@ -21,7 +21,7 @@ CONF = "spark.checkpoint.dir"
 #: Rows that a worker takes at a time.
 ROWS = 1000
 #: The size of a bitmap of keys; at most 16 MB, twice that as words.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 27
 _own: dict[str, str] = {}
 
 
@@ -107,7 +107,7 @@ def possibly(df: DataFrame, keys: DataFrame, columns: dict[str, Column], mark: s
     Keys are hashed into a bitmap whose size follows their number up to a fixed bound, so it can be
     broadcast. Beyond the bound more rows are marked that aren't there, but none is ever lost.
     """
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * keys.count()).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * keys.count()).bit_length()))
     place = lambda *own: F.pmod(F.xxhash64(*own), F.lit(bits))
     at = place(*columns)
     rows = keys.groupBy(F.floor(at / 32_768).cast("long").alias("_row")).agg(F.bitmap_construct_agg(at % 32_768).alias("_bits"))
