@@ -84,7 +84,7 @@ def with_unit(value: Column, units: tuple[str, ...], base: int) -> Column:
     """Two decimals and the largest unit that leaves at least 1."""
     out = F.concat(value.cast("long").cast("string"), F.lit(f" {units[0]}".rstrip()))
     for i, unit in enumerate(units[1:], 1):
-        out = F.when(value >= base**i, F.concat(F.format_string("%.2f", value / float(base**i)), F.lit(unit))).otherwise(out)
+        out = F.when(value >= base**i, F.concat(F.format_string("%.2f", F.bround(value / float(base**i), 2)), F.lit(unit))).otherwise(out)
     return out
 
 
@@ -96,7 +96,7 @@ def format_count(n: Column) -> Column:
     """Whole numbers with K, M, B, T and Q from a thousand on, by the rounded value."""
     out = n.cast("long").cast("string")
     for i, unit in enumerate("KMBTQ", 1):
-        out = F.when(F.round(F.abs(n) / float(1000 ** (i - 1)), 2) >= 1000, F.concat(F.format_string("%.2f", n / float(1000**i)), F.lit(unit))).otherwise(out)
+        out = F.when(F.round(F.abs(n) / float(1000 ** (i - 1)), 2) >= 1000, F.concat(F.format_string("%.2f", F.bround(n / float(1000**i), 2)), F.lit(unit))).otherwise(out)
     return out
 
 
