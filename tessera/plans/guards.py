@@ -72,7 +72,7 @@ def register(r: Registry) -> None:
     r.add("checked_numbers", lambda s, d: part(s, d).select("p_partkey", guards.checked_product(big(), big()).alias("product"), guards.checked_sum(F.lit(9_223_372_036_854_775_707), k()).alias("total")), """
         SELECT p_partkey, CASE WHEN p <= 9223372036854775807 THEN CAST(p AS BIGINT) END AS product, CASE WHEN p_partkey <= 100 THEN 9223372036854775707 + p_partkey END AS total FROM (SELECT p_partkey, p_partkey::HUGEINT * 3000000000 * p_partkey * 3000000000 AS p FROM part)""")
     r.add("content_free", lambda s, d: guards.content_free(table(s, d, "documents").select("doc_id", "text"), "text"), "SELECT doc_id, CAST(length(text) AS INT) AS text_chars, sha256(text) AS text_sha256 FROM documents")
-    r.add("opted_in_log", lambda s, d: guards.opted_in(part(s, d).select("p_partkey", "p_name", "p_type"), {"p_name": False, "p_type": True}), "SELECT p_partkey, CAST(NULL AS VARCHAR) AS p_name, p_type FROM part")
+    r.add("log_opt_in", lambda s, d: guards.opted_in(part(s, d).select("p_partkey", "p_name", "p_type"), {"p_name": False, "p_type": True}), "SELECT p_partkey, CAST(NULL AS VARCHAR) AS p_name, p_type FROM part")
 
     def statuses(s: SparkSession, d: str) -> DataFrame:
         """Users' last two events stand for a run: it starts, and ends; every third starts anew instead."""
