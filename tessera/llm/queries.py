@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, clusters, media, packing, pii, quality, secrets, shingles, token_store, urls, vectors
+from . import byte_bpe, clusters, media, mixing, packing, pii, quality, secrets, shingles, token_store, urls, vectors
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9,
     "op10_url_filter": urls.op10,
     "op11_centroid_clustering": clusters.op11,
+    "op12_source_mixing": mixing.op12,
 }
 ORACLES: dict[str, str] = {"op11_centroid_clustering": clusters.oracle()}
