@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, clusters, media, mixing, packing, pii, quality, secrets, shingles, token_store, urls, vectors
+from . import alignment, byte_bpe, clusters, media, mixing, packing, pii, quality, secrets, shingles, token_store, urls, vectors
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_url_filter": urls.op10,
     "op11_centroid_clustering": clusters.op11,
     "op12_source_mixing": mixing.op12,
+    "op13_token_alignment": alignment.op13,
 }
 ORACLES: dict[str, str] = {"op11_centroid_clustering": clusters.oracle()}
