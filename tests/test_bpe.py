@@ -7,7 +7,7 @@ import pytest
 import regex
 
 from tessera.functions.text import SPLIT_PATTERN, regex_chunks
-from tessera.operators import bpe
+from tessera.operators import bpe, bpe_rounds
 
 
 def slow_train(chunks, merges):
@@ -78,3 +78,64 @@ def test_round_trip(spark):
         assert bpe.decode(r.ids, vocab) == CASES[r.doc_id]
     total = bpe.compression(docs.selectExpr("*", "'x' as g"), bpe.encoded(docs, merges), "g").first()
     assert total.bytes == sum(len(t.encode()) for t in CASES) and total.tokens < total.bytes
+
+
+def in_rounds(chunks, merges, candidates):
+    """The rounds of ``train_in_rounds`` over one block, without Spark; and how many there were."""
+    import numpy as np
+
+    ids = np.array([x for c in chunks for x in (*c, bpe_rounds.END)], "i8")
+    weights = np.array(list(chunks.values()), "i8")
+    out, rounds = [], 0
+    while len(out) < merges:
+        codes, n = bpe_rounds.pairs_of(ids, weights)
+        top = sorted((((int(c) >> 32, int(c) & 0xFFFFFFFF), int(k)) for c, k in zip(codes, n)), key=lambda x: (-x[1], x[0]))[:candidates]
+        if not top:
+            raise ValueError
+        listed, beside = np.array(sorted(a << 32 | b for (a, b), _ in top), "i8"), {}
+        for before, place, near, count in bpe_rounds.neighbours_of(ids, weights, listed):
+            for p, x, k in zip(place, near, count):
+                beside.setdefault((before, (int(listed[p]) >> 32, int(listed[p]) & 0xFFFFFFFF)), {})[int(x)] = int(k)
+        known, new = bpe_rounds.Certain(top, len(top) < candidates, beside), []
+        while len(out) < merges and (step := known.next()):
+            out.append((*step[0], 256 + len(out), step[1]))
+            new.append(out[-1][:3])
+            known.merge(step[0], new[-1][2])
+        assert new
+        ids, rounds = bpe_rounds.applied(ids, new), rounds + 1
+    return out, rounds
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_rounds_equal_recounting(seed):
+    r = random.Random(seed)
+    chunks, letters = {}, r.choice([2, 3, 5, 12])
+    for _ in range(r.randint(2, 30)):
+        c = tuple(r.randrange(letters) for _ in range(r.randint(0, r.choice([4, 12]))))
+        chunks[c] = chunks.get(c, 0) + r.choice([1, 1, 2, 50])
+    for merges in (40, 10, 3, 1):
+        try:
+            want = slow_train(chunks, merges)
+        except ValueError:
+            with pytest.raises(ValueError):
+                in_rounds(chunks, merges, r.choice([1, 3, 500]))
+            continue
+        for candidates in (1, 3, 20, 500):
+            assert in_rounds(chunks, merges, candidates)[0] == want
+        break
+
+
+def test_rounds_find_many_merges():
+    r = random.Random(0)
+    words = {tuple(r.choice(b"etaoinshrdlu") for _ in range(r.randint(2, 9))): 1 + int(r.paretovariate(1)) for _ in range(3000)}
+    out, rounds = in_rounds(words, 600, 512)
+    assert [x[:3] for x in out] == [(m.left, m.right, m.token) for m in bpe.train(words, 600)] and rounds < 300
+
+
+def test_training_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bpe_rounds, "PENDING", 5)
+    monkeypatch.setattr(bpe_rounds, "BLOCK", 7)
+    docs = spark.createDataFrame([(i, t * (1 + i % 3)) for i, t in enumerate(CASES)], "doc_id long, text string")
+    assert bpe_rounds.train_over(docs, 256 + 25, candidates=20) == bpe.train_on(docs, 256 + 25)
+    with pytest.raises(ValueError, match="only 0 merges"):
+        bpe_rounds.train_over(docs.limit(0), 257)
