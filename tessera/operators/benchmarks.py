@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import divided
+from .quantiles import quantiles
 
 
 def throughput(samples: DataFrame, group: list[str]) -> DataFrame:
@@ -14,9 +15,9 @@ def throughput(samples: DataFrame, group: list[str]) -> DataFrame:
 
 
 def summary(samples: DataFrame, value: str, group: list[str]) -> DataFrame:
-    """Count, least, mean, largest and exact quantiles with linear interpolation."""
-    quantile = lambda p: F.percentile(value, F.lit(p)).alias(f"p{round(p * 100)}")
-    return samples.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("largest"), quantile(0.5), quantile(0.9), quantile(0.95))
+    """Count, least, mean, largest and exact quantiles with linear interpolation; a group may hold all samples."""
+    names = {"q0": "p50", "q1": "p90", "q2": "p95"}
+    return quantiles(samples, value, group, (0.5, 0.9, 0.95)).withColumnsRenamed(names)
 
 
 def memory(samples: DataFrame, group: list[str]) -> DataFrame:

@@ -44,18 +44,6 @@ def tokenizer_report(texts: DataFrame, encode: Encoder, decode: Callable[[DataFr
     return joined.groupBy("category").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum("n").alias("tokens"), F.bool_and(F.col("text") == F.col("again")).alias("round_trip")).withColumn("bytes_per_token", divided(F.col("bytes"), F.col("tokens")))
 
 
-def full_document_bpb(losses: DataFrame, source: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Bits per byte over packed rows that supervise every source token once; anything else raises when read.
-
-    ``losses``: target, loss_nats, mask; ``source``: doc_id, ids.
-    """
-    found = bpb.masked_bpb(losses.withColumn("_g", F.lit(1)), lengths, ["_g"])
-    want = bpb.source_coverage(source, lengths).select(F.col("tokens").alias("source_tokens"), F.col("bytes").alias("source_bytes"))  # one row
-    both = found.crossJoin(F.broadcast(want))
-    whole = (F.col("tokens") == F.col("source_tokens")) & (F.col("bytes") == F.col("source_bytes"))
-    return both.select("nats", "tokens", "bytes", F.when(whole, F.col("bpb")).otherwise(F.raise_error(F.lit("not every source token was counted once"))).alias("bpb"))
-
-
 def assistant_bpb(rows: DataFrame, lengths: DataFrame) -> DataFrame:
     """Bits per byte of supervised assistant tokens; ``rows``: labels and losses (arrays), n_conversations."""
     each = rows.select(F.explode(F.arrays_zip("labels", "losses")).alias("x")).select(F.col("x.labels").alias("target"), F.col("x.losses").alias("loss_nats"), F.lit(True).alias("mask"), F.lit(1).alias("_g"))

@@ -121,17 +121,6 @@ def right_padded(ids: Column, width: Column, pad: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(width - F.size(ids), F.lit(0)).cast("int")))
 
 
-def few_shot(examples: DataFrame, k: int, seed: int, group: str = "task", key: str = "example") -> DataFrame:
-    """``k`` other examples for each, the first by a hash of seed and pair.
-
-    All pairs of a task: benchmark tasks are small by nature; the result has k rows an example.
-    """
-    other = examples.select(F.col(group), F.col(key).alias("shot"))
-    pairs = examples.select(group, key).join(other, group).where(F.col(key) != F.col("shot"))
-    by = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("shot").cast("string")), 256)
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy(group, key).orderBy(by, "shot"))).where(F.col("rank") <= k)
-
-
 def language_model_correct(predicted: Column, actual: Column) -> Column:
     """All continuation tokens as predicted."""
     return predicted == actual

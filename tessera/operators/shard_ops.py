@@ -39,6 +39,11 @@ def indexed(docs: DataFrame, shard: str, row: str) -> DataFrame:
     return running(docs.withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0)), "_one", ["_all"], shard, [row]).withColumnRenamed("rank_before", "row_index").drop("sum_before", "_one", "_all")
 
 
+def indexed_within(docs: DataFrame, group: str, row: str, name: str) -> DataFrame:
+    """Adds the number of a row in its group, from 0."""
+    return docs.withColumn(name, (F.row_number().over(W.partitionBy(group).orderBy(row)) - 1).cast("long"))
+
+
 def logical_slice(indexed_rows: DataFrame, start: int, stop: int, step: int) -> DataFrame:
     """Rows ``start:stop:step`` of an order given by ``row_index``."""
     at = F.col("row_index")

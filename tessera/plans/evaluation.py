@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formulas
-from ..operators import benchmarks, runs, scoring
+from ..operators import benchmarks, draws, runs, scoring, shard_ops
 from ..registry import Registry
 from ..sources.shards import table
 
@@ -92,10 +92,26 @@ def register(r: Registry) -> None:
     r.add("left_truncate", truncated, """
         SELECT p_partkey, array_to_string(range(greatest(n - 20, 0) + 1, n + 1), ',') AS ids, CAST(n - 12 - greatest(n - 20, 0) AS INT) AS start, CAST(n - greatest(n - 20, 0) AS INT) AS "end" FROM (SELECT p_partkey, p_size + 5 AS n FROM part) WHERE n - 12 >= greatest(n - 20, 0)
         UNION ALL SELECT p_partkey, array_to_string(range(greatest(n - 20, 0) + 1, n + 1), ','), NULL, NULL FROM (SELECT p_partkey, p_size + 5 AS n FROM part) WHERE n - 12 < greatest(n - 20, 0)""")
-    r.add("fewshot_pairs", lambda s, d: scoring.few_shot(table(s, d, "benchmark").select((F.col("item_id") % 2).alias("task"), F.col("item_id").alias("example")), 3, 1234), """
+    examples = lambda s, d: table(s, d, "benchmark").select((F.col("item_id") % 2).alias("task"), F.col("item_id").alias("example"))
+    number = "CAST(('0x' || substr(sha256(concat_ws(':', {})), 1, 15)) AS BIGINT)"
+    step = lambda j: f"{number.format(f'1234, example, {j}')} % (n - 4 + {j}) + 1"
+    r.add("fewshot_pairs", lambda s, d: draws.few_shot(examples(s, d), 3, 1234), f"""
         WITH e AS (SELECT item_id % 2 AS task, item_id AS example FROM benchmark),
-        p AS (SELECT a.task, a.example, b.example AS shot, row_number() OVER (PARTITION BY a.task, a.example ORDER BY sha256('1234:' || a.example || ':' || b.example), b.example) AS k FROM e a JOIN e b ON a.task = b.task AND a.example != b.example)
-        SELECT task, example, shot, CAST(k AS INT) AS rank FROM p WHERE k <= 3""")
+        o AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY sha256('1234:' || example), example) - 1 AS spot, count(*) OVER (PARTITION BY task) AS n FROM e),
+        a AS (SELECT *, {step(1)} AS s1, {step(2)} AS t2, {step(3)} AS t3 FROM o),
+        b AS (SELECT *, CASE WHEN t2 = s1 THEN n - 2 ELSE t2 END AS s2 FROM a),
+        c AS (SELECT *, CASE WHEN t3 IN (s1, s2) THEN n - 1 ELSE t3 END AS s3 FROM b),
+        x AS (SELECT task, example, 1 AS rank, (spot + s1) % n AS spot FROM c UNION ALL SELECT task, example, 2, (spot + s2) % n FROM c UNION ALL SELECT task, example, 3, (spot + s3) % n FROM c)
+        SELECT task, x.example, o.example AS shot, CAST(rank AS INT) AS rank FROM x JOIN o USING (task, spot)""")
+
+    def task_cases(s: SparkSession, d: str) -> DataFrame:
+        """The published draw over all items of each task, with the items of each case."""
+        own = shard_ops.indexed_within(examples(s, d), "task", "example", "row")
+        found = draws.cases(own, 5, order="row").join(own.select("task", F.col("row").alias("example"), F.col("example").alias("item_id")), ["task", "example"])
+        shots = found.select("task", "place", F.posexplode("shots").alias("k", "row")).join(own.select("task", "row", F.col("example").alias("shot")), ["task", "row"])
+        return found.select("task", "place", "item_id").join(shots.groupBy("task", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "shot"))), lambda x: x["shot"]).alias("shots")), ["task", "place"]).withColumn("shots", F.array_join("shots", ","))
+
+    r.add("task_cases", task_cases)
 
     def unpivoted(s: SparkSession, d: str) -> DataFrame:
         from ..operators.manifests import as_metrics

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import adapters, identity
 from ..functions import text as T
-from ..operators import bpb, evaluate, guards, row_packing
+from ..operators import guards, row_packing
 from ..registry import Registry
 from ..sources.shards import table
 from .corpus import PSEUDO, pseudo_shards
@@ -60,11 +60,6 @@ def register(r: Registry) -> None:
     r.add("batch_labels", lambda s, d: ids(s, d).withColumn("mask", supervised()).select("doc_id", F.array_join(row_packing.labels("ids", "mask"), ",").alias("labels")), f"""
         SELECT doc_id, array_to_string(list_transform(ids[2:], lambda x: CASE WHEN x % 3 != 0 THEN x ELSE -1 END), ',') AS labels FROM ({BYTES})""")
 
-    def whole_bpb(s: SparkSession, d: str) -> DataFrame:
-        losses = ids(s, d).select(F.explode("ids").alias("target"), F.lit(0.5).alias("loss_nats"), F.lit(True).alias("mask"))
-        return evaluate.full_document_bpb(losses, ids(s, d), bpb.byte_lengths(s)).withColumn("bpb", F.round("bpb", 9))
-
-    r.add("full_document_bpb", whole_bpb, "SELECT 0.5::DOUBLE * n AS nats, n AS tokens, n AS bytes, round(0.5 / ln(2), 9) AS bpb FROM (SELECT CAST(sum(strlen(text)) AS BIGINT) AS n FROM documents)")
     odd = lambda: F.when(e() % 7 == 0, float("nan")).when(e() % 7 == 1, F.lit(None).cast("double")).when(e() % 7 == 2, float("inf")).when(e() % 7 == 3, -1.0).otherwise(F.col("value"))
     r.add("metric_faults", lambda s, d: events(s, d).select("event_id", guards.metric_fault(odd()).alias("fault")).where("fault is not null"), """
         SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'not finite' WHEN 1 THEN 'missing' WHEN 2 THEN 'not finite' ELSE 'negative' END AS fault FROM events WHERE event_id % 7 < 4 OR value < 0""")

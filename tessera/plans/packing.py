@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bpe, budget, conversations, row_packing
+from ..operators import bpb, bpe, bpe_rounds, budget, conversations, coverage, draws, row_packing
 from ..registry import Registry
 from ..sources.shards import table
 from .corpus import counted, pseudo_shards
@@ -38,8 +38,11 @@ def tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 def rows(s: SparkSession, d: str) -> DataFrame:
-    plan = row_packing.best_fit_rows(sizes(s, d).drop("text"), LENGTH, "shard_index")
-    return row_packing.materialised(plan, tokens(s, d), LENGTH, BOS, "shard_index")
+    return row_packing.materialised(plan(s, d), tokens(s, d), LENGTH, BOS, "shard_index")
+
+
+def plan(s: SparkSession, d: str) -> DataFrame:
+    return row_packing.best_fit_rows(sizes(s, d).drop("text"), LENGTH, "shard_index")
 
 
 def conversation_sizes(s: SparkSession, d: str) -> DataFrame:
@@ -55,6 +58,44 @@ def register(r: Registry) -> None:
     r.add("packed_batches", lambda s, d: flat(row_packing.padded_rows(rows(s, d), 8, LENGTH, BOS, "shard_index")))
     r.add("full_document_rows", lambda s, d: rows(s, d).groupBy("shard_index").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(F.filter("mask", lambda x: x))).alias("supervised")))
 
+    covered = lambda s, d, p: coverage.coverage(p, sizes(s, d), "shard_index")
+    r.add("document_coverage", lambda s, d: covered(s, d, plan(s, d)), f"""
+        SELECT CAST(doc_id % 8 AS INT) AS shard_index, doc_id, greatest((n + {LENGTH - 1}) // {LENGTH}, 1) AS pieces, 0::BIGINT AS missing, 0::BIGINT AS repeated, 0::BIGINT AS beyond, n + 1 AS supervised, NULL::VARCHAR AS fault
+        FROM (SELECT doc_id, coalesce(strlen(text), 0) AS n FROM documents)""")
+
+    def planted(s: SparkSession, d: str) -> DataFrame:
+        """A sound plan with pieces taken out of every fifth document, and every seventh document's first piece met twice."""
+        p = plan(s, d)
+        return p.where(~((F.col("doc_id") % 5 == 0) & (F.col("start") % (3 * LENGTH) == LENGTH))).union(p.where("doc_id % 7 = 0 and start = 0"))
+
+    r.add("coverage_faults", lambda s, d: covered(s, d, planted(s, d)).where("fault is not null"), f"""
+        WITH d AS (SELECT CAST(doc_id % 8 AS INT) AS shard_index, doc_id, coalesce(strlen(text), 0) AS n FROM documents),
+        p AS (SELECT *, {LENGTH} * i AS start, least(n - {LENGTH} * i, {LENGTH}) AS k FROM d, LATERAL (SELECT unnest(range(greatest((n + {LENGTH - 1}) // {LENGTH}, 1))) AS i)),
+        kept AS (SELECT *, false AS twice FROM p WHERE NOT (doc_id % 5 = 0 AND start % {3 * LENGTH} = {LENGTH}) UNION ALL SELECT *, true FROM p WHERE doc_id % 7 = 0 AND start = 0),
+        g AS (SELECT shard_index, doc_id, count(*) AS pieces, CAST(n - sum(k) FILTER (NOT twice) AS BIGINT) AS missing, CAST(coalesce(sum(k) FILTER (twice), 0) AS BIGINT) AS repeated, 0::BIGINT AS beyond,
+              CAST(sum(k) + count(*) FILTER (start + k = n) AS BIGINT) AS supervised, count(*) FILTER (start + k = n) AS ends FROM kept GROUP BY shard_index, doc_id, n)
+        SELECT * EXCLUDE (ends), CASE WHEN missing > 0 THEN 'missing tokens' WHEN repeated > 0 THEN 'repeated tokens' ELSE 'marks' END AS fault FROM g WHERE missing > 0 OR repeated > 0 OR ends != 1""")
+
+    def whole_bpb(s: SparkSession, d: str) -> DataFrame:
+        """Over all packed rows; losses are a fixed function of the target, as no model runs here."""
+        places = rows(s, d).select(F.explode(F.arrays_zip("targets", "mask")).alias("x")).select(F.col("x.targets").alias("target"), ((F.col("x.targets") % 7 + 1) / 8).alias("loss_nats"), F.col("x.mask").alias("mask"))
+        return coverage.full_document_bpb(places, covered(s, d, plan(s, d)), bpb.byte_lengths(s)).withColumns({c: F.round(c, 6) for c in ("nats", "bpb")})
+
+    r.add("full_document_bpb", whole_bpb, """
+        WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS INT)) AS ids FROM documents),
+        n AS (SELECT sum(list_sum(list_transform(ids, lambda x: (x % 7 + 1) / 8))) AS nats, CAST(sum(len(ids)) AS BIGINT) AS k FROM b)
+        SELECT (SELECT count(*) FROM documents) AS documents, k + (SELECT count(*) FROM documents) AS supervised, round(nats, 6) AS nats, k AS tokens, k AS bytes, round(nats / ln(2) / k, 6) AS bpb FROM n""")
+
+    def shuffled(s: SparkSession, d: str) -> DataFrame:
+        """Each shard's documents through a buffer of 100."""
+        from ..operators import shard_ops
+
+        docs = shard_ops.indexed_within(pseudo_shards(s, d), "shard_index", "doc_id", "row_index")
+        order = draws.buffered_order(docs.groupBy("shard_index").agg(F.count(F.lit(1)).alias("n_rows")), 100, 17).drop("state")
+        return order.join(docs.select("shard_index", "row_index", "doc_id"), ["shard_index", "row_index"])
+
+    r.add("buffered_order", shuffled)
+
     def mix(s: SparkSession, d: str) -> DataFrame:
         return row_packing.mixture(conversation_sizes(s, d), {"0": 1, "1": 3}, 7, 0)
 
@@ -96,4 +137,5 @@ def register(r: Registry) -> None:
         return bpe.encoded(docs, merges).select("doc_id", F.size("ids").alias("tokens"), F.array_join("ids", ",").alias("ids"))
 
     r.add("bpe_encode", encoded)
+    r.add("bpe_merges", lambda s, d: s.createDataFrame(bpe_rounds.train_over(table(s, d, "documents"), 256 + 256), "rank int, left int, right int, token int, count long"))
     r.add("bpe_chunk_counts", lambda s, d: bpe.chunk_counts(table(s, d, "documents")))

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import bpb, evaluate, row_packing, scoring
+from tessera.operators import coverage, bpb, evaluate, row_packing, scoring
 from tessera.operators.byte_pairs import byte_encode
 
 
@@ -34,12 +34,14 @@ def test_masked_vector(spark):
 
 def test_full_documents(spark):
     docs = spark.createDataFrame([(0, i, list(range(i * 3))) for i in range(8)], "shard_index int, doc_id long, ids array<int>").selectExpr("*", "size(ids) as n_tokens")
-    rows = row_packing.materialised(row_packing.best_fit_rows(docs, 7, "shard_index"), docs.select("shard_index", "doc_id", "ids"), 7, 256, "shard_index")
+    plan = row_packing.best_fit_rows(docs, 7, "shard_index")
+    rows = row_packing.materialised(plan, docs.select("shard_index", "doc_id", "ids"), 7, 256, "shard_index")
     losses = rows.select(F.explode(F.arrays_zip("targets", "mask")).alias("x")).select(F.col("x.targets").alias("target"), F.lit(0.5).alias("loss_nats"), F.col("x.mask").alias("mask"))
-    got = evaluate.full_document_bpb(losses, docs, bpb.byte_lengths(spark)).first()
-    assert got.tokens == sum(3 * i for i in range(8)) and abs(got.bpb - 0.5 / math.log(2)) < 1e-12
-    with pytest.raises(Exception, match="not every source token"):
-        evaluate.full_document_bpb(losses.where("target != 5"), docs, bpb.byte_lengths(spark)).collect()
+    sweep = lambda p: coverage.coverage(p, docs, "shard_index")
+    got = coverage.full_document_bpb(losses, sweep(plan), bpb.byte_lengths(spark)).first()
+    assert (got.documents, got.tokens, got.supervised) == (8, sum(3 * i for i in range(8)), sum(3 * i + 1 for i in range(8))) and abs(got.bpb - 0.5 / math.log(2)) < 1e-12
+    with pytest.raises(Exception, match="1 documents are not covered once; the first is 5: missing tokens"):
+        coverage.full_document_bpb(losses, sweep(plan.where("doc_id != 5 or start != 7")), bpb.byte_lengths(spark)).collect()
 
 
 def test_assistant_bpb(spark):
