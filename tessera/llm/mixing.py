@@ -210,7 +210,7 @@ def _pieces(documents: DataFrame, draws: list[Source], block: int, shard: int, s
     drawn = _drawn(documents.sparkSession, draws, block, max(1, words // shard), seed)
     end = F.col("start") + F.col("size")
     parts = documents.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
-    own = parts.select("source_no", "start", "size", "block", F.greatest(F.col("block") * block, F.col("start")).alias("_from"), F.least((F.col("block") + 1) * block, end).alias("_to")).join(drawn, ["source_no", "block"])
+    own = parts.select("source_no", "start", "size", "block", F.greatest(F.col("block") * block, F.col("start")).alias("_from"), F.least((F.col("block") + 1) * block, end).alias("_to")).join(drawn.hint("merge"), ["source_no", "block"])  # Spark takes what is drawn for small
     cut = F.least("_to", F.col("block") * block + F.col("words"))
     own = own.where(cut > F.col("_from")).select("shard", "source_no", "start", (F.col("_from") - F.col("start")).alias("from_word"), (cut - F.col("start")).alias("to_word"), "epoch")
     order = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "source_no", "start", "from_word", "epoch"), "source_no", "start", "from_word", "epoch")
