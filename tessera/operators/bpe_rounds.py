@@ -137,13 +137,23 @@ class Certain:
             self.stale.add((b, y))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to BLOCK rows or more."""
+    some: list[pa.RecordBatch] = []
+    for b in batches:
+        some.append(b)
+        if sum(x.num_rows for x in some) >= BLOCK:
+            yield pa.Table.from_batches(some)
+            some = []
+    if some:
+        yield pa.Table.from_batches(some)
+
+
 def blocks_of(chunks: DataFrame) -> DataFrame:
     """``ids, weights``: distinct chunks as bytes, a block a row; ``chunks``: chunk, n."""
-    n = chunks.count()
-    parts = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _gathered(batches):
             raw = [c.encode() for c in b["chunk"].to_pylist()]
             ids = np.full(sum(map(len, raw)) + len(raw), END, "i8")
             ends = np.cumsum([len(c) + 1 for c in raw]) - 1
@@ -152,7 +162,7 @@ def blocks_of(chunks: DataFrame) -> DataFrame:
             ids[inside] = np.frombuffer(b"".join(raw), "u1")
             yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i4").tobytes()]), pa.array([b["n"].to_numpy().astype("<i8").tobytes()])], ["ids", "weights"])
 
-    return chunks.where("octet_length(chunk) > 1").select("chunk", "n").repartition(parts, "chunk").mapInArrow(run, "ids binary, weights binary")
+    return chunks.where("octet_length(chunk) > 1").select("chunk", "n").mapInArrow(run, "ids binary, weights binary")
 
 
 def _passed(blocks: DataFrame, merges: Sequence[tuple[int, int, int]], give, schema: str) -> DataFrame:
@@ -196,7 +206,7 @@ def train_in_rounds(chunks: DataFrame, merges: int, first: int = 256, candidates
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), before)), pa.array(place), pa.array(near), pa.array(n)], ["before", "place", "near", "n"])
 
             found: dict[tuple[bool, Pair], dict[int, int]] = defaultdict(dict)
-            for r in _passed(blocks, pending, beside, "before boolean, place long, near long, n long").groupBy("before", "place", "near").agg(F.sum("n").alias("n")).toLocalIterator():
+            for r in _passed(blocks, pending, beside, "before boolean, place long, near long, n long").groupBy("before", "place", "near").agg(F.sum("n").alias("n")).collect():
                 code = int(codes[r.place])
                 found[r.before, (code >> 32, code & 0xFFFFFFFF)][r.near] = r.n
             known = Certain(top, len(top) < candidates, found)

@@ -23,13 +23,13 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
     Equal chunks are counted once and weighted, so the explode sees distinct chunks only.
     """
     pairs = F.zip_with(F.slice("ids", 1, F.greatest(F.size("ids") - 1, F.lit(0))), F.slice("ids", 2, F.greatest(F.size("ids") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    each = chunks.where(F.size("ids") > 1).select(F.explode(pairs).alias("p"), "n")
+    each = chunks.select(F.explode(pairs).alias("p"), "n")  # a filter on ids would be pushed below the grouping, which would encode each occurrence
     return each.groupBy(F.col("p.a").alias("left_id"), F.col("p.b").alias("right_id")).agg(F.sum("n").cast("long").alias("pair_count"))
 
 
-def word_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct space-delimited chunks as byte ids, with their counts."""
-    words = docs.select(F.explode(F.split(text, " ", -1)).alias("chunk")).where("chunk != ''").groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+def word_chunks(docs: DataFrame, text: str = "text", least_bytes: int = 1) -> DataFrame:
+    """Distinct space-delimited chunks of at least so many bytes as byte ids, with their counts."""
+    words = docs.select(F.explode(F.split(text, " ", -1)).alias("chunk")).where(F.octet_length("chunk") >= least_bytes).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
     return words.select("chunk", byte_encode(F.col("chunk")).alias("ids"), "n")
 
 

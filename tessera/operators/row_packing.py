@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import json
 import random
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator, Sequence
@@ -163,26 +164,63 @@ def mixture(conversations: DataFrame, repeats: dict[str, int], seed: int, epoch:
     return cycles.withColumn("order_key", F.sha2(F.concat_ws(":", F.lit(f"{seed}:{epoch}"), F.col(source), F.col("cycle").cast("string"), F.col(key).cast("string")), 256))
 
 
+class ConversationPacker:
+    """Packs whole conversations into rows of ``length`` + 1 places, one after another as they come.
+
+    A row takes the largest buffered conversation that fits, the first of equals, until none does. It picks only while at least
+    ``least`` are buffered, or no more will come. ``state()`` is a JSON text from which ``resumed`` goes on.
+    """
+
+    def __init__(self, length: int, least: int) -> None:
+        self.length, self.least = length, least
+        self.buffer: list[tuple[int, int]] = []
+        self.row, self.slot, self.left, self.taken, self.ended = 0, 0, length + 1, 0, False
+
+    def feed(self, conv: int, tokens: int, last: bool = False) -> Iterator[tuple[int, int, int, int]]:
+        """Takes one conversation and gives the (row, slot, conversation, tokens) that are decided by now."""
+        if self.ended:
+            raise ValueError("nothing may follow the last conversation")
+        self.taken += 1
+        self.buffer.append((conv, min(tokens, self.length + 1)))
+        self.ended = last
+        return self._decided()
+
+    def end(self) -> Iterator[tuple[int, int, int, int]]:
+        self.ended = True
+        return self._decided()
+
+    def _decided(self) -> Iterator[tuple[int, int, int, int]]:
+        while self.buffer and (self.ended or len(self.buffer) >= self.least):
+            fitting = [n for _, n in self.buffer if n <= self.left]
+            if not fitting:
+                self.row, self.slot, self.left = self.row + 1, 0, self.length + 1
+                continue
+            most = max(fitting)
+            conv, n = self.buffer.pop(next(i for i, (_, n) in enumerate(self.buffer) if n == most))
+            yield self.row, self.slot, conv, n
+            self.slot, self.left = self.slot + 1, self.left - n
+
+    def state(self) -> str:
+        return json.dumps(vars(self), sort_keys=True)
+
+    @classmethod
+    def resumed(cls, state: str) -> ConversationPacker:
+        known = json.loads(state)
+        out = cls(known["length"], known["least"])
+        if known.keys() != vars(out).keys():
+            raise ValueError("the state has other fields")
+        vars(out).update(known, buffer=[tuple(x) for x in known["buffer"]])
+        if not 0 <= out.left <= out.length + 1 or len(out.buffer) > max(out.least, 1) or out.taken < len(out.buffer) or (out.ended and out.buffer):
+            raise ValueError("the state's buffer doesn't fit its cursor")
+        return out
+
+
 def conversation_rows(items: Iterable[tuple[int, int]], length: int, least: int) -> Iterator[tuple[int, int, int, int]]:
-    """(row, slot, conversation, tokens): each row takes the largest buffered conversation that fits, the first of equals, until none does."""
-    source = iter(items)
-    buffer: list[tuple[int, int]] = []
-    row = 0
-
-    def refill() -> None:
-        while len(buffer) < least and (x := next(source, None)) is not None:
-            buffer.append((x[0], min(x[1], length + 1)))
-
-    refill()
-    while buffer:
-        left, slot = length + 1, 0
-        while fitting := [n for _, n in buffer if n <= left]:
-            at = next(i for i, (_, n) in enumerate(buffer) if n == max(fitting))
-            conv, n = buffer.pop(at)
-            yield row, slot, conv, n
-            left, slot = left - n, slot + 1
-            refill()
-        row += 1
+    """(row, slot, conversation, tokens) of all conversations."""
+    packer = ConversationPacker(length, least)
+    for conv, tokens in items:
+        yield from packer.feed(conv, tokens)
+    yield from packer.end()
 
 
 def packed_conversations(convs: DataFrame, length: int, least: int, group: str, order: str) -> DataFrame:

@@ -36,8 +36,8 @@ def losses(s: SparkSession, d: str) -> DataFrame:
 def register(r: Registry) -> None:
     joined = lambda c: F.array_join(c, ",")
     r.add("byte_encode", lambda s, d: ids(s, d).select("doc_id", joined("ids").alias("ids")), f"SELECT doc_id, array_to_string(ids, ',') AS ids FROM ({BYTES})")
-    r.add("byte_pair_counts", lambda s, d: byte_pairs.pair_counts(byte_pairs.word_chunks(table(s, d, "documents"))), PAIRS)
-    r.add("best_pair", lambda s, d: byte_pairs.best_pair(byte_pairs.pair_counts(byte_pairs.word_chunks(table(s, d, "documents")))), f"{PAIRS} ORDER BY pair_count DESC, left_id, right_id LIMIT 1")
+    r.add("byte_pair_counts", lambda s, d: byte_pairs.pair_counts(byte_pairs.word_chunks(table(s, d, "documents"), least_bytes=2)), PAIRS)
+    r.add("best_pair", lambda s, d: byte_pairs.best_pair(byte_pairs.pair_counts(byte_pairs.word_chunks(table(s, d, "documents"), least_bytes=2))), f"{PAIRS} ORDER BY pair_count DESC, left_id, right_id LIMIT 1")
     r.add("next_token_shift", lambda s, d: byte_pairs.next_token_shift(ids(s, d)).select("doc_id", joined("inputs").alias("inputs"), joined("targets").alias("targets")), f"""
         SELECT doc_id, array_to_string(ids[1:len(ids)-1], ',') AS inputs, array_to_string(ids[2:], ',') AS targets FROM ({BYTES})""")
     r.add("sliding_windows", window_sums, f"""

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,7 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError(f"set {CONF} to a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="tessera-")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return _own[app]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -37,6 +41,12 @@ class Kept:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.base, self.path = spark, f"{shared_dir(spark)}/tessera/{name}", None
 
+    def added(self, df: DataFrame) -> DataFrame:
+        """Written and read again; stays until the folder is cleared, for results that are read later."""
+        path = f"{self.base}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def replaced(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}-{uuid.uuid4().hex}"
         df.write.parquet(path)
