@@ -14,7 +14,10 @@ Sink = Callable[[DataFrame, int], None]
 
 
 class FirstOfEach(StatefulProcessor):
-    """Passes on the first record of each event; state holds a hash of what was passed on, and another repeat stops the query."""
+    """Passes on the first record of each event; state holds a hash of what was passed on, and another repeat stops the query.
+
+    The last three columns of its input are event, digest and bucket.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", "event string", "digest string")
@@ -22,13 +25,13 @@ class FirstOfEach(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         for batch in rows:
             new = []
-            for i, (event, digest) in enumerate(zip(batch["_event"], batch["_digest"], strict=True)):
+            for i, (event, digest) in enumerate(zip(batch.iloc[:, -3], batch.iloc[:, -2], strict=True)):
                 if not self.seen.containsKey((event,)):
                     self.seen.updateValue((event,), (digest,))
                     new.append(i)
                 elif self.seen.getValue((event,))[0] != digest:
                     raise ValueError(f"conflicting event {event}")
-            print("COLS", list(batch.columns)); yield batch.iloc[new].drop(columns=["_bucket", "_event", "_digest"])
+            yield batch.iloc[new, :-3]
 
     def close(self) -> None:
         pass
