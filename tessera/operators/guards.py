@@ -82,6 +82,28 @@ def resumed(plan: DataFrame, cursors: DataFrame, group: str, position: str) -> D
 
 
 def smaller_steps(batch: Column, accumulation: Column) -> Column:
-    """After a run out of memory: half the batch and twice the accumulation, and so on down to a batch of one; the tokens a step stay the same."""
-    halvings = F.filter(F.sequence(F.lit(1), F.lit(16)), lambda i: F.pmod(batch, F.pow(F.lit(2), i).cast("long")) == 0)
+    """After a run out of memory: half the batch and twice the accumulation, and so on while the batch is even; the tokens a step stay the same."""
+    times = F.bit_count(batch.bitwiseAND(-batch) - 1)  # how often two divides the batch
+    halvings = F.when((batch > 0) & (times > 0), F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
     return F.transform(halvings, lambda i: F.struct((batch / F.pow(F.lit(2), i)).cast("long").alias("batch"), (accumulation * F.pow(F.lit(2), i)).cast("long").alias("accumulation")))
+
+
+def memory_advice(batch: Column, length: Column, width: Column, heads: Column, layers: Column, total: Column) -> Column:
+    """What to make smaller after a run out of memory, the mildest first: ``priority, field, now, then, accumulation, total, kept``.
+
+    Half the batch, half the length, half the width (a multiple of the heads), half the layers; what can't be halved is left out.
+    For the first two, ``accumulation`` steps keep the ``total`` tokens of an update where that divides, else the
+    largest total below it is given, and ``kept`` is false.
+    """
+    null = F.lit(None).cast("long")
+
+    def step(priority: int, field: str, now: Column, then: Column, tokens: Column | None = None) -> Column:
+        times = null if tokens is None else F.greatest(F.lit(1), F.floor(total / tokens)).cast("long")
+        new = null if tokens is None else times * tokens
+        kept = F.lit(None).cast("boolean") if tokens is None else F.pmod(total, tokens) == 0
+        return F.when((then > 0) & (then < now), F.struct(F.lit(priority).alias("priority"), F.lit(field).alias("field"), now.cast("long").alias("now"), then.alias("then"), times.alias("accumulation"), new.cast("long").alias("total"), kept.alias("kept")))
+
+    half = lambda c, of=1: (F.floor(F.floor(c / 2) / of) * of).cast("long")
+    less, shorter = F.greatest(half(batch), F.lit(1)), F.greatest(half(length), F.lit(1))
+    steps = (step(1, "batch", batch, less, less * length), step(2, "length", length, shorter, batch * shorter), step(3, "width", width, half(width, heads)), step(4, "layers", layers, F.greatest(half(layers), F.lit(1))))
+    return F.array_compact(F.array(*steps))

@@ -9,6 +9,7 @@ from ..functions import adapters, identity
 from ..functions import text as T
 from ..operators import guards, row_packing
 from ..registry import Registry
+from ..sources import row_groups
 from ..sources.shards import table
 from .corpus import PSEUDO, pseudo_shards
 from .tokens import BYTES, ids
@@ -70,7 +71,7 @@ def register(r: Registry) -> None:
     r.add("log_opt_in", lambda s, d: guards.opted_in(part(s, d).select("p_partkey", "p_name", "p_type"), {"p_name": False, "p_type": True}), "SELECT p_partkey, CAST(NULL AS VARCHAR) AS p_name, p_type FROM part")
 
     def statuses(s: SparkSession, d: str) -> DataFrame:
-        """Users' last two events stand for a run: it starts, and ends; every third starts anew instead."""
+        """Customers stand for runs: each starts, and ends; every third starts anew instead."""
         ends = F.when(F.col("c_custkey") % 3 == 0, "running").when(F.col("c_custkey") % 3 == 1, "completed").otherwise("failed")
         runs = table(s, d, "customer").select(F.col("c_custkey").alias("run"), F.explode(F.array(F.struct(F.lit(0).alias("seq"), F.lit("running").alias("status")), F.struct(F.lit(1).alias("seq"), ends.alias("status")))).alias("x"))
         return guards.lifecycles(runs.select("run", "x.*"))
@@ -96,7 +97,25 @@ def register(r: Registry) -> None:
     r.add("resumed_plan", resumed, f"SELECT * FROM ({r.oracles['seeded_order']}) WHERE position >= CASE shard_index WHEN 0 THEN 10 WHEN 3 THEN 20 ELSE 0 END")
     steps = lambda: F.transform(guards.smaller_steps(F.col("p_size").cast("long"), F.lit(2).cast("long")), lambda x: F.concat(x["batch"], F.lit("x"), x["accumulation"]))
     r.add("smaller_steps", lambda s, d: part(s, d).select("p_partkey", F.array_join(steps(), ",").alias("steps")), """
-        SELECT p_partkey, coalesce(array_to_string(list_transform(list_filter(range(1, 17), lambda i: p_size % CAST(pow(2, i) AS BIGINT) = 0), lambda i: CAST(p_size // pow(2, i) AS BIGINT) || 'x' || CAST(2 * pow(2, i) AS BIGINT)), ','), '') AS steps FROM part""")
+        SELECT p_partkey, coalesce(array_to_string(list_transform(list_filter(range(1, 63), lambda i: p_size % CAST(pow(2, i) AS BIGINT) = 0), lambda i: CAST(p_size // pow(2, i) AS BIGINT) || 'x' || CAST(2 * pow(2, i) AS BIGINT)), ','), '') AS steps FROM part""")
+
+    size = lambda n, a, b: (k() * n % a + b).cast("long")
+    advice = lambda: guards.memory_advice(size(7, 9, 1), size(5, 600, 1), size(3, 40, 1), size(1, 5, 1), size(11, 3, 1), size(13, 5000, 600))
+    shown = lambda c: F.concat_ws(":", c["priority"].cast("string"), c["field"], c["now"].cast("string"), c["then"].cast("string"), c["accumulation"].cast("string"), c["total"].cast("string"), c["kept"].cast("string"))
+    r.add("memory_advice", lambda s, d: part(s, d).select("p_partkey", F.array_join(F.transform(advice(), shown), ",").alias("advice")), """
+        WITH p AS (SELECT p_partkey, p_partkey * 7 % 9 + 1 AS b, p_partkey * 5 % 600 + 1 AS l, p_partkey * 3 % 40 + 1 AS w, p_partkey % 5 + 1 AS h, p_partkey * 11 % 3 + 1 AS y, p_partkey * 13 % 5000 + 600 AS t FROM part),
+        q AS (SELECT *, b // 2 * l AS tb, b * (l // 2) AS tl, w // 2 // h * h AS v FROM p)
+        SELECT p_partkey, array_to_string(list_filter([
+            CASE WHEN b > 1 THEN '1:batch:' || b || ':' || b // 2 || ':' || greatest(1, t // tb) || ':' || greatest(1, t // tb) * tb || ':' || CAST(t % tb = 0 AS VARCHAR) END,
+            CASE WHEN l > 1 THEN '2:length:' || l || ':' || l // 2 || ':' || greatest(1, t // tl) || ':' || greatest(1, t // tl) * tl || ':' || CAST(t % tl = 0 AS VARCHAR) END,
+            CASE WHEN v > 0 AND v < w THEN '3:width:' || w || ':' || v END,
+            CASE WHEN y > 1 THEN '4:layers:' || y || ':' || y // 2 END], lambda x: x IS NOT NULL), ',') AS advice FROM q""")
+
+    def parquet_batches(s: SparkSession, d: str) -> DataFrame:
+        """Batches of 128 documents, by row group, as the file has them."""
+        return row_groups.batches(s, f"{d}/documents.parquet", 128, "doc_id").select("doc_id", "row_index", "row_group", "batch", "row")
+
+    r.add("parquet_batches", parquet_batches)
 
 
 def _by_user():
