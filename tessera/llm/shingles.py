@@ -31,6 +31,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ CHAIN = 3
 LOCAL, FREQUENT = 2, 200_000
 #: The similarity as a fraction.
 NUM, DEN = 75, 100
+#: The bits of a set's key that hold its size, and how far these may be apart: 64 * log2(DEN / NUM), and what rounding takes.
+SIZE, APART = 4095, math.ceil(64 * math.log2(DEN / NUM) + 1)
 
 _P, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(1, 9)], dtype="u8")
@@ -179,6 +182,15 @@ NONE = (np.empty(0, "u8"), np.empty(0, "i8"))
 FACTS = "doc_id long, text_key long, k1 long, k2 long, n long, sketch binary, hot array<long>"
 
 
+def set_key(own: np.ndarray) -> int:
+    """52 bits of a set's hash, then its size in 64ths of octaves, so that pairs tell by their keys whether their sizes may fit."""
+    return int(np.bitwise_xor.reduce(mixed(own + _A)).astype("i8")) & ~SIZE | round(64 * math.log2(len(own)))
+
+
+def sizes_fit(a: int, b: int) -> bool:
+    return abs((a & SIZE) - (b & SIZE)) <= APART
+
+
 def facts(docs: DataFrame) -> DataFrame:
     """A row a document: the two halves of its set's key (null for an empty set), the set's size, its sketch; and for a
     batch, with its first row, the segments that many of its sets share."""
@@ -190,7 +202,7 @@ def facts(docs: DataFrame) -> DataFrame:
             for own in sets(b["text"]):
                 n.append(len(own))
                 raw.append(sketch(own) if len(own) else None)
-                k1.append(int(np.bitwise_xor.reduce(mixed(own + _A)).astype("i8")) if len(own) else None)
+                k1.append(set_key(own) if len(own) else None)
                 k2.append(int(np.sum(mixed(own + _B)).astype("i8")) if len(own) else None)
                 if len(own) and k1[-1] not in seen:
                     seen[k1[-1]] = signatures(own, NONE)
@@ -215,9 +227,10 @@ class Runs:
         if not self.long:
             for i, a in enumerate(self.keys):
                 for b in self.keys[i + 1 :]:
-                    out[0].append(a)
-                    out[1].append(b)
-                    out[2].append(None)
+                    if sizes_fit(a, b):
+                        out[0].append(a)
+                        out[1].append(b)
+                        out[2].append(None)
         self.keys, self.long = [], False
 
     def _add(self, keys: np.ndarray, out: tuple[list, list, list]) -> None:
@@ -229,9 +242,10 @@ class Runs:
                 for i in range(1 if not self.long else len(self.keys) - 1, len(self.keys)):
                     # the first, marked with the run, and those just before
                     for a, sig in ((self.keys[0], self.sig), *((x, None) for x in self.keys[max(1, i - CHAIN) : i])):
-                        out[0].append(a)
-                        out[1].append(self.keys[i])
-                        out[2].append(sig)
+                        if sig is not None or sizes_fit(a, self.keys[i]):  # a run's members are all named
+                            out[0].append(a)
+                            out[1].append(self.keys[i])
+                            out[2].append(sig)
                 self.long = True
                 self.keys = [self.keys[0], *self.keys[-CHAIN:]]
 
@@ -268,7 +282,7 @@ def candidate_pairs(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) ->
             if len(own):
                 found = signatures(own, frequent)
                 sig.append(found)
-                key.append(np.full(len(found), np.bitwise_xor.reduce(mixed(own + _A)).astype("i8")))
+                key.append(np.full(len(found), set_key(own), "i8"))
         return record(sig=pa.array(np.concatenate(sig).astype("i8")), key=pa.array(np.concatenate(key)))
 
     def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +393,8 @@ def related(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = known.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.coalesce(F.min("doc_id"), F.min("text_key")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(own, "shingle_classes")
     found = written(candidate_pairs(base, frequent), "shingle_pairs")
-    pairs = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    size = lambda side: F.col(side).bitwiseAND(F.lit(SIZE))
+    pairs = found.where(F.abs(size("a") - size("b")) <= APART).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     for side in ("a", "b"):
         own = classes.select(F.col("k1").alias(side), F.col("rep").alias(f"r{side}"), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
         pairs = pairs.join(own, side)

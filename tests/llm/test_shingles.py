@@ -1,5 +1,6 @@
 """The shingle join against all pairs."""
 
+import math
 import random
 import re
 
@@ -67,10 +68,19 @@ def test_runs_do_not_depend_on_batches():
             want += [(own[j], b, None) for i, b in enumerate(own) for j in range(max(1, i - shingles.CHAIN), i)]
         else:
             want += [(a, b, None) for i, a in enumerate(own) for b in own[i + 1 :]]
+    want = [(a, b, run) for a, b, run in want if run is not None or shingles.sizes_fit(a, b)]
     for cuts in ([], [1, 2, 3], list(range(len(sig))), [100, 200, 400]):
         assert pairs(cuts) == sorted(want, key=repr)
 
 
+def test_keys_never_part_sizes_that_may_link():
+    for n in [*range(1, 300), 1000, 4097, 10**6, 10**9]:
+        for m in {n, math.ceil(n * 0.75), n * 4 // 3}:
+            if shingles.NUM * max(n, m) <= shingles.DEN * min(n, m):
+                assert shingles.sizes_fit(round(64 * math.log2(n)), round(64 * math.log2(m)))
+    assert not shingles.sizes_fit(round(64 * math.log2(100)), round(64 * math.log2(140)))
+
+
 def test_operator(spark):
     r = random.Random(5)
     words = [f"w{i}" for i in range(2000)]
