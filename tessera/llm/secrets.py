@@ -8,7 +8,8 @@ Access keys, hex and entropy candidates all lie in long runs of one class of cha
 are found once, and the finer patterns are looked for in the runs alone. A window slides
 over a candidate, and the sum of c*log2(c) over its character counts is updated for the character
 that enters and the one that leaves, so the work is linear in the run. A candidate is
-reported when some window reaches the entropy of its class and no allow-list rule matches.
+reported when some window reaches the entropy of its class and no allow-list rule matches; a run of several
+words, as in paths and slugs, must also have enough characters in parts that aren't words or numbers.
 
 Lambdas are evaluated for each element, and so is every expression in them that isn't a variable;
 ``bound`` gives an expression a name, so that it is evaluated once a row.
@@ -57,7 +58,11 @@ ALLOWED = {
     "entropy_hex": (r"^[0-9]+$", r"^[A-Fa-f]+$", r"^(.)\1+$"),
     "entropy_base64": (r"^[A-Za-z_=/+-]+$", r"^[0-9_=/+-]+$", r"^[0-9a-fA-F]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|placeholder|changeme|xxxx"),
 }
-
+#: Parts of a run that people write: words, also joined by capitals, with a number behind; ordinals; numbers; times; hex digits, which have a class of their own.
+PLAIN = r"^(?:(?:[A-Z]?[a-z]++(?:[A-Z][a-z]++)*+|[A-Z]++)?+[0-9]*+[a-z]{0,3}|(?:[A-Z]?[a-z]{2,}+[0-9]{0,4}+)++|[0-9]{8}T[0-9]{4,6}Z?|[0-9a-f]++|[0-9A-F]++)$"
+UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+#: Characters that a run must have in other parts than these, so that names, paths and slugs aren't taken for secrets.
+LEAST_RANDOM = 14
 
 SPANS = "array<struct<start:int,end:int,match:string>>"
 #: Matches that are walked one by one; blocks of them are then put one after another.
@@ -130,10 +135,17 @@ def top_entropy(word: Column, window: int) -> Column:
     return F.when(F.length(word) >= window, bound(places, slid))
 
 
+def random_length(word: Column) -> Column:
+    """How many characters of a run lie in parts that aren't plain; "/", "-", "_", "=" and "+" part it."""
+    parts = F.filter(F.split(F.regexp_replace(word, UUID, ""), "[/_=+-]+"), lambda p: ~F.regexp(p, F.lit(PLAIN)))
+    return F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p))
+
+
 def entropy_spans(runs: Column, c: CharClass) -> Column:
     allowed = lambda m: F.exists(F.array(*[F.lit(p) for p in ALLOWED[c.kind]]), lambda p: F.regexp(m, p))
     found = runs if c.pattern is None else within(runs, c.pattern)
-    return F.filter(found, lambda x: ~allowed(x["match"]) & (top_entropy(x["match"], c.window) >= c.entropy))
+    odd = lambda m: random_length(m) >= LEAST_RANDOM if c.pattern is None else F.lit(True)
+    return F.filter(found, lambda x: ~allowed(x["match"]) & odd(x["match"]) & (top_entropy(x["match"], c.window) >= c.entropy))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
