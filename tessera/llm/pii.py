@@ -102,9 +102,23 @@ SURNAMES = frozenset("""
     Richter Rivera Robinson Rodriguez Rossi Roux Ruiz Sanchez Santos Schmidt Schneider Schulz Silva Simon Singh Smith Suzuki Tanaka Taylor Thomas Thompson Torres
     Wagner Walker Weber White Williams Wilson Wolf Wright Young Zimmermann
 """.split())
+#: Capitalised words that begin or end other things than names: function words, months, and kinds of organisations, places and departments (fixed values).
+NOT_NAMES = frozenset("""
+    A An And As At But By For From He Her His How I If In It Its My No Not Of On Or Our She So That The Their Then There These They This Those To We What When Where Which Who Why With You Your
+    Der Die Das Ein Eine Und Im Am Le La Les Un Une Et El Los Las Una Y En
+    January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday
+    Academy Agency Airport Association Avenue Bank Bay Board Book Bridge Building Bureau Castle Center Centre Chapter Church City Club College Committee Company Corp Corporation Council Country County Court
+    Customer Day Department Desk Development District East Edition Engineering Festival Foundation Fund Garden Gate Group Hall Help Hill Hospital Hotel House Human Inc Institute International Island Journal Kingdom
+    Lake Law League Library Limited Line Ltd Machine Management Manager Market Media Ministry Mountain Museum National New News North Office Old Open Park Part Party Policy Press Prize Program Project Public Relations
+    Republic Research Resources Review River Road Royal Sales School Science Second Section Series Service Services Society South Source Square Station Street Studies Support System Systems Team Technology Times Tower Town
+    Trust Union United University Valley Village War West World
+""".split())
+#: What stands before things, not people.
+ARTICLES = ("the ", "a ", "an ", "this ", "that ", "its ", "der ", "die ", "das ", "dem ", "le ", "la ", "el ", "los ", "las ", "une ", "un ")
+_SENTENCE_END = ".!?\n:;|"
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame")
 CUES = {
-    "name": ("name is", "named", "signed", "regards", "contact", "heiße", "heißt", "m'appelle", "me llamo", "se llama", "name:", "patient", "customer", "employee", "dear", "sincerely", "called", "by "),
+    "name": ("name is", "named", "signed", "regards", "contact", "heiße", "heißt", "m'appelle", "me llamo", "se llama", "name:", "patient", "customer", "employee", "dear", "sincerely", "cordially", "yours"),
     "national_id": ("ssn", "social security", "national id", "tax id", "steuer", "nif", "dni", "insurance n", "identity n", "social sec"),
     "iban": ("iban", "account", "konto", "compte", "cuenta", "bank", "transfer", "pay to"),
     "postal": ("zip", "postal", "plz", "code postal", "address", "street", "postleitzahl", "avenue", "straße", "lives in", "lives at", "moved to", "mail to"),
@@ -126,7 +140,6 @@ CANDIDATES = {
     "postal": re.compile(r"(?<![\w.,-])[0-9]{5}(?:-[0-9]{4})?(?![\w-]|[.,]\w)"),
     "birth": re.compile(r"(?<![\w./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![\w/-]|\.\w)"),
 }
-_SENTENCE_END = ".!?\n:;|"
 NEAR, CLOSE, BUCKETS = 40, 16, 1 << 12
 #: Labelers of a kind; each answers for, against, or abstains.
 LABELERS = 5
@@ -163,7 +176,10 @@ def votes(kind: str, text: str, a: int, b: int) -> tuple[int, ...]:
         words = span.replace(".", "").split(" ")
         own = words[1:] if words[0] in TITLES else words
         starts = a == 0 or text[:a].rstrip(" ")[-1:] in _SENTENCE_END if a < 2 else text[a - 2 : a].strip(" ")[-1:] in (*_SENTENCE_END, "")
-        return (1 if words[0] in TITLES else -1, int(own[0].split("-")[0] in GIVEN), 1 if own[-1] in SURNAMES else -1, 1 if cue else -1, 0 if starts else -1)
+        # a gazetteer says nothing about names that it lacks; other lists and articles say what isn't a name
+        given = 1 if own[0].split("-")[0] in GIVEN else 0 if own[0] in NOT_NAMES or len(set(own)) == 1 else -1
+        surname = 1 if own[-1] in SURNAMES else 0 if own[-1] in NOT_NAMES else -1
+        return (1 if words[0] in TITLES else -1, given, surname, 1 if cue else 0 if before.endswith(ARTICLES) else -1, 0 if starts else -1)
     if kind == "national_id":
         others = text[max(0, a - 4 * NEAR) : b + 4 * NEAR]
         return (int(plausible_id(span)), context, alone, 0 if span in DUMMIES or len(set(span)) <= 2 else -1, 1 if "@" in others or _TITLED.search(others) else -1)
@@ -232,13 +248,16 @@ def scanned(docs: DataFrame) -> DataFrame:
 RIGHT, SHARE = 0.8, 0.3
 #: What the start weighs in each step, in votes; it keeps the classes' meaning where few labelers vote.
 STRENGTH = 10
+#: Labelers that go by lists: titles, gazetteers and cues of names.
+TRUSTED = {"name": (0, 1, 2, 3)}
 
 
-def em(counts: dict[tuple[int, ...], float], rounds: int = 50) -> dict[tuple[int, ...], float]:
+def em(counts: dict[tuple[int, ...], float], rounds: int = 50, trusted: tuple[int, ...] = ()) -> dict[tuple[int, ...], float]:
     """The probability of being personal data behind each combination of votes, all of one kind.
 
     Labelers are independent given the truth; an abstention says nothing. The start trusts each
-    labeler alike, so the larger class of agreeing votes is the one they vote for.
+    labeler alike, so the larger class of agreeing votes is the one they vote for. Labelers in ``trusted``
+    never count for less than at the start: where lists and cues don't meet, votes alone can't tell which of them are wrong.
     """
     if not counts:
         return {}
@@ -247,6 +266,7 @@ def em(counts: dict[tuple[int, ...], float], rounds: int = 50) -> dict[tuple[int
     said = [votes_ == 0, votes_ == 1]
     start = np.array([[RIGHT, 1 - RIGHT], [1 - RIGHT, RIGHT]])  # by truth: votes against, votes for
     rate = np.repeat(start[:, :, None], votes_.shape[1], axis=2)
+    sure = np.isin(np.arange(votes_.shape[1]), trusted)
     prior, post = SHARE, np.zeros(len(n))
     for _ in range(rounds):
         log = [np.log(p) + sum((said[a] * np.log(rate[y, a])).sum(axis=1) for a in (0, 1)) for y, p in ((0, 1 - prior), (1, prior))]
@@ -254,7 +274,8 @@ def em(counts: dict[tuple[int, ...], float], rounds: int = 50) -> dict[tuple[int
         prior = float(np.clip((n @ post + SHARE * STRENGTH) / (n.sum() + STRENGTH), 0.01, 0.99))
         for y, weight in ((0, n * (1 - post)), (1, n * post)):
             got = np.stack([weight @ said[a] for a in (0, 1)]) + STRENGTH * start[y][:, None]
-            rate[y] = got / got.sum(axis=0)
+            right = np.where(sure, np.maximum(got[y] / got.sum(axis=0), RIGHT), got[y] / got.sum(axis=0))
+            rate[y, y], rate[y, 1 - y] = right, 1 - right
     return {k: float(p) for k, p in zip(counts, post, strict=True)}
 
 
@@ -287,7 +308,7 @@ def classifier(found: DataFrame) -> Classifier:
     posterior, prior = {}, {}
     for k in range(len(ADDED)):
         counts = {unpacked(r["v"]): float(r["n"]) for r in votes_ if r["k"] == k}
-        found_ = em(counts)
+        found_ = em(counts, trusted=TRUSTED.get(ADDED[k], ()))
         posterior |= {(k, v): p for v, p in found_.items()}
         yes = sum(counts[v] * p for v, p in found_.items())
         prior[k] = math.log((yes + 0.5) / (sum(counts.values()) - yes + 0.5))
