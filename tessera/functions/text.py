@@ -10,6 +10,7 @@ SPLIT_PATTERN = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[
 #: A final number after the answer marker.
 ANSWER = r"#### (-?[0-9.,]+)"
 FENCE = "```"
+#: How a prompt ends (a fixed value).
 INSTRUCTION = "Respond only with the letter of the correct answer."
 
 

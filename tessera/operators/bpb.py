@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formulas import divided
 
-#: Ids of control tokens follow the 256 bytes.
+#: Control tokens, whose ids follow the 256 bytes (fixed values).
 SPECIALS = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>", "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>")
 
 

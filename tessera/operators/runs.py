@@ -72,12 +72,12 @@ def relative(value: Column, base: Column) -> tuple[Column, Column]:
 def blockers(status: Column, latest_step: Column, max_steps: Column, evaluation: Column, complete: Column) -> Column:
     """Why a run can't be ranked, as an array; empty if it can."""
     reasons = F.array(
-        F.when(status != "completed", F.concat(F.lit("run status is "), status)),
-        F.when(latest_step.isNull(), F.lit("training metrics are missing")),
-        F.when(latest_step < max_steps, F.concat(F.lit("training stopped at step "), latest_step.cast("string"), F.lit(" of "), max_steps.cast("string"))),
-        F.when(latest_step > max_steps, F.concat(F.lit("training latest step "), latest_step.cast("string"), F.lit(" exceeds configured max_steps "), max_steps.cast("string"))),
-        F.when(~evaluation, F.lit("base evaluation is missing")),
-        F.when(evaluation & ~complete, F.lit("base evaluation is incomplete")),
+        F.when(status != "completed", F.concat(F.lit("status: "), status)),
+        F.when(latest_step.isNull(), F.lit("no steps were logged")),
+        F.when(latest_step < max_steps, F.concat(F.lit("too few steps: "), latest_step.cast("string"), F.lit(" < "), max_steps.cast("string"))),
+        F.when(latest_step > max_steps, F.concat(F.lit("too many steps: "), latest_step.cast("string"), F.lit(" > "), max_steps.cast("string"))),
+        F.when(~evaluation, F.lit("not evaluated")),
+        F.when(evaluation & ~complete, F.lit("partly evaluated")),
     )
     return F.filter(reasons, lambda r: r.isNotNull())
 

@@ -146,9 +146,9 @@ def register(r: Registry) -> None:
     at = lambda: F.col("c_custkey")
     reasons = lambda: runs.blockers(F.when(at() % 2 == 0, "completed").otherwise("failed"), F.when(at() % 3 != 0, at() % 7), F.lit(3), at() % 5 != 0, at() % 4 != 0)
     r.add("ranking_blockers", lambda s, d: table(s, d, "customer").select("c_custkey", F.array_join(reasons(), "; ").alias("blockers")), """
-        SELECT c_custkey, concat_ws('; ', CASE WHEN c_custkey % 2 = 1 THEN 'run status is failed' END, CASE WHEN c_custkey % 3 = 0 THEN 'training metrics are missing' END,
-            CASE WHEN c_custkey % 3 != 0 AND c_custkey % 7 < 3 THEN 'training stopped at step ' || (c_custkey % 7) || ' of 3' END, CASE WHEN c_custkey % 3 != 0 AND c_custkey % 7 > 3 THEN 'training latest step ' || (c_custkey % 7) || ' exceeds configured max_steps 3' END,
-            CASE WHEN c_custkey % 5 = 0 THEN 'base evaluation is missing' END, CASE WHEN c_custkey % 5 != 0 AND c_custkey % 4 = 0 THEN 'base evaluation is incomplete' END) AS blockers FROM customer""")
+        SELECT c_custkey, concat_ws('; ', CASE WHEN c_custkey % 2 = 1 THEN 'status: failed' END, CASE WHEN c_custkey % 3 = 0 THEN 'no steps were logged' END,
+            CASE WHEN c_custkey % 3 != 0 AND c_custkey % 7 < 3 THEN 'too few steps: ' || (c_custkey % 7) || ' < 3' END, CASE WHEN c_custkey % 3 != 0 AND c_custkey % 7 > 3 THEN 'too many steps: ' || (c_custkey % 7) || ' > 3' END,
+            CASE WHEN c_custkey % 5 = 0 THEN 'not evaluated' END, CASE WHEN c_custkey % 5 != 0 AND c_custkey % 4 = 0 THEN 'partly evaluated' END) AS blockers FROM customer""")
     r.add("best_metric", lambda s, d: best(s, d).join(runs.processed_tokens(log(s, d), 4096), "run"), f"SELECT run, min(value) FILTER (name IN ('click','view','purchase','signup','scroll','error','login','logout')) AS best, max(step) * 4096 AS tokens FROM ({LOG}) GROUP BY run HAVING best IS NOT NULL")
 
     def missing(s: SparkSession, d: str) -> DataFrame:

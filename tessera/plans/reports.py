@@ -70,8 +70,8 @@ def register(r: Registry) -> None:
     r.add("violation_rate", lambda s, d: table(s, d, "events").select("event_id", scoring.violation_rate(e() % 2 == 0, e() % 3 == 0).alias("rate")), "SELECT event_id, ((event_id % 2 = 0)::INT + (event_id % 3 = 0)::INT) / 2.0::DOUBLE AS rate FROM events")
     r.add("token_byte_lengths", lambda s, d: bpb.byte_lengths(s), "SELECT CAST(i AS INT) AS token_id, CAST(CASE WHEN i < 256 THEN 1 ELSE 0 END AS INT) AS n_bytes FROM range(265) t(i)")
     r.add("payload_width", lambda s, d: s.range(3).select("id", F.when(F.col("id") == 0, manifests.token_width(65_535)).otherwise(manifests.token_width(65_536)).alias("width")), "SELECT i AS id, CAST(CASE WHEN i = 0 THEN 2 ELSE 4 END AS INT) AS width FROM range(3) t(i)")
-    r.add("right_padding", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(scoring.right_padded(F.sequence(F.lit(1), F.least(F.col("p_size"), F.lit(9))), F.lit(7), 0), ",").alias("ids")), """
-        SELECT p_partkey, array_to_string(list_concat(range(1, least(p_size, 9) + 1), list_transform(range(0, greatest(7 - least(p_size, 9), 0)), lambda x: 0)), ',') AS ids FROM part""")
+    r.add("right_padding", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(scoring.right_padded(F.sequence(F.lit(1), F.col("p_size").cast("int")), F.lit(30), 0), ",").alias("ids")), """
+        SELECT p_partkey, array_to_string(list_concat(range(1, p_size + 1), list_transform(range(0, greatest(30 - p_size, 0)), lambda x: 0)), ',') AS ids FROM part""")
 
     def arc(s: SparkSession, d: str) -> DataFrame:
         w = F.slice(F.split("text", " ", -1), 1, 3)

@@ -72,4 +72,4 @@ def test_compared_runs(spark):
     assert [rows[r].rank for r in "xyz"] == [3, 1, 1] and abs(rows["y"].delta + 0.2) < 1e-12
     blocked = config.withColumn("status", F.when(F.col("run") == "y", "failed").otherwise(F.col("status")))
     rows = {r.run: r for r in evaluate.compared_runs(log, blocked, "bpb", ["key"]).collect()}
-    assert all(r.rank is None for r in rows.values()) and rows["y"].blockers == ["run status is failed"]
+    assert all(r.rank is None for r in rows.values()) and rows["y"].blockers == ["status: failed"]
