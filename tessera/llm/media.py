@@ -9,7 +9,7 @@ Texts are stored in all three formats: the payload's CRC-32 chooses one, so equa
 ADPCM each block holds 64 bytes of the payload as its codes.
 
 Defined results: null media gives null PCM; bytes that aren't a supported WAV give null, not an
-error; null text is an empty payload, padded to 64 bytes; a text of any length is one payload, decoded some thousand blocks at a time; rows are independent, so ids, ties
+error; null text is an empty payload, padded to 64 bytes; a text of any length is one payload, of which samples are held a slice at a time; rows are independent, so ids, ties
 and repeated rows need no care; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,8 +18,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 RATE, OUT_RATE, PAD = 8000, 16000, 64
 #: Formats that texts are stored in, and the size of an ADPCM block: its header and ``PAD`` bytes of codes.
 STORED, BLOCK = (MULAW, ALAW, ADPCM), 4 + PAD
-#: Blocks that are decoded together.
-TOGETHER = 1 << 15
+#: Blocks that are decoded together; and bytes of a long audio that are expanded, resampled and measured at a time.
+TOGETHER, SLICE = 1 << 15, 1 << 18
 
 #: IMA ADPCM's fixed step sizes and index steps.
 STEPS = np.array([
@@ -159,12 +160,64 @@ def resample(samples: np.ndarray, rate: int, out_rate: int) -> np.ndarray:
     return ((wide[i] * (out_rate - part) + wide[i + 1] * part + out_rate // 2) // out_rate).astype("<i2")
 
 
-def feature(pcm: np.ndarray) -> str:
+def sample_slices(audio: Audio) -> Iterator[np.ndarray]:
+    """The samples of a supported audio, some at a time."""
+    if audio.kind == ADPCM:
+        left, rows = audio.samples, len(audio.data) // audio.block
+        for i in range(0, rows, SLICE // audio.block):
+            part = decode_adpcm(np.frombuffer(audio.data, "u1", min(SLICE // audio.block, rows - i) * audio.block, i * audio.block).reshape(-1, audio.block)).ravel()[:left]
+            left = None if left is None else left - len(part)
+            yield part
+    elif audio.kind == PCM:
+        for i in range(0, len(audio.data) // 2, SLICE):
+            yield np.frombuffer(audio.data, "<i2", min(SLICE, len(audio.data) // 2 - i), 2 * i)
+    else:
+        for i in range(0, len(audio.data), SLICE):
+            yield (MULAW_TABLE if audio.kind == MULAW else ALAW_TABLE)[np.frombuffer(audio.data, "u1", min(SLICE, len(audio.data) - i), i)]
+
+
+def resampled(slices: Iterable[np.ndarray], rate: int, out_rate: int) -> Iterator[np.ndarray]:
+    """What ``resample`` gives for all slices together, a slice at a time: what a slice lacks of the next sample waits for it."""
+    if rate == out_rate:
+        yield from (x.astype("<i2") for x in slices)
+        return
+    done, base, waiting = 0, 0, np.empty(0, "<i2")  # results so far, and the number of the first sample that waits
+    for part in chain(slices, (None,)):
+        if part is None and not len(waiting):
+            return
+        known = base + len(waiting) + (0 if part is None else len(part))
+        # a result needs the sample after its own, the last ones excepted
+        end = known * out_rate // rate if part is None else -(-(known - 1) * out_rate // rate)
+        waiting = np.append(waiting, waiting[-1:] if part is None else part)
+        if end > done:
+            at = np.arange(done, end, dtype="i8") * rate
+            i, share, wide = at // out_rate - base, at % out_rate, waiting.astype("i8")
+            yield ((wide[i] * (out_rate - share) + wide[i + 1] * share + out_rate // 2) // out_rate).astype("<i2")
+            done = end
+        gone = min(done * rate // out_rate - base, len(waiting) - 1)
+        waiting, base = waiting[gone:], base + gone
+
+
+def feature(slices: Iterable[np.ndarray]) -> str:
     """Samples, peak, mean square, zero crossings and CRC-32 of the PCM."""
-    wide = pcm.astype("i8")
-    crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    square = int((wide * wide).sum()) // max(1, len(pcm))
-    return f"n={len(pcm)};peak={int(np.abs(wide).max(initial=0))};ms={square};zc={crossings};crc={zlib.crc32(pcm.tobytes()):08x}"
+    n = peak = square = crossings = crc = 0
+    last = None
+    for pcm in slices:
+        if not len(pcm):
+            continue
+        wide, below = pcm.astype("i8"), pcm < 0
+        n, peak, square = n + len(pcm), max(peak, int(np.abs(wide).max())), square + int((wide * wide).sum())
+        crossings += int(np.count_nonzero(below[1:] != below[:-1])) + (last is not None and bool(below[0]) != last)
+        crc, last = zlib.crc32(pcm.tobytes(), crc), bool(below[-1])
+    return f"n={n};peak={peak};ms={square // max(1, n)};zc={crossings};crc={crc:08x}"
+
+
+def resampled_pcm(audios: Sequence[Audio | None], out_rate: int) -> Iterator[Iterable[np.ndarray] | None]:
+    """The resampled PCM of each in slices; null for an unsupported format. Short audios are expanded together, a long one as it is read."""
+    long = [a is not None and len(a.data) > SLICE and (a.kind in (PCM, MULAW, ALAW) or a.kind == ADPCM and 4 < a.block <= SLICE) for a in audios]
+    short = expanded([None if x else a for a, x in zip(audios, long, strict=True)])
+    for a, x, samples in zip(audios, long, short, strict=True):
+        yield resampled(sample_slices(a), a.rate, out_rate) if x else None if samples is None else [resample(samples, a.rate, out_rate)]
 
 
 def to_pcm(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", out_rate: int = OUT_RATE) -> DataFrame:
@@ -172,7 +225,7 @@ def to_pcm(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", out_
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         audios = [None if x is None else read_wav(x) for x in b["media"].to_pylist()]
-        pcm = [None if s is None else wav(PCM, resample(s, a.rate, out_rate).tobytes(), out_rate) for a, s in zip(audios, expanded(audios), strict=True)]
+        pcm = [None if s is None else wav(PCM, b"".join(x.tobytes() for x in s), out_rate) for s in resampled_pcm(audios, out_rate)]
         return record(id=b["id"], pcm=pa.array(pcm, pa.binary()))
 
     return arrow_map(df.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{media_col}` as binary) media"), run, "id long, pcm binary")
@@ -215,9 +268,9 @@ def stored_digests(stored: DataFrame, out_rate: int = OUT_RATE) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows, media = [], b["media"].to_pylist()
         audios = [read_wav(raw) for raw in media]
-        for raw, audio, samples in zip(media, audios, expanded(audios), strict=True):
+        for raw, audio, pcm in zip(media, audios, resampled_pcm(audios, out_rate), strict=True):
             own = held(audio)
-            rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-PAD:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(resample(samples, audio.rate, out_rate))))
+            rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-PAD:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(pcm)))
         cols = list(zip(*rows, strict=True)) or [()] * 6
         return record(
             doc_id=b["id"], n_bytes=b["n_bytes"], payload_bytes=pa.array(cols[0], pa.int64()), payload_sha256=pa.array(cols[1], pa.string()), tail_crc32=pa.array(cols[2], pa.int64()),

@@ -2,6 +2,8 @@
 
 import hashlib
 import struct
+import tracemalloc
+import zlib
 
 import numpy as np
 import pytest
@@ -75,3 +77,47 @@ def test_all_formats_hold_payloads():
             assert samples.tolist() == [x for i in range(0, len(a.data), media.BLOCK) for x in slow_adpcm(a.data[i : i + media.BLOCK])]
         else:
             assert samples.tolist() == media.expand(a).tolist() and len(samples) == len(a.data)
+
+
+def slow_feature(pcm):
+    wide = [int(x) for x in pcm]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(wide, wide[1:]))
+    return f"n={len(wide)};peak={max(map(abs, wide), default=0)};ms={sum(x * x for x in wide) // max(1, len(wide))};zc={crossings};crc={zlib.crc32(np.array(wide, '<i2').tobytes()):08x}"
+
+
+def slow_resample(x, rate, out_rate):
+    x = [int(v) for v in x]
+    wide = [*x, *x[-1:]]
+    return [(wide[k * rate // out_rate] * (out_rate - k * rate % out_rate) + wide[k * rate // out_rate + 1] * (k * rate % out_rate) + out_rate // 2) // out_rate for k in range(len(x) * out_rate // rate)]
+
+
+@pytest.mark.parametrize("size", [68, 100, 1 << 20])
+@pytest.mark.parametrize("out_rate", [8000, 16000, 11025, 5000])
+def test_slices_give_what_whole_samples_give(monkeypatch, size, out_rate):
+    monkeypatch.setattr(media, "SLICE", size)
+    r = np.random.default_rng(out_rate)
+    own = [media.stored(r.integers(0, 256, 64 * n, dtype="u1").tobytes()) for n in (1, 2, 3, 7, 13, 20)] + [media.wav(media.PCM, r.integers(0, 256, 602, dtype="u1").tobytes()), media.wav(media.MULAW, b"")]
+    audios = [media.read_wav(x) for x in own]
+    for a, slices in zip(audios, media.resampled_pcm(audios, out_rate), strict=True):
+        parts = list(slices)
+        got = np.concatenate(parts) if parts else np.empty(0, "<i2")
+        assert got.tolist() == slow_resample(media.expand(a), a.rate, out_rate)
+        assert media.feature(parts) == slow_feature(got)
+
+
+def test_long_texts_are_held_in_slices():
+    """What a long payload takes beyond its stored bytes doesn't grow with it."""
+    r = np.random.default_rng(5)
+    peaks = {}
+    for size in (4 << 20, 16 << 20):
+        own = r.integers(0, 128, size, dtype="u1").tobytes()
+        blocks = np.zeros((size // media.PAD, media.BLOCK), "u1")
+        blocks[:, 4:] = np.frombuffer(own, "u1").reshape(-1, media.PAD)
+        for kind, raw in ((media.MULAW, media.wav(media.MULAW, own)), (media.ADPCM, media.wav(media.ADPCM, blocks.tobytes(), block=media.BLOCK))):
+            audio = media.read_wav(raw)
+            tracemalloc.start()
+            (pcm,) = media.resampled_pcm([audio], media.OUT_RATE)
+            media.feature(pcm)
+            peaks[kind, size] = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+    assert max(peaks.values()) < 150e6 and all(peaks[k, 16 << 20] < 1.2 * peaks[k, 4 << 20] + 1e6 for k in (media.MULAW, media.ADPCM)), peaks
