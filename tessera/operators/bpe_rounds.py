@@ -205,10 +205,11 @@ def train_in_rounds(chunks: DataFrame, merges: int, first: int = 256, candidates
                 for before, place, near, n in neighbours_of(ids, weights, codes):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), before)), pa.array(place), pa.array(near), pa.array(n)], ["before", "place", "near", "n"])
 
+            pairs = [(c >> 32, c & 0xFFFFFFFF) for c in codes.tolist()]
+            near = _passed(blocks, pending, beside, "before boolean, place long, near long, n long").groupBy("before", "place", "near").agg(F.sum("n").alias("n")).toArrow()
             found: dict[tuple[bool, Pair], dict[int, int]] = defaultdict(dict)
-            for r in _passed(blocks, pending, beside, "before boolean, place long, near long, n long").groupBy("before", "place", "near").agg(F.sum("n").alias("n")).collect():
-                code = int(codes[r.place])
-                found[r.before, (code >> 32, code & 0xFFFFFFFF)][r.near] = r.n
+            for before, place, x, n in zip(*(near[c].to_pylist() for c in ("before", "place", "near", "n")), strict=True):
+                found[before, pairs[place]][x] = n
             known = Certain(top, len(top) < candidates, found)
             while len(out) < merges and (step := known.next()):
                 pair, n = step
