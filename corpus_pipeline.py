@@ -34,7 +34,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids: a row a piece."""
     import public_tokenizers
 
-    return packing.best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # small groups: executors still hold what earlier stages took
+    return packing.best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), rows=200, chars=200_000)
 
 
 STAGES = [("quality", classify), ("near_duplicates", deduplicate), ("pii", mask), ("packing", pack)]

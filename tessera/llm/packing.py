@@ -33,8 +33,8 @@ CAPACITY, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that a rank window holds, about.
 GROUP = 100_000
-#: Documents that a worker holds at a time.
-ROWS = 1000
+#: Documents that a worker holds at a time, and characters that it encodes together. Less of both takes less memory and more time.
+ROWS, CHARS = 1000, 1_000_000
 
 
 def fullest(counts: dict[int, int], space: int) -> list[tuple[int, int]]:
@@ -117,15 +117,15 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
     """Tokenized documents cut into pieces of at most ``capacity`` ids, the end id included."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with library_cache(tokenizer) as cache:
-            for batch in sliced(batches, ROWS):
+            for batch in sliced(batches, rows):
                 doc, piece, start, length, crc, raw = [], [], [], [], [], []
-                for key, ids in zip(batch["id"].to_pylist(), cache.encode(batch["text"].to_pylist()), strict=True):
+                for key, ids in zip(batch["id"].to_pylist(), cache.encode(batch["text"].to_pylist(), chars), strict=True):
                     ids += end
                     for i, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
                         own = ids[4 * at : 4 * (at + n)]
@@ -165,9 +165,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*names, "_rank").mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
     """One row a piece: its document, place in the document, sequence and offset there; with ``keep_ids`` its ids, too."""
-    return pack(written(pieces(docs, id_col, text_col, tokenizer, capacity, end_id, keep_ids), "pieces"), capacity)
+    return pack(written(pieces(docs, id_col, text_col, tokenizer, capacity, end_id, keep_ids, rows, chars), "pieces"), capacity)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
