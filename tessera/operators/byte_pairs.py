@@ -17,6 +17,12 @@ def byte_encode(text: Column) -> Column:
     return F.when(F.octet_length(text) > 0, byte_ids(text)).otherwise(F.array().cast("array<int>"))
 
 
+def byte_decode(ids: str | Column) -> Column:
+    """The text of ids 0 to 255; bytes that aren't UTF-8 raise."""
+    digits = F.array_join(F.transform(ids, lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    return F.decode(F.unhex(digits), "utf-8")
+
+
 def pair_counts(chunks: DataFrame) -> DataFrame:
     """Counts of adjacent ids in chunks, overlapping; ``chunks``: ids, n (how often the chunk occurs).
 

@@ -50,6 +50,12 @@ def aligned(log: DataFrame, runs: list[str]) -> DataFrame:
     return log.groupBy("step").pivot("run", runs).agg(F.max("value"))
 
 
+def aligned_all(log: DataFrame) -> DataFrame:
+    """A row for every step of any run: ``values``, an array of (run, value) by run, and ``n_runs``. An array is as long as there are runs."""
+    each = log.groupBy("step", "run").agg(F.max("value").alias("value"))
+    return each.groupBy("step").agg(F.array_sort(F.collect_list(F.struct("run", "value"))).alias("values"), F.count(F.lit(1)).alias("n_runs"))
+
+
 def differing(identities: DataFrame, fields: list[str]) -> DataFrame:
     """Fields with more than one value over runs (null counts as a value), and how many."""
     text = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("\0null"))

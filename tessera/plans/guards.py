@@ -29,19 +29,6 @@ def register(r: Registry) -> None:
                CASE WHEN ok THEN ['A','B','C','D'][CAST(p_partkey % 6 + 1 AS INT)] END AS answer, CAST(p_partkey AS VARCHAR) AS subject, CASE WHEN NOT ok THEN 'malformed row' END AS error FROM (SELECT *, p_partkey % 5 != 0 AND p_partkey % 6 < 4 AS ok FROM part)""")
     r.add("gsm8k_eval_rows", lambda s, d: adapters.gsm8k_eval(part(s, d).select(F.col("p_name").alias("question"), F.concat(F.lit("so "), F.when(k() % 4 != 0, "#### ").otherwise("## "), "p_size").alias("answer"))), """
         SELECT p_name AS question, CASE WHEN p_partkey % 4 != 0 THEN CAST(p_size AS VARCHAR) END AS reference, CASE WHEN p_partkey % 4 = 0 THEN 'no marked answer' END AS error FROM part""")
-    marked = lambda: F.concat(F.lit("a "), F.when(e() % 3 == 0, "<<1+2=3>> b").when(e() % 3 == 1, "b").otherwise("<<=3>>"))
-    r.add("gsm8k_parts", lambda s, d: events(s, d).select("event_id", adapters.gsm8k_parts(marked()).alias("p")).select("event_id", F.array_join(F.transform("p", lambda x: F.concat(x["type"], F.lit("="), x["text"])), "|").alias("parts")), """
-        SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'text=a |python=1+2|python_output=3|text= b' WHEN 1 THEN 'text=a b' END AS parts FROM events""")
-    head = lambda: F.concat(F.lit("import os\n\n# note\n  from a import b\n"), F.when(e() % 2 == 0, "x = 1\nimport z\n").otherwise("import z\n"))
-    r.add("leading_imports", lambda s, d: events(s, d).select("event_id", adapters.leading_imports(head()).alias("imports")), """
-        SELECT event_id, 'import os' || chr(10) || 'from a import b' || CASE WHEN event_id % 2 = 0 THEN '' ELSE chr(10) || 'import z' END AS imports FROM events""")
-    fences = lambda: F.when(e() % 3 == 0, F.concat(F.lit("say\n```python\nf("), e(), F.lit(")\n```\nend"))).when(e() % 3 == 1, F.concat(F.lit("```js\nno\n```\n```\ng("), e(), F.lit(")\n```"))).otherwise(F.concat(F.lit(" h("), e(), F.lit(") ")))
-    r.add("fenced_program", lambda s, d: events(s, d).select("event_id", adapters.program(fences()).alias("program")), """
-        SELECT event_id, ['f(','g(','h('][CAST(event_id % 3 + 1 AS INT)] || event_id || ')' AS program FROM events""")
-    answers = lambda: F.when(e() % 4 == 0, '{"a": 1}').when(e() % 4 == 1, '{"a": 1, "a": 2}').when(e() % 4 == 2, "[NaN]").otherwise("```json\n{}\n```")
-    r.add("json_diagnosis", lambda s, d: events(s, d).select("event_id", adapters.json_diagnosis(answers()).alias("x")).select("event_id", "x.valid", "x.is_object", "x.fenced", "x.fenced_valid", "x.violation"), """
-        SELECT event_id, event_id % 4 = 0 AS valid, event_id % 4 = 0 AS is_object, event_id % 4 = 3 AS fenced, event_id % 4 = 3 AS fenced_valid, event_id % 4 != 0 AS violation FROM events""")
-
     def coded(s: SparkSession, d: str) -> DataFrame:
         blank = F.when(k() % 7 == 0, " ").otherwise(F.col("p_name"))
         return adapters.humaneval(part(s, d).select(F.concat(F.lit("import m\ndef f"), k(), F.lit("():")).alias("prompt"), blank.alias("canonical_solution"), F.col("p_type").alias("test"), F.concat(F.when(k() % 5 == 0, "1").otherwise("f"), k()).alias("entry_point"))).drop("imports")
