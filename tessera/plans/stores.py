@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import bpb, byte_pairs, evaluate, runs, tokenized
 from ..registry import Registry
 from ..session import STREAMING
-from ..sources import cache, jsonl
+from ..sources import cache, documents, jsonl
 from ..sources.scratch import shared_dir
 from ..sources.shards import table, with_split
 from ..streaming import logs, sinks
@@ -78,7 +78,26 @@ def streamed(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema(events.schema).parquet(out)
 
 
+def snapshots(s: SparkSession, d: str) -> DataFrame:
+    """A summary document for each run of the log, six of nine unsound in one field; every fourth run has an evaluation that isn't one."""
+    u = F.col("run")
+    kind = lambda *k: (u % 9).isin(*k)
+    own = log(s, d).groupBy("run").agg(F.max("step").alias("step"))
+    name, at = F.concat(F.lit("r"), u.cast("string")), F.concat(F.lit("/runs/"), u.cast("string"))
+    run = F.struct(F.when(kind(0), "other").otherwise(name).alias("name"), F.when(kind(3), "/other").otherwise(F.concat(at, F.lit("/"))).alias("output_dir"), F.lit("base").alias("stage"))
+    summary = F.to_json(F.struct(F.struct(F.lit(0.5).alias("loss")).alias("latest_metrics"), (F.col("step") + F.when(kind(1), 1).otherwise(0)).cast("long").alias("latest_step"), run.alias("run"), F.when(kind(2), 2).otherwise(1).alias("schema_version"), F.when(kind(5), "done").otherwise("completed").alias("status")))
+    spoilt = F.when(kind(4), summary.substr(F.lit(1), F.length(summary) - 1)).otherwise(summary)
+    evaluation = F.when(u % 4 == 0, F.lit('{"status":"completed"}'))
+    rows = own.select(name.alias("run"), at.alias("run_dir"), spoilt.alias("summary"), evaluation.alias("evaluation"))
+    found = documents.snapshots(rows, log(s, d).withColumn("run", name), "evaluation")
+    return found.withColumn("fault", F.regexp_extract("fault", r"^(\S+ \S+)", 1))
+
+
 def register(r: Registry) -> None:
+    r.add("run_snapshots", snapshots, f"""
+        SELECT 'r' || u AS run, CASE u % 9 WHEN 4 THEN NULL WHEN 5 THEN 'done' ELSE 'completed' END AS status, CASE u % 9 WHEN 4 THEN NULL WHEN 1 THEN step + 1 ELSE step END AS latest_step,
+               CASE u % 9 WHEN 0 THEN 'summary $.run.name' WHEN 1 THEN 'summary $.latest_step' WHEN 2 THEN 'summary $.schema_version' WHEN 3 THEN 'summary $.run.output_dir' WHEN 4 THEN 'summary $' WHEN 5 THEN 'summary $.status' ELSE CASE WHEN u % 4 = 0 THEN 'evaluation $' END END AS fault
+        FROM (SELECT run AS u, max(step) AS step FROM ({LOG}) GROUP BY run)""")
     r.add("conversation_lines", conversation_lines, """
         WITH t AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS r, list('text=' || text || CASE WHEN role = 'assistant' AND length(text) % 2 = 0 THEN chr(10) || 'python=1+1' ELSE '' END ORDER BY turn, role, text) AS p FROM conversations GROUP BY conv_id),
         u AS (SELECT *, CASE WHEN r[1] = 'system' THEN r[2:] ELSE r END AS turns FROM t),
