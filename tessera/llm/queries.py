@@ -19,4 +19,4 @@ QUERIES = {
     "op12_source_mixing": mixing.op12,
     "op13_token_alignment": alignment.op13,
 }
-ORACLES: dict[str, str] = {"op11_centroid_clustering": clusters.oracle()}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": shingles.ORACLE, "op4_embedding_near_dedup": vectors.ORACLE, "op11_centroid_clustering": clusters.oracle()}
