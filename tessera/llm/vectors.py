@@ -218,9 +218,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     groups = classes.select("key", "node", "n").join(totals, "key", "left").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = groups.groupBy("component").agg(F.min("node").alias("component_id"))  # the least id of any member
     groups = groups.join(names, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = rows.select("id", "key", F.col("v").isNotNull().alias("sound")).join(groups, "key", "left")
-    component = F.when(F.col("sound"), F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("vec_id"), F.when(F.col("sound"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), (F.col("id") == component).alias("kept"))
+    shown = lambda df: df.select(F.col("id").alias("vec_id"), F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    # unsound vectors share a key, however many they are, so they are never joined
+    alone = rows.where("v is null").select("id", F.lit(0).alias("n_links"), F.col("id").alias("component_id"))
+    return shown(rows.where("v is not null").select("id", "key").join(groups, "key", "left")).union(shown(alone))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
