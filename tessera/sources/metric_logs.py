@@ -55,6 +55,17 @@ def _last_feed(store, path: str, low: int, high: int) -> int:
     return low
 
 
+def _next_feed(store, path: str, low: int, high: int) -> int:
+    """The position behind the first line feed of ``low .. high``; ``high`` if there is none."""
+    with store.open_input_file(path) as f:
+        f.seek(low)
+        while low < high and (got := f.read(min(CHUNK, high - low))):
+            if (at := got.find(b"\n")) >= 0:
+                return low + at + 1
+            low += len(got)
+    return high
+
+
 @dataclass
 class Span(InputPartition):
     """Whole lines of a file; those of one file follow one another, and each begins behind a line feed."""
@@ -114,17 +125,19 @@ def record_of(line: bytes, first: bool, where: str) -> dict[str, Any]:
 
 def _lines_back(f, end: int) -> Iterator[bytes]:
     """Lines before ``end``, the last first."""
-    rest = b""
+    tail: list[bytes] = []  # what is known of a line, its last piece first
     while end > 0:
         begin = max(0, end - CHUNK)
         f.seek(begin)
-        rest = f.read(end - begin) + rest
+        first, *whole = f.read(end - begin).split(b"\n")
         end = begin
-        *lines, = rest.split(b"\n")
-        rest, whole = lines[0], lines[1:]
-        yield from (x for x in reversed(whole) if x)
-    if rest:
-        yield rest
+        if whole:
+            tail.append(whole.pop())
+            yield from (x for x in (b"".join(reversed(tail)), *reversed(whole)) if x)
+            tail = []
+        tail.append(first)
+    if line := b"".join(reversed(tail)):
+        yield line
 
 
 def read_span(span: Span) -> Iterator[tuple]:
@@ -138,10 +151,14 @@ def read_span(span: Span) -> Iterator[tuple]:
                     prior = step
                     break
         f.seek(span.start)
-        at, rest = span.start, b""
-        while at + len(rest) < span.end:
-            rest += f.read(min(CHUNK, span.end - at - len(rest)))
-            *whole, rest = rest.split(b"\n")
+        at, read, head = span.start, span.start, []  # ``head``: pieces of a line whose end isn't read
+        while read < span.end and (got := f.read(min(CHUNK, span.end - read))):
+            read += len(got)
+            first, *whole = got.split(b"\n")
+            head.append(first)
+            if whole:
+                whole.insert(0, b"".join(head))
+                head = [whole.pop()]
             for line in whole:
                 where = f"byte {at} of {path}"
                 record = record_of(line, at == 0, where)
@@ -163,11 +180,8 @@ def spans(path: str, start: int, end: int) -> Iterator[Span]:
         stop = min(end, start + TASK)
         if stop < end:
             stop = _last_feed(store, at, start, stop)
-            while stop == start:  # one line is longer
-                longer = min(end, start + 2 * TASK)
-                stop = _last_feed(store, at, start, longer) if longer < end else end
-                if stop == start and longer == end:
-                    stop = end
+            if stop == start:  # one line is longer
+                stop = _next_feed(store, at, start + TASK, end)
         yield Span(path, start, stop)
         start = stop
 

@@ -149,3 +149,22 @@ def test_steps_are_checked_over_spans_and_long_lines_stay_whole(tmp_path, monkey
     last = list(metric_logs.spans(path, len(text), len(text) + len(line(3, loss=1.0))))
     with pytest.raises(ValueError, match="backwards from 11 to 3"):
         list(metric_logs.read_span(last[-1]))
+
+
+def test_lines_longer_than_tasks_and_chunks(tmp_path, monkeypatch):
+    """A line of several tasks' bytes ends the division and is read whole, wherever it stands."""
+    monkeypatch.setattr(metric_logs, "TASK", 64)
+    monkeypatch.setattr(metric_logs, "CHUNK", 7)
+    path = tmp_path / "r" / "metrics.jsonl"
+    path.parent.mkdir()
+    for long in ({0}, {2}, {5}, {1, 2, 5}):
+        text = CONFIG + "".join(line(i, loss=float(i), note="y" * (1000 * (i in long))) for i in range(6))
+        path.write_text(text)
+        parts = list(metric_logs.spans(str(path), 0, len(text)))
+        assert [parts[0].start, *(p.end for p in parts)] == [*(p.start for p in parts), len(text)]
+        assert all(text[p.end - 1] == "\n" and (p.end - p.start <= 64 or text[p.start : p.end].count("\n") == 1) for p in parts)
+        rows = [r for p in parts for r in metric_logs.read_span(p)]
+        assert [r[5] for r in rows if r[4] == "loss"] == list(range(6))
+        assert [len(r[6]) for r in rows if r[4] == "note"] == [1000 * (i in long) for i in range(6)]
+        with open(path, "rb") as f:
+            assert list(metric_logs._lines_back(f, len(text))) == text.encode().splitlines()[::-1]
