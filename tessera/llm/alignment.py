@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, byte_characters, even, library_cache, packed
+from .chunks import ChunkCache, byte_characters, even, flat, library_cache, packed
 from .common import record, sliced, table, text_of, tidy, written
 
 #: Tokens of a window, and characters that are encoded together.
@@ -108,9 +108,10 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         whole = lambda texts: list(map(packed, model.encode(list(texts), num_threads=1)))
 
-        def glued(chunks: Sequence[str]) -> list[bytes]:
+        def glued(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             """The model puts a space before each chunk; before a line feed it is a token of its own and none of the chunk's."""
-            return [ids[4:] if chunk[0] == "\n" else ids for chunk, ids in zip(chunks, whole(chunks), strict=True)]
+            texts = chunks.to_pylist()
+            return flat([ids[4:] if text[0] == "\n" else ids for text, ids in zip(texts, whole(texts), strict=True)])
 
         spec = proto.ModelProto.FromString(model.serialized_model_proto())
         plain = spec.normalizer_spec.name == "identity" and spec.normalizer_spec.add_dummy_prefix and not spec.normalizer_spec.remove_extra_whitespaces and not spec.trainer_spec.treat_whitespace_as_suffix

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import ChunkCache, packed
+from .chunks import ChunkCache, flat, packed
 from .common import arrow_map, record, sliced, table, text_of, tidy
 
 #: Where the characters that stand for bytes begin.
@@ -88,7 +88,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.bytes = [unmapped(self.model.id_to_piece(i + 1)) for i in range(len(tokens))]
         self.rank = {t: i for i, t in enumerate(self.bytes)}
-        self.cache = ChunkCache(self._whole, lambda chunks: self._whole([c if c[0] == "\n" else " " + c for c in chunks]))
+        self.cache = ChunkCache(self._whole, lambda chunks: flat(self._whole([c if c[0] == "\n" else " " + c for c in chunks.to_pylist()])))
         self.encode = self.cache.encode
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A run of letters that Unicode tables of any version agree on, and what follows it, of ASCII.
-WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x21-\x7E]*)")
+WORD = r"\A(?P<before>\n?)(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<after>[\x21-\x7E]*)\z"
 #: Chunks that the cache holds, some 40 bytes each.
 LIMIT = 500_000
 
@@ -38,16 +38,28 @@ def even(text: str) -> bool:
     return sum(map(len, words)) + len(words) - 1 == len(text) if words else not text
 
 
+def flat(ids: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each has, and the ids of all."""
+    return np.fromiter((len(x) // 4 for x in ids), dtype="i8", count=len(ids)), np.frombuffer(b"".join(ids), dtype="<u4")
+
+
+def strung(at: np.ndarray, first: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers ``at`` of runs of ids that lie in ``ids``, strung together: where each ends, and all their ids."""
+    each = size[at]
+    after = np.cumsum(each)
+    return after, ids[np.repeat(first[at] - (after - each), each) + np.arange(after[-1] if len(after) else 0)]
+
+
 class ChunkCache:
     """``encode(texts)`` yields the little-endian uint32 ids of each text as bytes.
 
-    ``whole(strings)`` encodes complete strings. ``glued(chunks)`` encodes chunks as they stand inside a
-    text: one that begins with a line feed as it is, any other after a space; without it, all texts
-    are encoded whole. ``blank_free``: the tokenizer drops white space, so a first chunk is like any
+    ``whole(strings)`` encodes complete strings. ``glued(chunks)`` encodes an array of chunks as they stand inside a
+    text: one that begins with a line feed as it is, any other after a space; it gives their ids as ``flat`` does.
+    Without it, all texts are encoded whole. ``blank_free``: the tokenizer drops white space, so a first chunk is like any
     other and nothing else matters. ``apart``: texts in which this is found are encoded whole.
     """
 
-    def __init__(self, whole: Callable[[Sequence[str]], list[bytes]], glued: Callable[[Sequence[str]], list[bytes]] | None, blank_free: bool = False, apart: re.Pattern | None = None, limit: int = LIMIT):
+    def __init__(self, whole: Callable[[Sequence[str]], list[bytes]], glued: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] | None, blank_free: bool = False, apart: re.Pattern | None = None, limit: int = LIMIT):
         self.whole, self.glued, self.blank_free, self.apart, self.limit = whole, glued, blank_free, apart, limit
         self.forget()
 
@@ -97,11 +109,7 @@ class ChunkCache:
         ends = rows.offsets.to_numpy()
         # a line feed that is first leaves an empty chunk before it
         found = rows.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
-        first, size, flat = self._looked_up(found.dictionary)
-        at = found.indices.to_numpy()
-        each = size[at]
-        after = np.cumsum(each)
-        ids = flat[np.repeat(first[at] - (after - each), each) + np.arange(after[-1] if len(after) else 0)]
+        after, ids = strung(found.indices.to_numpy(), *self._looked_up(found.dictionary))
         bounds = np.append(0, after)[ends - ends[0]].tolist()
         return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
@@ -115,18 +123,17 @@ class ChunkCache:
         first, size = np.zeros(len(keys), "i8"), np.zeros(len(keys), "i8")
         first[there], size[there] = self.first[at[there]], self.size[at[there]]
         lacking = np.flatnonzero(~there & (pc.binary_length(chunks).to_numpy() > 0))
-        new = self.glued(chunks.take(pa.array(lacking)).to_pylist())
-        size[lacking] = np.fromiter((len(x) // 4 for x in new), dtype="i8", count=len(new))
+        size[lacking], new = self.glued(chunks.take(pa.array(lacking)))
         first[lacking] = len(self.ids) + np.cumsum(size[lacking]) - size[lacking]
-        flat = np.concatenate([self.ids, np.frombuffer(b"".join(new), dtype="<u4")])
+        ids = np.concatenate([self.ids, new])
         if len(self.keys) + len(lacking) > self.limit:
             self.forget()
         else:
             of = np.append(self.keys, keys[lacking])
             order = np.argsort(of, kind="stable")
-            self.keys, self.checks, self.ids = of[order], np.append(self.checks, checks[lacking])[order], flat
+            self.keys, self.checks, self.ids = of[order], np.append(self.checks, checks[lacking])[order], ids
             self.first, self.size = np.append(self.first, first[lacking])[order], np.append(self.size, size[lacking])[order]
-        return first, size, flat
+        return first, size, ids
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -136,10 +143,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def _factors(most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two odd random factors for each place in a chunk of up to ``most`` bytes."""
+    """Two odd random factors for each place in a chunk of up to ``most`` bytes; those of a place don't depend on ``most``."""
     place = np.arange(1, 2 * most + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
     both = _mixed(place) | np.uint64(1)
-    return both[:most], both[most:]
+    return both[::2], both[1::2]
 
 
 def hashes(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -221,33 +228,36 @@ def library_cache(path: str, special_as_text: bool = False) -> ChunkCache:
     blank_free = kind == "words"
     merge, letters = t.model.tokenize, byte_characters()
     space = "" if blank_free else chr(letters[0x20])
-    ends: dict[tuple[str, str], tuple[bytes, bytes]] = {}
 
     def whole(texts: Sequence[str]) -> list[bytes]:
         return [packed(x.ids) for x in t.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def run_of_letters(word: str, first: str) -> bytes:
-        if blank_free:
-            word = word.lower()
-        return packed([x.id for x in merge(first + (word if word.isascii() else word.encode().decode("latin-1").translate(letters)))])
-
-    def glued(chunks: Sequence[str]) -> list[bytes]:
-        """A run of letters is one pre-token, so it goes straight to the library's merges."""
-        out = []
-        for chunk in chunks:
-            if chunk.isascii() and chunk.isalpha():
-                out.append(run_of_letters(chunk, space))
-                continue
-            if not (m := WORD.fullmatch(chunk)):
-                out.append(whole([chunk if blank_free or chunk[0] == "\n" else " " + chunk])[0])
-                continue
-            before, word, after = m.groups()
-            if (rest := ends.get((before, after))) is None:
-                if len(ends) > 10_000:
-                    ends.clear()
-                rest = ends[before, after] = tuple(whole([before, after]))
-            out.append(rest[0] + run_of_letters(word, "" if before else space) + rest[1])
-        return out
+    def run_of_letters(word: str) -> list[int]:
+        """A run of letters is one pre-token, so it goes straight to the library's merges. One behind a line feed has no space."""
+        first, word = ("", word[1:]) if word[0] == "\n" else (space, word)
+        return [x.id for x in merge(first + (word if word.isascii() else word.encode().decode("latin-1").translate(letters)))]
+
+    def glued(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A chunk is a line feed or nothing, a word, and what follows it. Of each, only distinct ones are encoded; chunks of other forms are encoded whole."""
+        found = pc.extract_regex(chunks, WORD)
+        plain = found.is_valid()
+        before, word, after = found.filter(plain).flatten()
+        words = (pc.utf8_lower(word) if blank_free else pc.binary_join_element_wise(before, word, pa.scalar("", word.type))).dictionary_encode()
+        after = after.dictionary_encode()
+        other = [c if blank_free or c[0] == "\n" else " " + c for c in chunks.filter(pc.invert(plain)).to_pylist()]
+        n, ids = flat(whole(["", "\n", *after.dictionary.to_pylist(), *other]))
+        runs, size = array("I"), [0]
+        for own in map(run_of_letters, words.dictionary.to_pylist()):
+            runs.extend(own)
+            size.append(len(runs))
+        size, ids = np.append(n, np.diff(size)), np.append(ids, np.array(runs, dtype="<u4"))
+        parts, plain = np.zeros((len(chunks), 3), "i8"), plain.to_numpy(zero_copy_only=False)
+        parts[plain, 0] = pc.binary_length(before).to_numpy()
+        parts[plain, 1] = len(n) + words.indices.to_numpy()
+        parts[plain, 2] = 2 + after.indices.to_numpy()
+        parts[~plain, 0] = np.arange(len(n) - len(other), len(n))
+        ends, ids = strung(parts.ravel(), np.cumsum(size) - size, size, ids)
+        return np.diff(ends[2::3], prepend=0), ids
 
     return ChunkCache(whole, glued if kind else None, blank_free, apart)
 

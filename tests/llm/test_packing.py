@@ -91,3 +91,18 @@ def test_chunk_cache_is_exact(file, as_text):
     assert cache.glued is not None
     for text, ids in zip(texts, cache.encode(texts, 500), strict=True):
         assert chunks.packed(t.encode(text, add_special_tokens=False).ids) == ids, text
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_are_encoded_once_whatever_stands_beside_them(file, monkeypatch):
+    """Long chunks in some groups don't make the cache lose the others."""
+    words = [f"{a}{w}{b}" for a in ("", "\n") for w in ("word", "WORD", "Éàß", "ÀÖØöøÿ", "x", "J\u030c", "1a") for b in ("", ".", ",a", "'s", "1%É")]
+    texts = ["a" + "".join(w if w[0] == "\n" else " " + w for w in (*words, "y" * k, "z")) for k in (1, 100, 3, 1000, 40, 5000)]
+    t = Tokenizer.from_file(public_tokenizers.path(file))
+    cache, seen = chunks.library_cache(public_tokenizers.path(file)), []
+    glued = cache.glued
+    monkeypatch.setattr(cache, "glued", lambda some: (seen.extend(some if isinstance(some, list) else some.to_pylist()), glued(some))[1])
+    with cache:
+        for text, ids in zip(texts, cache.encode(texts, 1), strict=True):
+            assert chunks.packed(t.encode(text, add_special_tokens=False).ids) == ids
+    assert len(words) < len(seen) == len(set(seen))
