@@ -27,6 +27,12 @@ def test_import_without_optional_operators(tmp_path):
     assert out.returncode == 0 and out.stdout.split()[-2:] == ["0", "True"], out.stderr
 
 
+def test_files_of_tests_have_names_of_their_own():
+    """Of two files with one name, pytest runs only the first."""
+    names = [f for _, _, files in os.walk(f"{REPO}/tests") for f in files if f.startswith("test_") and f.endswith(".py")]
+    assert len(names) == len(set(names))
+
+
 def test_entry(spark):
     sys.path.insert(0, REPO)
     import __spark_entry__
