@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import packing, pii, quality, shingles
-from tessera.llm.common import table, written
+from tessera.llm.common import ROWS, table, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data masked in the texts; ``n_chars`` follows the text."""
-    masked = pii.redacted(docs)
+    masked = written(pii.redacted(docs), "masked", rows=ROWS)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 

@@ -7,6 +7,7 @@ temporary folder is chosen, once an application.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONF = "spark.checkpoint.dir"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that a worker takes at a time.
 ROWS = 1000
 #: The size of a bitmap of keys; at most 16 MB, twice that as words.
@@ -41,15 +43,31 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """What runs meanwhile sends workers at most ``rows`` rows at a time; the session's setting, or a smaller one of its own, holds again after it."""
+    own = spark.conf.get(BATCH, None)
+    if rows is None or own is not None and 0 < int(own) <= rows:
+        yield
+        return
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH) if own is None else spark.conf.set(BATCH, own)
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy", rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts lineage and survives the loss of any executor. The schema is kept as it is, so an
-    empty frame comes back empty, too.
+    empty frame comes back empty, too. ``rows``: the most that a worker is sent at a time; for whole texts,
+    as executors hold each batch twice while they make it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with batches_of(spark, rows):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -167,7 +167,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
     """One row a piece: its document, place in the document, sequence and offset there; with ``keep_ids`` its ids, too."""
-    return pack(written(pieces(docs, id_col, text_col, tokenizer, capacity, end_id, keep_ids, rows, chars), "pieces"), capacity)
+    return pack(written(pieces(docs, id_col, text_col, tokenizer, capacity, end_id, keep_ids, rows, chars), "pieces", rows=rows), capacity)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, record, table, text_of, tidy, written
+from .chunks import released
+from .common import ROWS, arrow_map, record, table, text_of, tidy, written
 
 Span = tuple[int, int]
 BASE = ("email", "ip", "card", "phone")
@@ -231,6 +232,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     cand_type = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("v", pa.int32()), ("f", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()  # workers are used again, also after packing
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 b = batch.slice(i, 1000)
@@ -312,7 +314,8 @@ def classifier(found: DataFrame) -> Classifier:
         posterior |= {(k, v): p for v, p in found_.items()}
         yes = sum(counts[v] * p for v, p in found_.items())
         prior[k] = math.log((yes + 0.5) / (sum(counts.values()) - yes + 0.5))
-    soft = found.sparkSession.createDataFrame([(k, packed(v), p) for (k, v), p in posterior.items()], "k int, v int, p double")
+    # as an Arrow table: a list of rows would go through workers of another kind, which each executor keeps beside its own
+    soft = found.sparkSession.createDataFrame(pa.table({"k": pa.array([k for k, _ in posterior], pa.int32()), "v": pa.array([packed(v) for _, v in posterior], pa.int32()), "p": pa.array(list(posterior.values()), pa.float64())}))
     per = cand.select("c.k", "c.v", F.explode("c.f").alias("f")).join(F.broadcast(soft), ["k", "v"])
     sums = per.groupBy("k", "f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()  # at most kinds * BUCKETS rows
     table_ = np.zeros((2, len(ADDED), BUCKETS))
@@ -353,7 +356,7 @@ def digests(found: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and digest of the base spans, and all spans, for each row."""
-    return digests(written(scanned(text_of(docs, id_col, text_col)), "pii"))
+    return digests(written(scanned(text_of(docs, id_col, text_col)), "pii", rows=ROWS))
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -369,9 +372,10 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data masked in ``text_col``; null texts stay null and all columns stay."""
     plain = docs.select(F.lit(0).cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    model = classifier(written(scanned(plain).where(F.size("cand") > 0).select("cand"), "pii"))
+    model = classifier(written(scanned(plain).where(F.size("cand") > 0).select("cand"), "pii", rows=ROWS))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        released()
         texts = []
         for text in b[text_col].to_pylist():
             if text is not None:

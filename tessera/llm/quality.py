@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import possibly, record, sliced, table, tidy, whole_rows, written
+from .chunks import released
+from .common import ROWS, possibly, record, sliced, table, tidy, whole_rows, written
 
 ORDER = 5
 #: What stands before a text, and between a word and its repetition.
@@ -264,6 +265,7 @@ def likelihoods(base: DataFrame, model: Model, shard_rows: int = SHARD) -> DataF
         shared = base.sparkSession.sparkContext.broadcast(tables)
 
         def run(batches: Iterator[pa.RecordBatch], s=s, shared=shared) -> Iterator[pa.RecordBatch]:
+            released()  # workers are used again, also after packing
             p, g = (Table(*t) for t in shared.value)
             for b in sliced(batches, 1000):
                 n, nll = [], []
@@ -278,7 +280,7 @@ def likelihoods(base: DataFrame, model: Model, shard_rows: int = SHARD) -> DataF
                         out += np.diff(sums).tolist()
                 yield record(id=b["id"], lang=b["lang"], k1=b["k1"], k2=b["k2"], n=pa.array(n, pa.int64()), nll=pa.array(nll, pa.float64()))
 
-        parts.append(written(base.select("id", "lang", "k1", "k2", "text").mapInArrow(tidy(run), PARTS), "kn_scores"))
+        parts.append(written(base.select("id", "lang", "k1", "k2", "text").mapInArrow(tidy(run), PARTS), "kn_scores", rows=ROWS))
         shared.destroy()
     times = F.count(F.lit(1)) / F.lit(float(shards))  # equal rows have equal parts
     every = reduce(DataFrame.union, parts).groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("lang").alias("lang"), times.cast("long").alias("times"), F.sum("n").alias("n"), F.sum("nll").alias("nll"))

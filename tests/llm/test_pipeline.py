@@ -7,7 +7,10 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
+from pyspark import SparkContext  # noqa: E402
+from pyspark.sql import DataFrameWriter  # noqa: E402
 from tessera.llm import pii, queries, quality, shingles  # noqa: E402
+from tessera.llm.common import BATCH  # noqa: E402
 
 DATA = os.environ.get("TESSERA_TEST_DATA", "/root/testdata/sf0.001")
 
@@ -37,5 +40,24 @@ def test_run_and_edges(spark, tmp_path):
     assert {x.doc_id for x in got} >= {None, 50} and max(x.offset + x.length for x in got) <= 2048
 
 
+def test_texts_go_to_workers_in_small_batches(spark, monkeypatch):
+    """Executors hold a batch of texts twice while they make it, and keep each kind of worker that ever ran: no stage sends whole partitions or starts workers of RDDs."""
+    at, write, seen = f"{DATA}/documents.parquet", DataFrameWriter.parquet, {}
+
+    def noted(self, path, *args, **kwargs):
+        seen[path.rpartition("/")[2].rpartition("-")[0]] = spark.conf.get(BATCH, None)
+        return write(self, path, *args, **kwargs)
+
+    def no_rows(*_, **__):
+        raise AssertionError("rows of the driver dealt out by workers of RDDs")
+
+    before = spark.conf.get(BATCH, None)
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    monkeypatch.setattr(SparkContext, "parallelize", no_rows)
+    assert corpus_pipeline.run(spark, DATA).count() >= spark.read.parquet(at).count() // 2
+    assert {n: seen.get(n) for n in ("kn_scores", "pii", "masked", "pieces")} == {"kn_scores": "1000", "pii": "1000", "masked": "1000", "pieces": "200"}
+    assert spark.conf.get(BATCH, None) == before
+
+
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
