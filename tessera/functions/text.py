@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ ANSWER = r"#### (-?[0-9.,]+)"
 FENCE = "```"
 #: How a prompt ends (a fixed value).
 INSTRUCTION = "Respond only with the letter of the correct answer."
+#: Units of counts.
+COUNT_UNITS = ("", "K", "M", "B", "T", "Q")
+#: The least double that two decimals show as 1000.
+THOUSAND = next(x for x in (999.995, math.nextafter(999.995, 1000.0)) if f"{x:.2f}" == "1000.00")
 
 
 def regex_chunks(text: Column) -> Column:
@@ -81,24 +87,32 @@ def few_shot_prompt(examples: Column, current: Column) -> Column:
     return F.array_join(F.concat(examples, F.array(current)), "\n\n")
 
 
-def with_unit(value: Column, units: tuple[str, ...], base: int) -> Column:
-    """Two decimals and the largest unit that leaves at least 1."""
-    out = F.concat(value.cast("long").cast("string"), F.lit(f" {units[0]}".rstrip()))
-    for i, unit in enumerate(units[1:], 1):
-        out = F.when(value >= base**i, F.concat(F.format_string("%.2f", F.bround(value / float(base**i), 2)), F.lit(unit))).otherwise(out)
+def two_decimals(x: Column) -> Column:
+    """A double of at least 0.5 with two decimals: its exact binary value, half to even, as ``f"{x:.2f}"`` has it."""
+    whole = F.floor(x)
+    part = ((x - whole) * float(1 << 53)).cast("long") * 100  # exact, as no such double has finer digits
+    rest = part.bitwiseAND((1 << 53) - 1)
+    down = F.shiftright(part, 53)
+    cents = down + ((rest > 1 << 52) | ((rest == 1 << 52) & (down % 2 == 1))).cast("long")
+    return F.format_string("%d.%02d", whole + (cents == 100).cast("long"), cents % 100)
+
+
+def with_unit(n: Column, size: Column, units: tuple[str, ...], base: float, least: float) -> Column:
+    """``n`` as it is, or with two decimals in the unit after the last one in which its ``size`` is at least ``least``."""
+    out = F.concat(n.cast("long").cast("string"), F.lit(units[0]))
+    for unit in units[1:]:
+        out = F.when(size >= least, F.concat(F.when(n < 0, "-").otherwise(""), two_decimals(size / base), F.lit(unit))).otherwise(out)
+        size = size / base
     return out
 
 
 def format_bytes(n: Column) -> Column:
-    return with_unit(n, ("B", " KiB", " MiB", " GiB", " TiB", " PiB"), 1024)
+    return with_unit(n, n.cast("double"), (" B", " KiB", " MiB", " GiB", " TiB", " PiB"), 1024.0, 1024.0)
 
 
-def format_count(n: Column) -> Column:
-    """Whole numbers with K, M, B, T and Q from a thousand on, by the rounded value."""
-    out = n.cast("long").cast("string")
-    for i, unit in enumerate("KMBTQ", 1):
-        out = F.when(F.round(F.abs(n) / float(1000 ** (i - 1)), 2) >= 1000, F.concat(F.format_string("%.2f", F.bround(n / float(1000**i), 2)), F.lit(unit))).otherwise(out)
-    return out
+def format_count(n: Column, largest: str = "Q") -> Column:
+    """Whole numbers with K, M, B, T and Q from a thousand on, by the rounded value; none above ``largest``."""
+    return with_unit(n, F.abs(n.cast("double")), COUNT_UNITS[: COUNT_UNITS.index(largest) + 1], 1000.0, THOUSAND)
 
 
 def longest_run(text: Column, char: str) -> Column:
