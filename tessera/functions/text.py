@@ -14,7 +14,8 @@ ANSWER = r"#### (-?[0-9.,]+)"
 FENCE = "```"
 #: How a prompt ends (a fixed value).
 INSTRUCTION = "Respond only with the letter of the correct answer."
-#: Units of counts.
+#: Units from the least on.
+BYTE_UNITS = ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB")
 COUNT_UNITS = ("", "K", "M", "B", "T", "Q")
 #: The least double that two decimals show as 1000.
 THOUSAND = next(x for x in (999.995, math.nextafter(999.995, 1000.0)) if f"{x:.2f}" == "1000.00")
@@ -94,7 +95,7 @@ def two_decimals(x: Column) -> Column:
     rest = part.bitwiseAND((1 << 53) - 1)
     down = F.shiftright(part, 53)
     cents = down + ((rest > 1 << 52) | ((rest == 1 << 52) & (down % 2 == 1))).cast("long")
-    return F.format_string("%d.%02d", whole + (cents == 100).cast("long"), cents % 100)
+    return F.concat((whole + (cents == 100).cast("long")).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
 def with_unit(n: Column, size: Column, units: tuple[str, ...], base: float, least: float) -> Column:
@@ -106,8 +107,9 @@ def with_unit(n: Column, size: Column, units: tuple[str, ...], base: float, leas
     return out
 
 
-def format_bytes(n: Column) -> Column:
-    return with_unit(n, n.cast("double"), (" B", " KiB", " MiB", " GiB", " TiB", " PiB"), 1024.0, 1024.0)
+def format_bytes(n: Column, largest: str = "EiB") -> Column:
+    """IEC units up to ``largest``."""
+    return with_unit(n, n.cast("double"), tuple(f" {u}" for u in BYTE_UNITS[: BYTE_UNITS.index(largest) + 1]), 1024.0, 1024.0)
 
 
 def format_count(n: Column, largest: str = "Q") -> Column:
