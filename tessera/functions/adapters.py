@@ -14,6 +14,10 @@ from ..sources.jsonl import Invalid, strict_json
 from .text import gsm8k_answer, multiple_choice_prompt
 
 LETTERS = ("A", "B", "C", "D")
+#: What ends a line, within brackets.
+BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+#: All lines before the first that is neither an import, nor blank, nor a comment. Nothing is tried twice, and the lines are met in a loop, so long heads take no stack.
+HEAD = rf"(?U)\A(?:[\s&&[^{BREAKS}]]*+(?:#[^{BREAKS}]*+|(?:import|from) [\s&&[^{BREAKS}]]*+[^\s{BREAKS}][^{BREAKS}]*+)?+(?:\r\n|[{BREAKS}]|\z))*+"
 
 
 def mmlu(rows: DataFrame) -> DataFrame:
@@ -75,10 +79,8 @@ gsm8k_parts = _udf(_parts_or_none, "array<struct<type:string,text:string>>")
 
 def leading_imports(prompt: Column) -> Column:
     """Import lines at the head of a prompt: all before the first line that is neither one, nor blank, nor a comment."""
-    lines = F.transform(F.split(prompt, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    imports = lambda x: x.rlike(r"^(import|from) ")
-    head = F.array_position(F.transform(lines, lambda x: ~(imports(x) | (x == "") | x.startswith("#"))), True).cast("int")
-    return F.array_join(F.filter(F.when(head > 0, F.slice(lines, 1, head - 1)).otherwise(lines), imports), "\n")
+    lines = F.split(F.regexp_extract(prompt, HEAD, 0), rf"\r\n|[{BREAKS}]", -1)
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x.rlike("^(import|from) ")), "\n")
 
 
 def program_of(completion: str) -> str:

@@ -16,7 +16,8 @@ WORDS = "SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[^0-
 
 
 def words() -> Column:
-    return F.filter(F.split(F.coalesce("text", F.lit("")), "[^0-9A-Za-zÀ-ÿ]+", -1), lambda x: x != "")
+    """Runs of letters and digits; splitting at all else took six times as long with eight tasks at once."""
+    return F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[0-9A-Za-zÀ-ÿ]++"), F.lit(0))
 
 
 def answers() -> Column:
