@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,13 +147,16 @@ def register(r: Registry) -> None:
         FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events) WHERE i <= 50 GROUP BY event_type""")
     r.add("streamed_append", streamed, "SELECT event_id, user_id, event_type, value FROM events")
 
-    digest = lambda c: F.aggregate(F.transform(c, lambda x, i: (x * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    def contents(start: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
+        """All inputs and targets of windows, weighed by their place in it and by its start."""
+        digest = lambda x: sum(x[:, p] * (p + 1) for p in range(x.shape[1]))
+        return {"inputs": (start % 1000 + 1) * digest(inputs), "targets": (start % 1000 + 1) * digest(targets)}
 
     def windows(s: SparkSession, d: str) -> DataFrame:
-        """Every window of 16: all its inputs and targets, weighed by their place in it and by its start."""
-        weight = (F.col("start") % 1000 + 1).cast("long")
-        each = byte_pairs.sliding_windows(ids(s, d), 16).select("doc_id", (weight * digest("inputs")).alias("i"), (weight * digest("targets")).alias("t"))
-        return each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("i").alias("inputs"), F.sum("t").alias("targets"))
+        """Every window of 16, over the bytes of whole texts."""
+        texts = table(s, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("ids"))
+        each = byte_pairs.summed_windows(texts, 16, contents, ["inputs", "targets"])
+        return each.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("windows", "inputs", "targets")])
 
     r.add("window_contents", windows, f"""
         WITH t AS (SELECT doc_id, len(ids) AS n, unnest(ids) AS id, unnest(range(0, len(ids))) AS pos FROM ({BYTES}) WHERE len(ids) > 16)
